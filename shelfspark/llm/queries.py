@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..session import table
-from . import decontam, packing
+from . import decontam, langid, packing, quality
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
@@ -18,12 +19,26 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.digest(decontam.find_contamination(docs, bench, carry=["doc_id"]))
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    ratings = table(spark, sf_dir, "labels").select("doc_id", quality.grade().alias("grade"))
+    scored = quality.score(docs, quality.fit(docs, ratings), carry=["doc_id"])
+    return scored.withColumn("keep", F.coalesce(F.col("p_top") >= quality.KEEP_TAIL, F.lit(True)))
+
+
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    trees = langid.learn(docs.filter(~langid.held_out()))
+    found = langid.predict(docs.select("doc_id", "text"), trees, carry=["doc_id"])
+    return found.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")
+
+
 def op9_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), TOKENIZER)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_decontaminate": op1_decontaminate, "op9_pack": op9_pack}
+    return {f.__name__: f for f in (op1_decontaminate, op5_quality, op8_language, op9_pack)}
 
 
 def oracle_sql() -> dict[str, str]:
