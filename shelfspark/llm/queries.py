@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import decontam, langid, packing, quality
+from . import decontam, embed_dedup, langid, packing, quality
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
@@ -37,9 +37,29 @@ def op9_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), TOKENIZER)
 
 
+def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed_dedup.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontaminate, op5_quality, op8_language, op9_pack)}
+    return {f.__name__: f for f in (op1_decontaminate, op5_quality, op8_language, op9_pack, op10_embedding_dedup)}
+
+
+OP10_SQL = """
+with recursive e as (
+  select vec_id, cast(embedding as double[]) as v from embeddings
+  where embedding is not null and list_sum(list_transform(embedding, lambda x: abs(x))) > 0
+), pairs as (
+  select a.vec_id as a, b.vec_id as b from e a join e b on a.vec_id <> b.vec_id and list_cosine_similarity(a.v, b.v) >= 0.9
+), reach(a, b) as (
+  select a, b from pairs union select r.a, p.b from reach r join pairs p on r.b = p.a
+)
+select vec_id, coalesce(l.n, 0) as n_links, least(vec_id, coalesce(c.m, vec_id)) as component_id,
+       vec_id <= coalesce(c.m, vec_id) as kept
+from embeddings left join (select a, count(*) as n from pairs group by a) l on vec_id = l.a
+left join (select a, min(b) as m from reach group by a) c on vec_id = c.a
+"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op10_embedding_dedup": OP10_SQL}
