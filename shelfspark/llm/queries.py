@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import decontam, embed_dedup, langid, minhash, packing, quality
+from . import decontam, embed_dedup, langid, minhash, packing, quality, suffix_dedup
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
@@ -26,6 +26,10 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("keep", F.coalesce(F.col("p_top") >= quality.KEEP_TAIL, F.lit(True)))
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digest(suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), carry=["doc_id"]))
+
+
 def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -46,7 +50,7 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontaminate, op5_quality, op7_near_duplicates, op8_language, op9_pack, op10_embedding_dedup)}
+    return {f.__name__: f for f in (op1_decontaminate, op5_quality, op6_suffix_dedup, op7_near_duplicates, op8_language, op9_pack, op10_embedding_dedup)}
 
 
 OP10_SQL = """
