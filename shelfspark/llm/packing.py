@@ -31,8 +31,10 @@ from pyspark.sql import DataFrame
 CAPACITY = 4096
 END_ID = 2
 BLOCK_WINDOWS = 256
-BATCH_BYTES = 8_000_000
-CACHE_WORDS = 400_000
+BATCH_BYTES = 16_000_000
+CACHE_WORDS = 1_000_000
+_PLAIN = "\u0250"  # letters below it stay one letter in lower case, but for U+0130
+_LETTER = r"[a-zß-öø-ÿĀ-įı-ɏ]"
 
 COLUMNS = [("start", "long"), ("length", "long"), ("ids_crc32", "long"), ("doc_tokens", "long"), ("sequence_id", "long"), ("offset", "long")]
 
@@ -40,49 +42,89 @@ COLUMNS = [("start", "long"), ("length", "long"), ("ids_crc32", "long"), ("doc_t
 class WordCache:
     """Token ids of texts, each distinct run between blanks being encoded once.
 
-    No token of the tokenizers meant here spans white space, so a text's ids are
-    those of its parts in order.
+    Meant for the lower-casing word tokenizers whose tokens never span white
+    space and whose words end in a marked token: a text's ids are those of its
+    parts in order, and many plain words are encoded in one call and told apart
+    by their last tokens. A full stop or comma after a letter is a part of its own.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, room: int = CACHE_WORDS):
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer, self.room = Tokenizer.from_file(path), room
+        self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        self.ends[[i for w, i in self.tokenizer.get_vocab().items() if w.endswith("</w>")]] = True
+        self.stops = {c: self._each([c])[0][0] for c in ".,"}
         self._reset()
 
     def _reset(self) -> None:
         self.known: dict[str, int] = {}
-        self.flat = np.zeros(0, np.uint32)
-        self.first = np.zeros(0, np.int64)
-        self.count = np.zeros(0, np.int64)
+        self.used = self.words = 0
+        self.flat, self.first, self.count = np.zeros(1 << 16, np.uint32), np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
 
-    def _learn(self, words: list[str]) -> None:
-        got = [e.ids for e in self.tokenizer.encode_batch(words, add_special_tokens=False)]
+    def _each(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        got = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
         n = np.fromiter(map(len, got), np.int64, len(got))
-        at = len(self.flat)
-        self.known.update(zip(words, range(len(self.first), len(self.first) + len(words)), strict=True))
-        self.flat = np.concatenate([self.flat, np.fromiter((i for ids in got for i in ids), np.uint32, int(n.sum()))])
-        self.first = np.concatenate([self.first, at + np.cumsum(n) - n])
-        self.count = np.concatenate([self.count, n])
+        return np.fromiter((i for ids in got for i in ids), np.uint32, int(n.sum())), n
+
+    def _joined(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The same for words of letters alone, in one call."""
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, np.uint32)
+        last = np.flatnonzero(self.ends[ids])
+        if len(last) != len(words) or last[-1] != len(ids) - 1:
+            return self._each(words)
+        return ids, np.diff(last, prepend=-1)
+
+    def _learn(self, words: list[str], ids: np.ndarray, n: np.ndarray) -> None:
+        while self.used + len(ids) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        while self.words + len(words) > len(self.first):
+            self.first, self.count = (np.concatenate([x, np.zeros_like(x)]) for x in (self.first, self.count))
+        to = slice(self.words, self.words + len(words))
+        self.flat[self.used : self.used + len(ids)] = ids
+        self.first[to], self.count[to] = self.used + np.cumsum(n) - n, n
+        self.known.update(zip(words, range(to.start, to.stop), strict=True))
+        self.used, self.words = self.used + len(ids), to.stop
+
+    def _table(self, uniques: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Flat ids of the distinct parts, where each begins, how many it has."""
+        stop = np.zeros(len(uniques), np.uint32)
+        for c, i in self.stops.items():
+            stop[pc.match_substring_regex(uniques, f"{_LETTER}[{c}]$").to_numpy(zero_copy_only=False)] = i
+        words = pc.if_else(pa.array(stop > 0), pc.utf8_slice_codeunits(uniques, 0, -1), uniques).to_pylist()
+        if len(self.known) + len(words) > self.room:
+            self._reset()
+        found = list(map(self.known.get, words))
+        if missing := [w for w in dict.fromkeys(w for w, k in zip(words, found, strict=True) if k is None)]:
+            plain = [w for w in missing if w.isalpha() and (w.isascii() or (max(w) < _PLAIN and "\u0130" not in w))]
+            for lo in range(0, len(plain), 2000):
+                self._learn(part := plain[lo : lo + 2000], *self._joined(part))
+            if other := list(dict.fromkeys(missing).keys() - set(plain)):
+                self._learn(other, *self._each(other))
+            found = list(map(self.known.get, words))
+        of = np.array(found, np.int64)
+        n = self.count[of]
+        end = np.cumsum(n)
+        take = np.arange(int(n.sum()), dtype=np.int32) + np.repeat((self.first[of] - (end - n)).astype(np.int32), n)
+        n = n + (stop > 0)
+        return np.insert(self.flat[take], end[stop > 0], stop[stop > 0]), np.cumsum(n) - n, n
 
     def encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids, each text followed by end_id, and the number of ids of each text."""
-        parts = pc.split_pattern(pc.replace_substring(pc.fill_null(texts, ""), "\n", " "), " ")
+        low = pc.ascii_lower(pc.fill_null(texts, ""))
+        parts = pc.split_pattern(pc.replace_substring(low, "\n", " "), " ")
         words = pc.dictionary_encode(parts.flatten())
-        uniques = words.dictionary.to_pylist()
-        if len(self.known) + len(uniques) > CACHE_WORDS:
-            self._reset()
-        if missing := [w for w in uniques if w not in self.known]:
-            self._learn(missing)
-        of = np.fromiter((self.known[w] for w in uniques), np.int64, len(uniques))
-        code = of[words.indices.to_numpy(zero_copy_only=False)] if len(uniques) else np.zeros(0, np.int64)
-        n = self.count[code]
-        per_text = np.diff(parts.offsets.to_numpy())
-        upto = np.concatenate([[0], np.cumsum(n)])
-        edge = np.concatenate([[0], np.cumsum(per_text)])
-        tokens = upto[edge[1:]] - upto[edge[:-1]]
-        take = np.arange(int(n.sum()), dtype=np.int64) + np.repeat(self.first[code] - upto[:-1], n)
-        return np.insert(self.flat[take], np.cumsum(tokens), end_id).astype("<u4"), tokens + 1
+        flat, first, count = self._table(words.dictionary)
+        code = words.indices.to_numpy(zero_copy_only=False)
+        # the end id is a part of its own after each text
+        ends = np.cumsum(np.diff(parts.offsets.to_numpy()))
+        code = np.insert(code, ends, len(first))
+        flat, first, count = np.append(flat, np.uint32(end_id)).astype("<u4"), np.append(first, len(flat)), np.append(count, 1)
+        n = count[code]
+        upto = np.cumsum(n)
+        take = np.repeat((first[code] - (upto - n)).astype(np.int32), n)
+        take += np.arange(len(take), dtype=np.int32)
+        return flat[take], np.diff(upto[ends + np.arange(len(ends))], prepend=0)
 
 
 _caches: dict[str, WordCache] = {}
