@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import decontam, embed_dedup, langid, minhash, packing, pii, quality, suffix_dedup
+from . import decontam, embed_dedup, html_text, langid, minhash, packing, pii, quality, suffix_dedup, url_filter
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
@@ -23,6 +23,14 @@ def op2_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.find_personal_data(table(spark, sf_dir, "documents"), carry=["doc_id"]))
 
 
+def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract_text(table(spark, sf_dir, "pages"), carry=["page_id"])
+
+
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages"), carry=["page_id"])
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     ratings = table(spark, sf_dir, "labels").select("doc_id", quality.grade().alias("grade"))
@@ -54,7 +62,7 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontaminate, op2_personal_data, op5_quality, op6_suffix_dedup, op7_near_duplicates, op8_language, op9_pack, op10_embedding_dedup)}
+    return {f.__name__: f for f in (op1_decontaminate, op2_personal_data, op3_html_text, op4_url_filter, op5_quality, op6_suffix_dedup, op7_near_duplicates, op8_language, op9_pack, op10_embedding_dedup)}
 
 
 OP10_SQL = """
