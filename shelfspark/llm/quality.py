@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 DIMS = 1 << 18
 STEMS = (4, 5)
-SAMPLE_ROWS = 12000
+SAMPLE_ROWS = 8000
 EPOCHS = 150
 LEAST_ROWS = 12
 SPARSE = 2e-3
@@ -99,18 +99,18 @@ class Ordinal:
         self.weights, self.thresholds = weights, thresholds
 
     @classmethod
-    def fit(cls, rows: list[list[int]], grades: np.ndarray, levels: int, epochs: int = EPOCHS, rate: float = 0.2, sparse: float = SPARSE, least: int = LEAST_ROWS) -> Ordinal:
+    def fit(cls, owner: np.ndarray, every: np.ndarray, grades: np.ndarray, levels: int, epochs: int = EPOCHS, rate: float = 0.2, sparse: float = SPARSE, least: int = LEAST_ROWS) -> Ordinal:
         """Proximal Adagrad on the log-likelihood of the cumulative-link model.
 
-        An L1 penalty and a least number of rows keep rare words from being learned by heart.
+        owner and every: row and cell of each feature. An L1 penalty and a least
+        number of rows keep rare words from being learned by heart.
         """
-        n = len(rows)
-        size = np.array([len(r) for r in rows])
-        owner = np.repeat(np.arange(n), size)
-        every = np.concatenate([np.asarray(r, np.int64) for r in rows])
-        cells, local, seen = np.unique(every, return_inverse=True, return_counts=True)
-        ok = (seen >= least)[local]
-        owner, local = owner[ok], local[ok]
+        n = len(grades)
+        seen = np.bincount(every, minlength=DIMS) >= least
+        ok = seen[every]
+        cells = np.flatnonzero(seen)
+        local = (np.cumsum(seen) - 1).astype(np.int32)[every[ok]]
+        owner = owner[ok].astype(np.int32)
         w, gw = np.zeros(len(cells)), np.full(len(cells), 1e-8)
         theta, gt = np.concatenate([[-0.5], np.zeros(levels - 2)]), np.full(levels - 1, 1e-8)
         above = (grades[:, None] > np.arange(levels - 1)).astype(float)
@@ -158,12 +158,14 @@ def fit(docs: DataFrame, ratings: DataFrame, doc_id: str = "doc_id", text: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features = Features()
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([features(t.as_py()) for t in batch.column(0)], pa.list_(pa.int64())), batch.column(1)], names=["cells", "grade"])
+            yield pa.RecordBatch.from_arrays([pa.array([features(t.as_py()) for t in batch.column(0)], pa.list_(pa.int32())), batch.column(1)], names=["cells", "grade"])
 
-    got = chosen.select("_text", "_grade").mapInArrow(run, "cells array<long>, grade int").limit(2 * sample_rows).toPandas()
+    got = chosen.select("_text", "_grade").mapInArrow(run, "cells array<int>, grade int").limit(2 * sample_rows).toArrow()
     if not len(got):
         return None
-    return Ordinal.fit(got["cells"].tolist(), got["grade"].to_numpy(), levels)
+    cells = got.column("cells").combine_chunks()
+    owner = np.repeat(np.arange(len(cells), dtype=np.int32), cells.value_lengths().to_numpy())
+    return Ordinal.fit(owner, cells.flatten().to_numpy(), got.column("grade").to_numpy(), levels)
 
 
 _models: dict[str, tuple[Ordinal, Features]] = {}
