@@ -27,9 +27,12 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut
+
 ORDER = 3
 DOCS_PER_LANG = 300
 LEAST_SEEN = 3
+BROADCAST_LANGS = 10_000
 EDGE = 255  # never a byte of UTF-8: stands before a text
 UNKNOWN = "und"
 _PAD = bytes([EDGE]) * ORDER
@@ -132,13 +135,15 @@ def has_letter(texts: pa.Array) -> np.ndarray:
 
 def learn(rows: DataFrame, lang: str = "lang", text: str = "text", tie: str = "doc_id", docs_per_lang: int = DOCS_PER_LANG) -> Trees | None:
     """Trees from rows with a language and a text; None if there are none."""
-    order = Window.partitionBy("_lang").orderBy("_h", "_tie")
-    chosen = (
-        rows.filter(F.col(lang).isNotNull() & F.col(text).isNotNull())
-        .select(F.col(lang).alias("_lang"), F.col(text).alias("_text"), F.col(tie).alias("_tie"), F.xxhash64(tie).alias("_h"))
-        .withColumn("_rank", F.row_number().over(order))
-        .filter(F.col("_rank") <= docs_per_lang)
+    known = rows.filter(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(
+        F.col(lang).alias("_lang"), F.col(text).alias("_text"), F.col(tie).alias("_tie"), F.xxhash64(tie).alias("_h")
     )
+    # a share of each language by hash, from counts alone, so that few rows and their texts are ranked
+    share = cut(known.groupBy("_lang").agg((F.lit(2.0 * docs_per_lang + 50) / F.count("*")).alias("_share")))
+    share = F.broadcast(share) if share.count() <= BROADCAST_LANGS else share
+    point = F.pmod(F.col("_h"), F.lit(1 << 30)) / F.lit(1 << 30)
+    order = Window.partitionBy("_lang").orderBy("_h", "_tie")
+    chosen = known.join(share, "_lang").filter(point < F.col("_share")).withColumn("_rank", F.row_number().over(order)).filter(F.col("_rank") <= docs_per_lang)
     got = count_runs(chosen, "_lang", "_text").toPandas()
     langs = sorted(got["lang"].unique().tolist())
     if not langs:
