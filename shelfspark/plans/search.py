@@ -208,6 +208,8 @@ def class_facet(articles: DataFrame, offers: DataFrame, column: str, selected: i
 def set_facet(articles: DataFrame, offers: DataFrame, sets: list[tuple[str, tuple[int, ...]]]) -> DataFrame:
     """(set, n): offers of articles with any code of the set; an empty set has 0. One pass for all sets."""
     rows = with_offer_counts(articles, offers)
+    if not sets:
+        return rows.select(F.lit("").alias("set"), F.col("_n").cast("long").alias("n")).limit(0)
     tests = {name: predicates.overlaps("s2class_code", tuple(codes), "int") if codes else F.lit(False) for name, codes in sets}
     sums = rows.agg(*(F.coalesce(F.sum(F.when(t, F.col("_n"))), F.lit(0)).alias(f"s{i}") for i, t in enumerate(tests.values())))
     pairs = F.array(*(F.struct(F.lit(n).alias("set"), F.col(f"s{i}").cast("long").alias("n")) for i, n in enumerate(tests)))
