@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import html
+import unicodedata
 
 import pandas as pd
 from pyspark.sql import Column
@@ -32,6 +33,12 @@ def unescape_html(s: pd.Series) -> pd.Series:
     return s.map(lambda x: None if x is None else html.unescape(x) if "&" in x else x)
 
 
+@F.pandas_udf(T.StringType())
+def nfkc(s: pd.Series) -> pd.Series:
+    """Compatibility composition (Spark has no such function)."""
+    return s.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x))
+
+
 def clean_html_text(x: Column) -> Column:
     """Text with tags as spaces and character references resolved."""
     x = normalize_text(x)

@@ -51,7 +51,7 @@ def split_by_query(rows: DataFrame, key: str, fraction: float, seed: int) -> Dat
     total = ids.agg(F.greatest(F.lit(1), F.floor(F.count("*") * fraction)).alias("_n"))
     chosen = ranked.crossJoin(F.broadcast(total)).filter(F.col("_r") <= F.col("_n")).select("_q")
     marked = rows.join(chosen.withColumn("_v", F.lit(True)), F.col(key) == F.col("_q"), "left")
-    return marked.withColumn("split", F.when("_v", "validation").otherwise("train")).drop("_q", "_v")
+    return marked.withColumn("split", F.when(F.col("_v"), "validation").otherwise("train")).drop("_q", "_v")
 
 
 def split_by_component(rows: DataFrame, query: str, offer: str, fraction: float, seed: int) -> DataFrame:
@@ -71,7 +71,7 @@ def split_by_component(rows: DataFrame, query: str, offer: str, fraction: float,
     chosen = sizes.withColumn("_before", before).crossJoin(F.broadcast(target)).filter(F.col("_before") < F.col("target")).select("component")
     valid = queries.join(chosen, "component", "left_semi").select("node").withColumn("_v", F.lit(True))
     marked = rows.join(valid, F.concat(F.lit("q:"), named(query)) == F.col("node"), "left")
-    return marked.withColumn("split", F.when("_v", "validation").otherwise("train")).drop("node", "_v")
+    return marked.withColumn("split", F.when(F.col("_v"), "validation").otherwise("train")).drop("node", "_v")
 
 
 def leaks(rows: DataFrame, key: str, split: str = "split") -> DataFrame:
