@@ -9,8 +9,10 @@ Points are made up to a horizon that covers all registers, which is doubled for
 the few documents that it leaves short.
 
 Equal multisets are one class before banding. In a bucket each class is compared
-with the least one; then, among classes of a bucket that are still apart after
-linking, all pairs outside its largest group are compared: no bucket is cut and
+with a few pivots; then, among classes of a bucket that are still apart after
+linking, those outside its largest group are held against the others by a bitmap
+of their shingles, which bounds the overlap from above, and only pairs that the
+bound lets reach the threshold are made: no bucket is cut, no link is lost, and
 groups of copies never make all pairs. Every link is verified exactly, on weights
 and whole texts, and classes are the connected components of links.
 
@@ -30,6 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
+from ..plans.predicates import all_of
 from ..session import cut
 from .decontam import normalise
 
@@ -37,6 +40,9 @@ WORDS = 5
 THRESHOLD = 0.8
 BANDS = 24
 ROWS = 4
+PIVOTS = 4
+#: 64-bit words of a document's bitmap.
+BITMAP = 64
 CHUNK = 2_000_000
 #: Id lists up to this many rows (8 MB) are broadcast; longer ones are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
@@ -213,6 +219,32 @@ def _verify(pairs: DataFrame, docs: DataFrame, doc_id: str, text: str, threshold
     return pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInPandas(run, "a long, b long")
 
 
+def _bitmaps(ids: DataFrame, docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """(c, spare, w0..): bits of the hashed elements of each multiset, and how many elements share a bit.
+
+    Two multisets have at most as many elements in common as common bits and the
+    lesser of the spares.
+    """
+    bits = 64 * BITMAP
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 200):
+                part = batch.slice(lo, 200)
+                doc, sh, w = shingles([t.as_py().encode() for t in part.column(1)])
+                copy = np.arange(int(w.sum())) - np.repeat(np.cumsum(w) - w, w)
+                element = mix(np.repeat(sh, w) + copy.astype(np.uint64) * _STEP[50])
+                flags = np.zeros((part.num_rows, bits), bool)
+                flags[np.repeat(doc, w), (element % _U(bits)).astype(np.int64)] = True
+                words = np.packbits(flags, axis=1, bitorder="little").view(np.int64)
+                spare = np.bincount(doc, w, part.num_rows).astype(np.int64) - flags.sum(1)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(spare), *(pa.array(words[:, i]) for i in range(BITMAP))], names=["c", "spare", *(f"w{i}" for i in range(BITMAP))])
+
+    texts = docs.select(F.col(doc_id).cast("long").alias("c"), F.col(text).alias("t")).filter("t is not null").join(_small(ids.withColumnRenamed("id", "c")), "c")
+    made = texts.mapInArrow(run, "c long, spare long, " + ", ".join(f"w{i} long" for i in range(BITMAP)))
+    return cut(made.dropDuplicates(["c"]).select("c", F.coalesce("spare", F.lit(0)).alias("spare"), *(F.coalesce(f"w{i}", F.lit(0)).alias(f"w{i}") for i in range(BITMAP))))
+
+
 def near_duplicates(
     docs: DataFrame,
     doc_id: str = "doc_id",
@@ -227,36 +259,38 @@ def near_duplicates(
     member = cut(sketched.select("id", "f1", "f2").join(classes, ["f1", "f2"]).select("id", "c", "total"))
     heads = sketched.join(member.filter("id = c").select("id").distinct(), "id").dropDuplicates(["id", "f1", "f2"])
     spots = heads.select(F.col("id").alias("c"), "total", F.posexplode("bands").alias("band", "h"))
-    shared = spots.groupBy("band", "h").agg(F.count("*").alias("n"), F.min("c").alias("least")).filter("n > 1")
-    spots = cut(spots.join(shared.select("band", "h", "least"), ["band", "h"]))
-    alike = F.least("ta", "tb") >= threshold * F.greatest("ta", "tb")
-    heads_total = spots.filter("c = least").select("band", "h", F.col("total").alias("ta"))
+    pivot = lambda r: F.min(F.struct(F.xxhash64("c", F.lit(r)).alias("x"), F.col("c").alias("p"), F.col("total").alias("ta")))
+    shared = spots.groupBy("band", "h").agg(F.count("*").alias("n"), F.array_distinct(F.array(*(pivot(r) for r in range(PIVOTS)))).alias("pivots")).filter("n > 1")
+    spots = cut(spots.join(shared.select("band", "h", "pivots"), ["band", "h"]))
+    alike = lambda a, b: F.least(a, b) >= threshold * F.greatest(a, b)
     stars = (
-        spots.filter("c <> least")
-        .join(heads_total, ["band", "h"])
-        .withColumnRenamed("total", "tb")
-        .filter(alike)
-        .select(F.col("least").alias("a"), F.col("c").alias("b"))
+        spots.select("c", F.col("total").alias("tb"), F.explode("pivots").alias("x"))
+        .filter((F.col("c") != F.col("x.p")) & alike(F.col("x.ta"), F.col("tb")))
+        .select(F.least("c", "x.p").alias("a"), F.greatest("c", "x.p").alias("b"))
         .distinct()
     )
     links = cut(_verify(cut(stars), docs, doc_id, text, threshold))
     groups = connected_components(links, "a", "b")
-    placed = cut(
-        spots.join(groups, spots["c"] == groups["node"], "left")
-        .select("band", "h", "c", "total", "least", F.coalesce("component", "c").alias("g"))
-    )
+    placed = spots.join(groups, spots["c"] == groups["node"], "left").select("band", "h", "c", "total", F.exists("pivots", lambda x: x["p"] == F.col("c")).alias("pivot"), F.coalesce("component", "c").alias("g"))
     sizes = placed.groupBy("band", "h", "g").agg(F.count("*").alias("n"))
     split = sizes.groupBy("band", "h").agg(F.count("*").alias("groups"), F.max(F.struct("n", "g"))["g"].alias("main")).filter("groups > 1")
-    apart = placed.join(split.select("band", "h", "main"), ["band", "h"])
-    minor = apart.filter("g <> main").select("band", "h", F.col("c").alias("a"), F.col("g").alias("ga"), F.col("total").alias("ta"))
-    other = apart.select("band", "h", F.col("c").alias("b"), F.col("g").alias("gb"), F.col("total").alias("tb"), "main", "least")
-    rest = (
-        minor.join(other, ["band", "h"])
-        .filter((F.col("ga") != F.col("gb")) & ((F.col("gb") == F.col("main")) | (F.col("a") < F.col("b"))))
-        .filter((F.col("a") != F.col("least")) & (F.col("b") != F.col("least")) & alike)
-        .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        .distinct()
-    )
+    apart = cut(placed.filter("not pivot").join(split.select("band", "h", "main"), ["band", "h"]))
+    maps = _bitmaps(cut(apart.select(F.col("c").alias("id")).distinct()), docs, doc_id, text)
+    codes = heads.select(F.col("id").alias("c"), *(F.coalesce(F.get("bands", F.lit(i)), F.lit(0)).alias(f"h{i}") for i in range(bands)))
+    apart = apart.join(maps, "c").join(codes, "c")
+    words = [f"w{i}" for i in range(BITMAP)]
+    keys = [f"h{i}" for i in range(bands)]
+    minor = apart.filter("g <> main").select("band", "h", F.col("c").alias("a"), F.col("g").alias("ga"), F.col("total").alias("ta"), F.col("spare").alias("sa"), *(F.col(w).alias(f"a{w}") for w in [*words, *keys]))
+    other = apart.select("band", "h", F.col("c").alias("b"), F.col("g").alias("gb"), F.col("total").alias("tb"), F.col("spare").alias("sb"), "main", *(F.col(w).alias(f"b{w}") for w in [*words, *keys]))
+    most = F.least("sa", "sb") + sum((F.bit_count(F.col(f"a{w}").bitwiseAND(F.col(f"b{w}"))) for w in words), start=F.lit(0))
+    # a pair is made in the first band that it shares; if one of it is a pivot there, it has been compared
+    first = all_of([(F.col(f"ah{i}") != F.col(f"bh{i}")) | (minor["band"] <= i) for i in range(bands)])
+    test = (
+        (minor["band"] == other["band"]) & (minor["h"] == other["h"]) & (F.col("ga") != F.col("gb"))
+        & ((F.col("gb") == F.col("main")) | (F.col("a") < F.col("b"))) & alike(F.col("ta"), F.col("tb")) & first
+        & (most * (1 + threshold) + 1e-6 >= threshold * (F.col("ta") + F.col("tb")))
+    )
+    rest = minor.join(other, test).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     more = cut(_verify(cut(rest), docs, doc_id, text, threshold))
     if not more.isEmpty():
         groups = connected_components(links.unionByName(more), "a", "b")
