@@ -117,10 +117,11 @@ def _cosine(pairs: DataFrame, threshold: float) -> DataFrame:
         for part in parts:
             for lo in range(0, len(part), 4000):
                 p = part.iloc[lo : lo + 4000]
-                x, y = (np.stack(p[k].to_numpy()).astype(np.float64) for k in ("va", "vb"))
-                x, y = x / np.abs(x).max(1, keepdims=True), y / np.abs(y).max(1, keepdims=True)
-                cos = (x * y).sum(1) / np.sqrt((x * x).sum(1) * (y * y).sum(1))
-                yield p.loc[cos >= threshold, ["a", "b"]]
+                for _, q in p.groupby(p["va"].map(len), sort=False):
+                    x, y = (np.stack(q[k].to_numpy()).astype(np.float64) for k in ("va", "vb"))
+                    x, y = x / np.abs(x).max(1, keepdims=True), y / np.abs(y).max(1, keepdims=True)
+                    cos = (x * y).sum(1) / np.sqrt((x * x).sum(1) * (y * y).sum(1))
+                    yield q.loc[cos >= threshold, ["a", "b"]]
 
     return pairs.mapInPandas(run, "a long, b long")
 
