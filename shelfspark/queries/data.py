@@ -266,7 +266,7 @@ def micro(spark, sf_dir):
     return metrics.overall_report(predictions(spark, sf_dir)).select(F.round("micro", 6).alias("micro"))
 
 
-@query("M08_judged_kept", "select (select count(distinct doc_id) from labels) as judged, greatest(600, (select count(distinct doc_id) from labels)) as kept")
+@query("M08_judged_kept", "select (select count(distinct doc_id) from labels) as judged, least((select count(*) from documents), greatest(600, (select count(distinct doc_id) from labels))) as kept")
 def judged_kept(spark, sf_dir):
     docs, judged = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id")), table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"))
     sub = datasets.catalog_subsample(docs, judged, 600, 7)

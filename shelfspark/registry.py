@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .queries import ORACLES, QUERIES
-from .queries import data, flows, scalars, search  # noqa: F401  they register their queries
+from .queries import data, flows, scalars, search, surfaces  # noqa: F401  they register their queries
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
