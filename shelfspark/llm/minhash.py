@@ -33,14 +33,14 @@ from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
 from ..plans.predicates import all_of
-from ..session import cut
+from ..session import cut, release
 from .decontam import normalise
 
 WORDS = 5
 THRESHOLD = 0.8
 BANDS = 24
 ROWS = 4
-PIVOTS = 4
+PIVOTS = 2
 #: 64-bit words of a document's bitmap.
 BITMAP = 64
 CHUNK = 2_000_000
@@ -261,6 +261,7 @@ def near_duplicates(
     spots = heads.select(F.col("id").alias("c"), "total", F.posexplode("bands").alias("band", "h"))
     pivot = lambda r: F.min(F.struct(F.xxhash64("c", F.lit(r)).alias("x"), F.col("c").alias("p"), F.col("total").alias("ta")))
     shared = spots.groupBy("band", "h").agg(F.count("*").alias("n"), F.array_distinct(F.array(*(pivot(r) for r in range(PIVOTS)))).alias("pivots")).filter("n > 1")
+    release(docs.sparkSession)
     spots = cut(spots.join(shared.select("band", "h", "pivots"), ["band", "h"]))
     alike = lambda a, b: F.least(a, b) >= threshold * F.greatest(a, b)
     stars = (
@@ -270,12 +271,15 @@ def near_duplicates(
         .distinct()
     )
     links = cut(_verify(cut(stars), docs, doc_id, text, threshold))
+    release(docs.sparkSession)
     groups = connected_components(links, "a", "b")
+    release(docs.sparkSession)
     placed = spots.join(groups, spots["c"] == groups["node"], "left").select("band", "h", "c", "total", F.exists("pivots", lambda x: x["p"] == F.col("c")).alias("pivot"), F.coalesce("component", "c").alias("g"))
     sizes = placed.groupBy("band", "h", "g").agg(F.count("*").alias("n"))
     split = sizes.groupBy("band", "h").agg(F.count("*").alias("groups"), F.max(F.struct("n", "g"))["g"].alias("main")).filter("groups > 1")
     apart = cut(placed.filter("not pivot").join(split.select("band", "h", "main"), ["band", "h"]))
     maps = _bitmaps(cut(apart.select(F.col("c").alias("id")).distinct()), docs, doc_id, text)
+    release(docs.sparkSession)
     codes = heads.select(F.col("id").alias("c"), *(F.coalesce(F.get("bands", F.lit(i)), F.lit(0)).alias(f"h{i}") for i in range(bands)))
     apart = apart.join(maps, "c").join(codes, "c")
     words = [f"w{i}" for i in range(BITMAP)]
@@ -291,7 +295,9 @@ def near_duplicates(
         & (most * (1 + threshold) + 1e-6 >= threshold * (F.col("ta") + F.col("tb")))
     )
     rest = minor.join(other, test).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    more = cut(_verify(cut(rest), docs, doc_id, text, threshold))
+    rest = cut(rest)
+    release(docs.sparkSession)
+    more = cut(_verify(rest, docs, doc_id, text, threshold))
     if not more.isEmpty():
         groups = connected_components(links.unionByName(more), "a", "b")
     found = member.join(groups, member["c"] == groups["node"], "left").groupBy("id").agg(F.min(F.coalesce("component", "c")).alias("class_id"))
