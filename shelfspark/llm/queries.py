@@ -65,6 +65,22 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_decontaminate, op2_personal_data, op3_html_text, op4_url_filter, op5_quality, op6_suffix_dedup, op7_near_duplicates, op8_language, op9_pack, op10_embedding_dedup)}
 
 
+_WORDS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+OP1_SQL = f"""
+with w as (select row_number() over () as rid, doc_id, coalesce({_WORDS}, []) as ws from documents),
+i as (select item_id, {_WORDS} as ws from benchmark where text is not null),
+windows as (
+  select distinct item_id, len(p) as n, array_to_string(p, ' ') as s from (
+    select item_id, unnest(list_transform(range(1, greatest(len(ws) - 9, 1) + 1), lambda k: list_slice(ws, k, k + 9))) as p from i where len(ws) > 0)
+), places as (
+  select rid, n, unnest(list_transform(range(1, len(ws) - n + 2), lambda k: {{'k': k, 's': array_to_string(list_slice(ws, k, k + n - 1), ' ')}})) as x
+  from w cross join (select distinct n from windows) where len(ws) >= n
+), hits as (select rid, x.k as k, n, item_id from places join windows using (n) where x.s = s),
+words as (select rid, count(distinct j) as n_hit from (select rid, unnest(range(k, k + n)) as j from hits) group by rid),
+items as (select rid, count(distinct item_id) as n_items, string_agg(distinct cast(item_id as varchar), ',' order by cast(item_id as varchar)) as ids from hits group by rid)
+select doc_id, len(ws) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, sha256(coalesce(ids, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from w left join words using (rid) left join items using (rid)
+"""
 OP10_SQL = """
 with recursive e as (
   select vec_id, cast(embedding as double[]) as v from embeddings
@@ -82,4 +98,4 @@ left join (select a, min(b) as m from reach group by a) c on vec_id = c.a
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_embedding_dedup": OP10_SQL}
+    return {"op1_decontaminate": OP1_SQL, "op10_embedding_dedup": OP10_SQL}
