@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.prices import passes_price_filter, resolve_price
-from ..functions.taxonomy import code_depth, code_parent, split_path, starts_with_path
+from ..functions.taxonomy import code_depth, code_parent, starts_with_path
 from . import predicates
 from .request import SearchRequest, SortPlan, sort_plan
 
