@@ -30,7 +30,7 @@ KINDS = ("email", "ip", "card", "phone")
 ROUNDS = 3
 ACCEPT = 0.9
 SUPPORT = 20
-#: Accepted patterns up to this many rows are broadcast.
+#: Accepted patterns, and texts with new spans, up to this many rows are broadcast.
 BROADCAST_PATTERNS = 100_000
 
 # A failing run of address characters fails from each of its places, so only its first place, or the end of the last match, is tried.
@@ -165,7 +165,9 @@ def find_personal_data(
         trusted = F.broadcast(trusted)
     hits = patterns_of(found.filter(~F.col("known"))).join(trusted, "pattern")
     best = hits.groupBy("_key", "start", "end").agg(F.max_by("kind", F.struct("confidence", "kind")).alias("kind"))
-    added = best.groupBy("_key").agg(F.collect_set(F.struct("kind", "start", "end")).alias("_new"))
+    added = cut(best.groupBy("_key").agg(F.collect_set(F.struct("kind", "start", "end")).alias("_new")))
+    if added.count() <= BROADCAST_PATTERNS:
+        added = F.broadcast(added)
     whole = with_base(docs, text, [key, *(F.col(c).alias(f"c{i}") for i, c in enumerate(keep))]).join(added, "_key", "left")
     rank = lambda k: F.array_position(F.array(*map(F.lit, KINDS)), k)
 
