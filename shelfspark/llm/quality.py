@@ -52,7 +52,7 @@ class Features:
     What a word gives is kept for the next text, for a bounded number of words.
     """
 
-    def __init__(self, wanted: set[int] | None = None, room: int = 400_000):
+    def __init__(self, wanted: set[int] | None = None, room: int = 150_000):
         self.wanted, self.room = wanted, room
         self.words: dict[str, tuple[tuple[int, ...], bool, bool, bool]] = {}
 
