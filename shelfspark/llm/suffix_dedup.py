@@ -14,10 +14,12 @@ growing extents until a position is unique or the extent passes the threshold:
 4. Where contexts of one gram differ, their windows themselves, at full length,
    are ranked. Windows that occur twice are repeats.
 
-Ranks are 64-bit fingerprints of byte ranges from prefix sums, so a text is read
-once per step whatever the extents. All groupings aggregate on the map side; no
-group is gathered in one task. Lists of positions go back to their texts by a
-broadcast while they are below a checked size, and by a shuffle beyond it.
+Ranks are 64-bit fingerprints of byte ranges from prefix sums. All groupings
+aggregate on the map side and hold a few longs a row; no group is gathered in one
+task. Positions are made again from the texts rather than kept, and what a step
+leaves is joined to them by a shuffle of a few longs a row at every size. Only the
+lists of positions that go back to their texts are broadcast while they are below
+a checked size, and joined by a shuffle beyond it.
 
 Null is empty; texts shorter than `length` are untouched. Repeated rows are
 repeats of each other. Empty tables give no rows.
@@ -25,7 +27,6 @@ repeats of each other. Empty tables give no rows.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,11 +34,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut
+from ..session import cut, release
 
 LENGTH = 200
 GRAM = 64
-#: Position lists up to this many entries (8 bytes each) are broadcast.
+#: Lists of positions by text, up to this many entries, are broadcast.
 BROADCAST_POSITIONS = 4_000_000
 
 _U = np.uint64
@@ -109,11 +110,16 @@ def _keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     return docs.select(F.xxhash64(doc_id, text).alias("k"), F.col(text).alias("t")).filter(F.length("t") > 0)
 
 
+_ANCHOR = (["p", "g", "c", "r"], [np.int32, np.int64, np.int64, np.int64])
+
+
 def _anchor_rows(keyed: DataFrame, length: int, gram: int) -> DataFrame:
+    """(k, p, g, c, r) of each anchor: its gram, gram and context, and a number for the row."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys = batch.column(0).to_pylist()
-            ids, out, held = [], [[], [], []], 0
+            ids, out, held = [], [[], [], [], []], 0
             for key, t in zip(keys, batch.column(1), strict=True):
                 raw = t.as_py().encode()
                 if len(raw) < length:
@@ -123,17 +129,19 @@ def _anchor_rows(keyed: DataFrame, length: int, gram: int) -> DataFrame:
                 lo, hi = _bounds(at, len(raw), length, gram)
                 own = grams[at]
                 context = _mix(prints.ranges(lo, hi) + (at - lo).astype(np.uint64) * _U(0x1000193) + (hi - at).astype(np.uint64))
+                context = _mix(context + own * _U(0x2545F4914F6CDD1D))
+                row = _mix(np.uint64(key % (1 << 64)) ^ _mix(at.astype(np.uint64) + _U(0x9E3779B97F4A7C15)))
                 ids.append(key)
-                for a, x in zip(out, (at, own.view(np.int64), context.view(np.int64)), strict=True):
+                for a, x in zip(out, (at, own.view(np.int64), context.view(np.int64), row.view(np.int64)), strict=True):
                     a.append(x)
                 held += len(at)
                 if held > 200_000:
-                    yield _runs(ids, out, ["p", "g", "c"], [np.int32, np.int64, np.int64])
-                    ids, out, held = [], [[], [], []], 0
+                    yield _runs(ids, out, *_ANCHOR)
+                    ids, out, held = [], [[], [], [], []], 0
             if ids:
-                yield _runs(ids, out, ["p", "g", "c"], [np.int32, np.int64, np.int64])
+                yield _runs(ids, out, *_ANCHOR)
 
-    return keyed.mapInArrow(run, "k long, p int, g long, c long")
+    return keyed.mapInArrow(run, "k long, p int, g long, c long, r long")
 
 
 def _with_lists(docs: DataFrame, lists: DataFrame, entries: int, how: str = "left") -> DataFrame:
@@ -176,32 +184,51 @@ def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """(k, spans) with the repeated byte ranges of each text that has any, and how many entries there are."""
     keyed = _keyed(docs, doc_id, text)
     found = _anchor_rows(keyed, length, gram)
-    contexts = cut(found.groupBy("g", "c").agg(F.count("*").alias("n"), F.min(F.struct("k", "p")).alias("first")))
-    grams = contexts.groupBy("g").agg(F.sum("n").alias("total"), F.count("*").alias("kinds")).filter("total > 1")
-    shared = cut(contexts.join(grams.select("g", "kinds"), "g"))
+    grams = found.groupBy("g").agg(F.count("*").alias("n"), F.min("c").alias("lo"), F.max("c").alias("hi"))
+    grams = cut(grams.filter("n > 1").select("g", (F.col("lo") != F.col("hi")).alias("differ")))
+    again = cut(found.join(grams, "g").select("k", "p", "c", "r", "differ"))
+    contexts = again.groupBy("c").agg(F.count("*").alias("n"), F.min("r").alias("r"), F.max("differ").alias("differ"))
+    contexts = cut(contexts.filter("n > 1 or differ"))
     # a context that occurs twice is covered as a whole; of those whose gram has others, one witness is opened
-    whole = shared.filter("n > 1").select("g", "c")
-    places = cut(found.join(whole, ["g", "c"], "left_semi").select("k", "p").distinct())
-    opened = cut(shared.filter("kinds > 1").select("first.k", "first.p").groupBy("k").agg(F.collect_list("p").alias("ps"), F.count("*").alias("n")))
-    entries = opened.agg(F.sum("n")).first()[0] or 0
-    windows = _window_rows(_with_lists(keyed, opened, entries, "inner"), length, gram)
-    windows = cut(windows)
-    twice = windows.groupBy("w").agg(F.count("*").alias("n")).filter("n > 1").select("w")
-    singles = windows.join(twice, "w", "left_semi").select("k", "p", F.lit(False).alias("wide"))
+    release(docs.sparkSession)
+    places = again.select("k", "p", "c").join(contexts.filter("n > 1").select("c"), "c").select("k", "p").distinct()
+    # witnesses of repeated contexts are only counted; what a lone context holds is looked up after that
+    lone = cut(again.select("k", "p", "r").join(contexts.filter("differ").select("r", (F.col("n") == 1).alias("lone")).distinct(), "r").select("k", "p", "lone").distinct())
+    positions = lambda rows: cut(rows.groupBy("k").agg(F.collect_list("p").alias("ps")))
+    everything, needed = positions(lone), positions(lone.filter("lone"))
+    entries = lone.count()
+    twice = _window_rows(_with_lists(keyed, everything, entries, "inner"), length, gram).groupBy("w").agg(F.count("*").alias("n"))
+    twice = cut(twice.filter("n > 1").select("w"))
+    release(docs.sparkSession)
+    singles = _window_rows(_with_lists(keyed, needed, entries, "inner"), length, gram).join(twice, "w").select("k", "p").distinct().withColumn("wide", F.lit(False))
     marks = places.select("k", "p", F.lit(True).alias("wide")).unionByName(singles)
-    spans = cut(marks.groupBy("k").agg(F.collect_list(F.when(F.col("wide"), F.col("p"))).alias("anchors"), F.collect_list(F.when(~F.col("wide"), F.col("p"))).alias("windows")))
-    total = spans.agg(F.sum(F.size("anchors") + F.size("windows"))).first()[0] or 0
+    lists = marks.groupBy("k").agg(
+        F.collect_list(F.when(F.col("wide"), F.col("p"))).alias("anchors"), F.collect_list(F.when(~F.col("wide"), F.col("p"))).alias("windows")
+    )
+    spans = cut(_merged(lists, length, gram))
+    release(docs.sparkSession)
+    total = spans.agg(F.sum(F.size("starts"))).first()[0] or 0
     return spans, total
 
 
-def covered(n: int, at: np.ndarray, windows: np.ndarray, length: int, gram: int) -> np.ndarray:
-    """Mask of the bytes of a text under its repeated contexts and windows."""
-    edge = np.zeros(n + 1, np.int32)
-    lo, hi = _bounds(at, n, length, gram)
-    for a, b in ((lo, hi), (windows, windows + length)):
-        np.add.at(edge, a, 1)
-        np.add.at(edge, b, -1)
-    return np.cumsum(edge[:-1]) > 0
+def _merged(lists: DataFrame, length: int, gram: int) -> DataFrame:
+    """(k, starts, ends): contexts and windows of each text as disjoint byte ranges, not yet cut at its end."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            starts, ends = [], []
+            for a, w in zip(batch.column("anchors"), batch.column("windows"), strict=True):
+                at, windows = (x.values.to_numpy().astype(np.int64) for x in (a, w))
+                lo = np.concatenate([np.maximum(at - (length - gram), 0), windows])
+                hi = np.concatenate([at, windows]) + length
+                order = np.argsort(lo, kind="stable")
+                lo, reach = lo[order], np.maximum.accumulate(hi[order])
+                new = np.flatnonzero(np.concatenate([[True], lo[1:] > reach[:-1]]))
+                starts.append(lo[new])
+                ends.append(reach[np.append(new[1:], len(lo)) - 1])
+            yield pa.RecordBatch.from_arrays([batch.column("k"), pa.array(starts, pa.list_(pa.int32())), pa.array(ends, pa.list_(pa.int32()))], names=["k", "starts", "ends"])
+
+    return lists.mapInArrow(run, "k long, starts array<int>, ends array<int>")
 
 
 def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int = GRAM, carry: list[str] | None = None) -> DataFrame:
@@ -216,16 +243,12 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ranges, left = [], []
-            for t, a, w in zip(batch.column("t"), batch.column("anchors"), batch.column("windows"), strict=True):
+            for t, a, b in zip(batch.column("t"), batch.column("starts"), batch.column("ends"), strict=True):
                 raw = (t.as_py() or "").encode()
-                if not a.is_valid:
-                    ranges.append([])
-                    left.append(raw)
-                    continue
-                gone = covered(len(raw), a.values.to_numpy().astype(np.int64), w.values.to_numpy().astype(np.int64), length, gram)
-                edge = np.flatnonzero(np.diff(gone, prepend=False, append=False))
-                ranges.append([{"start": int(x), "end": int(y)} for x, y in edge.reshape(-1, 2)])
-                left.append(np.frombuffer(raw, np.uint8)[~gone].tobytes())
+                pairs = [(x, min(y, len(raw))) for x, y in zip(a.as_py() or (), b.as_py() or (), strict=True)]
+                ranges.append([{"start": x, "end": y} for x, y in pairs])
+                edges = [0, *(e for p in pairs for e in p), len(raw)]
+                left.append(b"".join(raw[x:y] for x, y in zip(edges[::2], edges[1::2], strict=True)))
             yield pa.RecordBatch.from_arrays([*(batch.column(f"c{i}") for i in range(len(keep))), pa.array(ranges, kind), pa.array(left, pa.binary())], names=[*keep, "spans", "kept"])
 
     return joined.mapInArrow(run, schema)
