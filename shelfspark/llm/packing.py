@@ -31,8 +31,8 @@ from pyspark.sql import DataFrame
 CAPACITY = 4096
 END_ID = 2
 BLOCK_WINDOWS = 256
-BATCH_BYTES = 16_000_000
-CACHE_WORDS = 1_000_000
+BATCH_BYTES = 6_000_000
+CACHE_WORDS = 600_000
 _PLAIN = "\u0250"  # letters below it stay one letter in lower case, but for U+0130
 _LETTER = r"[a-zß-öø-ÿĀ-įı-ɏ]"
 
@@ -60,7 +60,7 @@ class WordCache:
     def _reset(self) -> None:
         self.known: dict[str, int] = {}
         self.used = self.words = 0
-        self.flat, self.first, self.count = np.zeros(1 << 16, np.uint32), np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
+        self.flat, self.first, self.count = np.zeros(1 << 16, np.uint32), np.zeros(1 << 14, np.int32), np.zeros(1 << 14, np.int32)
 
     def _each(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         got = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
@@ -102,12 +102,13 @@ class WordCache:
             if other := list(dict.fromkeys(missing).keys() - set(plain)):
                 self._learn(other, *self._each(other))
             found = list(map(self.known.get, words))
-        of = np.array(found, np.int64)
+        of = np.array(found, np.int32)
         n = self.count[of]
-        end = np.cumsum(n)
-        take = np.arange(int(n.sum()), dtype=np.int32) + np.repeat((self.first[of] - (end - n)).astype(np.int32), n)
-        n = n + (stop > 0)
-        return np.insert(self.flat[take], end[stop > 0], stop[stop > 0]), np.cumsum(n) - n, n
+        end = np.cumsum(n, dtype=np.int32)
+        take = np.repeat(self.first[of] - (end - n), n)
+        take += np.arange(len(take), dtype=np.int32)
+        flat, n = np.insert(self.flat[take], end[stop > 0], stop[stop > 0]), n + (stop > 0).astype(np.int32)
+        return flat, np.cumsum(n, dtype=np.int32) - n, n
 
     def encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids, each text followed by end_id, and the number of ids of each text."""
@@ -119,12 +120,12 @@ class WordCache:
         # the end id is a part of its own after each text
         ends = np.cumsum(np.diff(parts.offsets.to_numpy()))
         code = np.insert(code, ends, len(first))
-        flat, first, count = np.append(flat, np.uint32(end_id)).astype("<u4"), np.append(first, len(flat)), np.append(count, 1)
+        flat, first, count = np.append(flat, np.uint32(end_id)).astype("<u4"), np.append(first, np.int32(len(flat))), np.append(count, np.int32(1))
         n = count[code]
-        upto = np.cumsum(n)
-        take = np.repeat((first[code] - (upto - n)).astype(np.int32), n)
+        upto = np.cumsum(n, dtype=np.int32)
+        take = np.repeat(first[code] - (upto - n), n)
         take += np.arange(len(take), dtype=np.int32)
-        return flat[take], np.diff(upto[ends + np.arange(len(ends))], prepend=0)
+        return flat[take], np.diff(upto[ends + np.arange(len(ends))].astype(np.int64), prepend=0)
 
 
 _caches: dict[str, WordCache] = {}
@@ -233,6 +234,7 @@ def pack_documents(
         if tokenizer_path not in _caches:
             _caches[tokenizer_path] = WordCache(tokenizer_path)
         cache = _caches[tokenizer_path]
+        pa.set_memory_pool(pa.system_memory_pool())  # gives large buffers back as soon as they are free
         sequence = TaskContext.get().partitionId() << 40
         held: list[tuple[pa.Array, np.ndarray, np.ndarray]] = []
         total = 0
