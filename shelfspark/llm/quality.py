@@ -189,6 +189,7 @@ def score(docs: DataFrame, model: Ordinal | None, text: str = "text", carry: lis
         for batch in batches:
             tails = np.array([m.tails(features(t.as_py())) for t in batch.column(text)]).reshape(batch.num_rows, -1)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(tails.sum(1)), pa.array(tails[:, -1])], names=names)
+        features.words.clear()  # workers are used again by other stages
 
     return docs.mapInArrow(run, shaped.schema)
 
