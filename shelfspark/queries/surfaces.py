@@ -13,7 +13,7 @@ from ..operators import ann, datasets
 from ..operators.embedding import embed, stub_vectors
 from ..session import table
 from . import query
-from .data import asked, corpus
+from .data import asked, corpus, whole
 from .flows import folder
 
 
@@ -83,6 +83,9 @@ def search_rows(spark, sf_dir):
     return ann.with_match(hits, corpus(spark, sf_dir)).select("qid", "id", "match_label")
 
 
+query("R20_search_rows_whole", "select vec_id as qid, vec_id as id, label as match_label from embeddings where vec_id % 100 = 0")(whole(search_rows))
+
+
 @query("R21_merged_indexes", "select count(*) as rows from embeddings")
 def merged(spark, sf_dir):
     rows, at = corpus(spark, sf_dir).select("id", "v"), folder(spark)

@@ -10,11 +10,12 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from shelfspark import registry
 from shelfspark.functions import identifiers, ids, prices, taxonomy, text, vectors
 from shelfspark.operators import ann, datasets, metrics, retrieval
 from shelfspark.operators.components import connected_components
 from shelfspark.plans import predicates, request, search
-from shelfspark.queries import catalog
+from shelfspark.queries import catalog, data
 from shelfspark.sources import readers, sinks
 
 from .conftest import SMALL
@@ -188,3 +189,19 @@ def test_zero_vectors(spark):
 def test_filters_reach_the_scan(spark):
     plan = catalog.offers(spark, SMALL).filter("delivery_time_days_max <= 3").select("id")._jdf.queryExecution().toString()
     assert "l_shipdate" not in plan.split("ReadSchema")[-1]
+
+
+def test_whole_searches_ask_every_hundredth_id(spark):
+    rows = spark.read.parquet(f"{SMALL}/embeddings.parquet").orderBy("vec_id").collect()
+    x = np.array([r.embedding for r in rows], np.float64)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    got = {(r.qid, r["rank"]): r.id for r in registry.queries()["R01_dense_top_k_whole"](spark, SMALL).collect()}
+    asked = [i for i, r in enumerate(rows) if r.vec_id % 100 == 0]
+    want = np.argsort(-np.round(x[asked] @ x.T, 9), axis=1, kind="stable")[:, :10]
+    assert got == {(rows[i].vec_id, k + 1): rows[want[j, k]].vec_id for j, i in enumerate(asked) for k in range(10)}
+
+
+def test_whole_forms_exist_for_all_cut_searches():
+    cut = {n for n, s in registry.oracle_sql().items() if "vec_id < 20" in s} - data.CUT_OTHERWISE
+    assert cut and all(f"{n}_whole" in registry.queries() for n in cut)
+    assert not any("vec_id < 20" in registry.oracle_sql()[f"{n}_whole"] for n in cut)
