@@ -9,14 +9,15 @@ exact search.
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .retrieval import dense_top_k, top_k
+from ..session import cut
+from .retrieval import dense_top_k, recall_at, top_k
 
 SAMPLE_ROWS = 20_000
 
@@ -173,10 +174,25 @@ def pq_search(queries: DataFrame, coded: DataFrame, codes: ProductCodes, k: int,
     return top_k(_scored(pairs), k, ["qid"])
 
 
+def reaching(search: Callable[[int], DataFrame], truth: DataFrame, k: int, width: int, most: int, least: float = 0.9) -> tuple[int, DataFrame]:
+    """(width, recall per query) of a search whose width doubles until its mean recall against exact search is `least`.
+
+    Raises ValueError if the greatest width does not reach it.
+    """
+    while True:
+        recall = cut(recall_at(search(width), truth, k))
+        mean = recall.agg(F.avg("recall")).first()[0]
+        if mean is None or mean >= least:
+            return width, recall
+        if width >= most:
+            raise ValueError(f"a recall of {mean} at the greatest width")
+        width = min(2 * width, most)
+
+
 def with_match(hits: DataFrame, metadata: DataFrame, key: str = "id") -> DataFrame:
     """Hits with the columns of metadata, prefixed match_."""
     named = metadata.select(F.col(key).alias("id"), *(F.col(c).alias(f"match_{c}") for c in metadata.columns))
     return hits.join(named, "id").orderBy("qid", "rank")
 
 
-__all__ = ["dense_top_k", "ivf_search", "pq_search"]
+__all__ = ["dense_top_k", "ivf_search", "pq_search", "reaching"]

@@ -205,3 +205,13 @@ def test_whole_forms_exist_for_all_cut_searches():
     cut = {n for n, s in registry.oracle_sql().items() if "vec_id < 20" in s} - data.CUT_OTHERWISE
     assert cut and all(f"{n}_whole" in registry.queries() for n in cut)
     assert not any("vec_id < 20" in registry.oracle_sql()[f"{n}_whole"] for n in cut)
+
+
+def test_recall_is_at_least_nine_tenths(spark):
+    for name in ("R16_cells_whole", "R17_product_codes_whole", "R18_graph_stand_in_whole"):
+        r = registry.queries()[name](spark, SMALL).first()
+        assert r.queries == 5 and r.recall >= 0.9
+    assert data.cells_recall(spark, SMALL)[1].agg(F.avg("recall")).first()[0] >= 0.9
+    low = spark.createDataFrame([(0, 5, 1)], "qid long, id long, rank int")
+    with pytest.raises(ValueError, match="recall"):
+        ann.reaching(lambda n: low.withColumn("id", F.lit(9).cast("long")), low, 10, 2, 4)
