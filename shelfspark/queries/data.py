@@ -865,3 +865,10 @@ def key_lookup_whole(spark, sf_dir):
 query("R16_cells_whole")(whole(lambda spark, sf_dir: measured(*cells_recall(spark, sf_dir))))
 query("R17_product_codes_whole")(whole(lambda spark, sf_dir: measured(*codes_recall(spark, sf_dir))))
 query("R18_graph_stand_in_whole")(whole(lambda spark, sf_dir: measured(*cells_recall(spark, sf_dir, 12))))
+
+
+@query("D03_split_by_component_whole")
+def split_by_component_whole(spark, sf_dir):
+    """The split of every lineitem, by the components of its orders and parts."""
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
+    return datasets.split_by_component(rows, "l_orderkey", "l_partkey", 0.2, 3)

@@ -1,6 +1,7 @@
 """Behaviour that SQL checks do not reach: requests, edge cases, splits, components, files."""
 
 import gzip
+import hashlib
 import random
 import struct
 import uuid
@@ -215,3 +216,32 @@ def test_recall_is_at_least_nine_tenths(spark):
     low = spark.createDataFrame([(0, 5, 1)], "qid long, id long, rank int")
     with pytest.raises(ValueError, match="recall"):
         ann.reaching(lambda n: low.withColumn("id", F.lit(9).cast("long")), low, 10, 2, 4)
+
+
+def test_every_lineitem_is_split_by_its_component(spark, tmp_path):
+    """Against union-find: seven chains, orders and parts with the same numbers, one component of most rows."""
+    rng = random.Random(5)
+    rows = [(100 * c + rng.randrange(12), n, 100 * c + rng.randrange(8)) for c in range(7) for n in range(10)]
+    rows += [(2000 + rng.randrange(60), n, 2000 + rng.randrange(9)) for n in range(200)] + [(1, 900, 3000), (3000, 901, 1)]
+    spark.createDataFrame(rows, "l_orderkey long, l_linenumber int, l_partkey long").repartition(3).write.parquet(f"{tmp_path}/lineitem.parquet")
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for o, _, p in rows:
+        x, y = find(f"q:{o}"), find(f"o:{p}")
+        root[max(x, y)] = min(x, y)
+    members = {}
+    for o, _, _ in rows:
+        members.setdefault(find(f"q:{o}"), set()).add(o)
+    target, held, chosen = max(1, int(0.2 * len({o for o, _, _ in rows}))), 0, set()
+    for c in sorted(members, key=lambda c: (hashlib.md5(f"{c}#3".encode()).hexdigest(), c)):
+        if held < target:
+            chosen.add(c)
+            held += len(members[c])
+    got = registry.queries()["D03_split_by_component_whole"](spark, str(tmp_path)).collect()
+    want = sorted((o, n, p, "validation" if find(f"q:{o}") in chosen else "train") for o, n, p in rows)
+    assert sorted(tuple(r) for r in got) == want and {w[3] for w in want} == {"train", "validation"}
