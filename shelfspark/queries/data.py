@@ -872,3 +872,9 @@ def split_by_component_whole(spark, sf_dir):
     """The split of every lineitem, by the components of its orders and parts."""
     rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
     return datasets.split_by_component(rows, "l_orderkey", "l_partkey", 0.2, 3)
+
+
+@query("W09_leg_ranks_whole", f"{SCORES} select qid, id, rank from (select qid, id, row_number() over (partition by qid order by score desc, id) as rank from s) where rank <= 50".replace("vec_id < 20", "vec_id % 100 = 0"))
+@whole
+def leg_ranks_whole(spark, sf_dir):
+    return retrieval.with_rank(dense(spark, sf_dir, 50).drop("rank"), ["qid"]).select("qid", "id", F.col("rank").cast("long").alias("rank"))

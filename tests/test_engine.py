@@ -245,3 +245,8 @@ def test_every_lineitem_is_split_by_its_component(spark, tmp_path):
     got = registry.queries()["D03_split_by_component_whole"](spark, str(tmp_path)).collect()
     want = sorted((o, n, p, "validation" if find(f"q:{o}") in chosen else "train") for o, n, p in rows)
     assert sorted(tuple(r) for r in got) == want and {w[3] for w in want} == {"train", "validation"}
+
+
+def test_leg_ranks_score_the_whole_corpus(spark):
+    got = registry.queries()["W09_leg_ranks_whole"](spark, SMALL)
+    assert got.filter("id >= 50").count() > 0 and got.groupBy("qid").count().filter("count <> 50").count() == 0
