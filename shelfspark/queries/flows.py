@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from ..operators import datasets
 from ..plans import materialise
 from ..session import scratch, table
 from ..sources import readers, sinks
@@ -36,6 +37,23 @@ def wrapped(spark, sf_dir):
     return got["offers"].agg(F.count("*").cast("int").alias("offers")).crossJoin(got["pricings"].agg(F.count("*").cast("int").alias("pricings")))
 
 
+WRAPPED_RECORDS = 1000
+
+
+@query("S02_wrapped_scan_whole", "select (select count(*) from lineitem where l_linenumber = 1) as offers, (select count(*) from lineitem o join lineitem p on o.l_partkey = p.l_partkey and o.l_suppkey = p.l_suppkey where o.l_linenumber = 1 and p.l_linenumber = 2) as pricings")
+def wrapped_whole(spark, sf_dir):
+    """All offers, each with the prices of its article, in files of at most WRAPPED_RECORDS records."""
+    at = folder(spark)
+    c = raw_collections(spark, sf_dir)
+    key = ["articleNumber", "vendorId"]
+    prices = c["pricings"].groupBy(*key).agg(F.collect_list(F.struct(*(F.col(x) for x in c["pricings"].columns))).alias("pricings"))
+    offers = c["offers"].select(*key, F.struct("*").alias("offer")).join(prices, key, "left")
+    rows = datasets.row_ids(offers, [F.asc(x) for x in key], "n").withColumn("file", F.floor((F.col("n") - 1) / WRAPPED_RECORDS))
+    rows.groupBy("file").agg(F.collect_list(F.struct("offer", "pricings")).alias("records")).write.partitionBy("file").json(at)
+    got = readers.read_wrapped(spark, at)
+    return got["offers"].agg(F.count("*").alias("offers")).crossJoin(got["pricings"].agg(F.count("*").alias("pricings")))
+
+
 @query("S03_parquet_scan", "select r_regionkey, r_name from region")
 def parquet(spark, sf_dir):
     return table(spark, sf_dir, "region")

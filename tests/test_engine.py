@@ -16,7 +16,7 @@ from shelfspark.functions import identifiers, ids, prices, taxonomy, text, vecto
 from shelfspark.operators import ann, datasets, metrics, retrieval
 from shelfspark.operators.components import connected_components
 from shelfspark.plans import predicates, request, search
-from shelfspark.queries import catalog, data
+from shelfspark.queries import catalog, data, flows
 from shelfspark.sources import readers, sinks
 
 from .conftest import SMALL
@@ -250,3 +250,13 @@ def test_every_lineitem_is_split_by_its_component(spark, tmp_path):
 def test_leg_ranks_score_the_whole_corpus(spark):
     got = registry.queries()["W09_leg_ranks_whole"](spark, SMALL)
     assert got.filter("id >= 50").count() > 0 and got.groupBy("qid").count().filter("count <> 50").count() == 0
+
+
+def test_wrapped_scan_reads_all_offers_from_several_files(spark, monkeypatch):
+    monkeypatch.setattr(flows, "WRAPPED_RECORDS", 400)
+    at = []
+    monkeypatch.setattr(flows, "folder", lambda s, f=flows.folder: at.append(f(s)) or at[-1])
+    got = registry.queries()["S02_wrapped_scan_whole"](spark, SMALL).first()
+    li = spark.read.parquet(f"{SMALL}/lineitem.parquet")
+    n = [r.n for r in spark.read.option("multiLine", True).json(at[0]).select(F.size("records").alias("n")).collect()]
+    assert got.offers == li.filter("l_linenumber = 1").count() == sum(n) and len(n) > 1 and max(n) <= 400
