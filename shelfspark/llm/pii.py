@@ -2,14 +2,16 @@
 
 Four kinds are found exactly: email, ip, card, phone, leftmost and without
 overlap per kind, with code point offsets. These seed the method. A candidate is
-a token of the text with a digit or a mark of addresses; it has an instance (the
-token), and lexical patterns: its shape (runs of letters and digits with their
+a token of the text with a digit or a mark of addresses, the own span of a seed
+with blanks inside, or a run of up to `WORDS` words of digits that touches no
+span; it has an instance (its text), and lexical patterns: its shape (runs of letters and digits with their
 lengths) alone, and its coarse shape after the word before it. Patterns and
 instances form a graph of counted edges. Seeds start with confidence 1; then
 Spark repeats, on the aggregated edges only: a pattern's confidence is the
 smoothed mean confidence of its instances' occurrences, and an instance's is the
 best of its patterns. Tokens of patterns that end above `ACCEPT` with enough
-different instances, and that are no seed, become new spans of the seeds' kind.
+different instances, and that are no seed, become new spans of the seeds' kind,
+but for those within a longer new one.
 
 All of it is DataFrame expressions: spans come from interleaving the pieces that
 split and regexp_extract_all give. The regular expressions are possessive where
@@ -43,6 +45,10 @@ _REGEX = {
 }
 _SPAN = "array<struct<kind:string,start:int,end:int>>"
 _TOKEN = r"[^\s]*[0-9@][^\s]*"
+#: Words of digits with blanks between them. No kind with blanks has fewer digits than DIGITS[0] or more than DIGITS[1], so no more words either.
+_RUN = r"(?<![A-Za-z0-9+(.-])\+?[0-9][0-9().-]*+(?:\x20++\+?\(?[0-9][0-9().-]*+)++"
+DIGITS = (8, 19)
+WORDS = 19
 
 
 def _digits(x: Column) -> Column:
@@ -118,6 +124,36 @@ def candidates(based: DataFrame) -> DataFrame:
     return rows.select("_key", "start", end.alias("end"), "token", F.lower(before).alias("before"), F.try_element_at(inside, F.lit(1))["kind"].alias("seed"), (F.size(inside) > 0).alias("known")).filter(F.length("token").between(6, 256))
 
 
+def _before(text: Column, start: Column) -> Column:
+    return F.regexp_extract(F.substring(text, F.greatest(F.lit(1), start - 39), F.least(F.lit(40), start)), r"([^\s]+)\s*$", 1)
+
+
+def joined_candidates(based: DataFrame) -> DataFrame:
+    """Candidates with blanks inside, with the columns of `candidates`: own spans of seeds, and runs of words that touch no span."""
+    text = F.col("_t")
+    spans = F.concat(*(F.col(f"_{k}") for k in ("card", "phone")))
+    blank = F.filter(spans, lambda s: F.contains(F.substring(text, s["start"] + 1, s["end"] - s["start"]), F.lit(" ")))
+    own = based.select("_key", text, F.explode(blank).alias("s")).select("_key", text, "s.*")
+    seeds = own.select("_key", "start", "end", F.substring(text, F.col("start") + 1, F.col("end") - F.col("start")).alias("token"), F.lower(_before(text, F.col("start"))).alias("before"), F.col("kind").alias("seed"), F.lit(True).alias("known"))
+
+    runs = _positions(text, _RUN, text.rlike(r"[0-9][).-]?\x20++\+?\(?[0-9]"))
+    every = F.concat(*(F.col(f"_{k}") for k in KINDS))
+    rows = based.select("_key", text, every.alias("spans"), F.explode(runs).alias("x"))
+    far = F.col("x")["start"] + F.length(F.col("x")["match"])
+    near = F.filter("spans", lambda s: (s["start"] < far) & (s["end"] > F.col("x")["start"]))
+    rows = rows.select("_key", F.col("x")["start"].alias("at"), _before(text, F.col("x")["start"]).alias("lead"), near.alias("spans"), _positions(F.col("x")["match"], r"[^\x20]++", F.lit(True)).alias("words"))
+    rows = rows.select("_key", "at", "lead", "spans", F.explode(F.transform("words", lambda w, i: F.struct(F.when(i > 0, F.get("words", i - 1)["match"]).alias("last"), F.slice("words", i + 1, WORDS).alias("words")))).alias("y"))
+    rows = rows.select("_key", "at", "spans", F.coalesce("y.last", "lead").alias("before"), F.col("y.words").alias("words"))
+    rows = rows.select("*", F.explode(F.when(F.size("words") > 1, F.sequence(F.lit(2), F.size("words")))).alias("k"))
+    first = F.col("words")[0]["start"]
+    whole = F.aggregate(F.slice("words", F.lit(1), F.col("k")), F.lit(""), lambda a, w: F.concat(F.rpad(a, w["start"] - first, " "), w["match"]))
+    rows = rows.select("_key", "spans", "before", (F.col("at") + first).alias("start"), F.regexp_replace(whole, "[^0-9]+$", "").alias("token"))
+    end = F.col("start") + F.length("token")
+    free = ~F.exists("spans", lambda s: (s["start"] < end) & (s["end"] > F.col("start")))
+    rows = rows.filter(F.length(_digits(F.col("token"))).between(*DIGITS) & free)
+    return seeds.unionByName(rows.select("_key", "start", end.alias("end"), "token", F.lower("before").alias("before"), F.lit(None).cast("string").alias("seed"), F.lit(False).alias("known")))
+
+
 def _shape(token: Column, counted: bool) -> Column:
     """Letters become a or A and digits 9; runs are counted or folded."""
     x = F.regexp_replace(F.regexp_replace(F.regexp_replace(token, "[a-z]", "a"), "[A-Z]", "A"), "[0-9]", "9")
@@ -159,13 +195,15 @@ def find_personal_data(
     keep = [c for c in (docs.columns if carry is None else carry) if c not in (base, out)]
     key = F.xxhash64(F.col(doc_id), F.col(text)).alias("_key")
     based = with_base(docs, text, [key])
-    found = candidates(based)
+    found = candidates(based).unionByName(joined_candidates(based))
     trusted = score_patterns(found)
     if trusted.count() <= BROADCAST_PATTERNS:
         trusted = F.broadcast(trusted)
     hits = patterns_of(found.filter(~F.col("known"))).join(trusted, "pattern")
     best = hits.groupBy("_key", "start", "end").agg(F.max_by("kind", F.struct("confidence", "kind")).alias("kind"))
-    added = cut(best.groupBy("_key").agg(F.collect_set(F.struct("kind", "start", "end")).alias("_new")))
+    new = best.groupBy("_key").agg(F.collect_set(F.struct("kind", "start", "end")).alias("_new"))
+    longest = F.filter("_new", lambda s: ~F.exists("_new", lambda g: (g["start"] <= s["start"]) & (g["end"] >= s["end"]) & (g["end"] - g["start"] > s["end"] - s["start"])))
+    added = cut(new.select("_key", longest.alias("_new")))
     if added.count() <= BROADCAST_PATTERNS:
         added = F.broadcast(added)
     whole = with_base(docs, text, [key, *(F.col(c).alias(f"c{i}") for i, c in enumerate(keep))]).join(added, "_key", "left")

@@ -70,3 +70,17 @@ def test_empty(spark):
 def test_plan_has_no_python(spark):
     plan = pii.find_personal_data(docs(spark, seeded()[0]), carry=["doc_id"])._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def test_identifiers_with_blanks_are_found_whole(spark):
+    """The greedy run of a phone takes the digits after it and fails; a spaced card fails its check sum."""
+    good = [(i, f"call +1 ({200 + i}) 555-{1000 + i} or so") for i in range(60)]
+    cards = [f"4{i:014d}" for i in range(60)]
+    cards = [g + next(str(c) for c in range(10) if luhn(g + str(c))) for g in cards]
+    spaced = [" ".join(g[k : k + 4] for k in (0, 4, 8, 12)) for g in cards]
+    good += [(100 + i, f"paid with {g} today") for i, g in enumerate(spaced)]
+    wrong = spaced[0][:-1] + str((int(spaced[0][-1]) + 1) % 10)
+    odd = [(900, "Des +1 (826) 555-4081 190.137.223.204 du"), (901, f"typed {wrong}, no"), (902, "of 12 and 1999 2000 20 30 40 boxes"), (903, "1 2 3 4 5 6 7 8 9 " * 200)]
+    got = {r.doc_id: r.text for r in pii.mask(docs(spark, [*good, *odd])).collect()}
+    assert got[900] == "Des [PHONE] [IP] du" and got[901] == "typed [CARD], no" and got[902] == odd[2][1]
+    assert got[5] == "call [PHONE] or so" and got[105] == "paid with [CARD] today"
