@@ -1,18 +1,21 @@
-"""Session helpers shared by operators: checkpoint folder and table access."""
+"""Session helpers shared by operators: checkpoint folder, intermediate tables and table access."""
 
 from __future__ import annotations
 
 import gc
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's spark.checkpoint.dir; only where it is unset (tests) make one."""
+    """Use the cluster's spark.checkpoint.dir; where it is unset, one of this machine will do in local mode only."""
     if spark.conf.get("spark.checkpoint.dir", None):
         return
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
+        if not spark.sparkContext._jsc.sc().isLocal():
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="shelfspark-ckpt-"))
 
 
@@ -34,5 +37,38 @@ def scratch(spark: SparkSession) -> str:
     return spark.sparkContext._jsc.sc().getCheckpointDir().get()
 
 
+class Work:
+    """Intermediate tables of one computation in the shared folder, deleted as soon as it is over.
+
+    Nothing that is read after drop() may depend on them: results leave by cut().
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.at, self.n = spark, f"{scratch(spark)}/work-{uuid.uuid4().hex}", 0
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        """The rows of df, written once and read from there on."""
+        self.n += 1
+        path = f"{self.at}/{self.n}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self) -> None:
+        remove(self.spark, self.at)
+
+    def __enter__(self) -> Work:
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        self.drop()
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder by the file system that Spark would use for it."""
+    jvm = spark.sparkContext._jvm
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
