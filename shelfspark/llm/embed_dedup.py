@@ -7,15 +7,19 @@ Rows meet in a bucket when one's own bucket is a probe of the other. Distinct
 candidate pairs are verified by cosine in double precision.
 
 Equal vectors are one class before hashing, so groups of copies make no pairs;
-links count every vector of a class. Classes and links meet on (bucket, id) keys
-and pairs are distinct before vectors are read, so nothing but true neighbours
-is carried more than once.
+links count every vector of a class. Classes have numbers of their own, whatever
+their ids; rows find their class by a 128-bit hash of the vector. Classes meet on
+(bucket, number) keys and pairs are distinct before vectors are read, so nothing
+but true neighbours is carried more than once. A bucket that holds many classes
+is split by their numbers before it is joined.
 
 Vectors that are null, empty, zero, or hold null or non-finite components, link
-with nothing and are kept. Vectors of other lengths never meet. Repeated rows
-each count as a vector; an id with several vectors reports its first class. Null ids
-are rows without links.
-Empty tables give no rows.
+with nothing and are kept. Vectors of other lengths never meet. Ids are of any type
+that has an order. Each row counts as a vector, also if it repeats another or
+shares its id with other vectors: it reports its own vector's class, whose id is the
+least that any of the class has. Null ids are rows without links. Very long vectors
+are worked off in batches of bounded size. Other columns are not read, so their
+names can't clash. Empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -29,6 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
+from ..operators.skew import salted_join
 from ..session import cut
 
 THRESHOLD = 0.9
@@ -126,12 +131,20 @@ def _cosine(pairs: DataFrame, threshold: float) -> DataFrame:
     return pairs.mapInPandas(run, "a long, b long")
 
 
-def classes_of(vectors: DataFrame, vec_id: str, embedding: str) -> tuple[DataFrame, DataFrame]:
-    """(c, n, v) for each distinct usable vector, c its smallest id; (vec_id, c) of each usable row."""
-    rows = vectors.select(F.col(vec_id).cast("long").alias("id"), F.col(embedding).alias("v")).filter(_usable("v") & F.col("id").isNotNull())
-    rows = rows.withColumn("v", F.transform("v", lambda x: x.cast("double") + F.lit(0.0)))
-    grouped = cut(rows.groupBy("v").agg(F.min("id").alias("c"), F.count("*").alias("n")).select("c", "n", "v"))
-    return grouped, rows.join(grouped.select("v", "c"), "v").select("id", "c")
+def _rows(vectors: DataFrame, vec_id: str, embedding: str) -> DataFrame:
+    """(id, v, k1, k2) of each row; v and its hash are null where it links with nothing."""
+    rows = vectors.select(F.col(vec_id).alias("id"), F.col(embedding).alias("v"))
+    plain = F.transform("v", lambda x: x.cast("double") + F.lit(0.0))
+    rows = rows.withColumn("v", F.when(_usable("v") & F.col("id").isNotNull(), plain))
+    key = lambda seed: F.when(F.col("v").isNotNull(), F.xxhash64(F.lit(seed), "v"))
+    return rows.withColumns({"k1": key(1), "k2": key(2)})
+
+
+def classes_of(rows: DataFrame) -> DataFrame:
+    """(c, n, low, k1, k2, v) for each distinct usable vector: its number, count of rows and least id."""
+    usable = rows.filter("v is not null")
+    grouped = usable.groupBy("k1", "k2").agg(F.min("v").alias("v"), F.min("id").alias("low"), F.count("*").alias("n"))
+    return cut(grouped.withColumn("c", F.monotonically_increasing_id()))
 
 
 def near_vectors(
@@ -143,24 +156,25 @@ def near_vectors(
     hashes: int = HASHES,
     probes: int = PROBES,
 ) -> DataFrame:
-    """One row per vector: vec_id, n_links, component_id, kept."""
-    classes, members = classes_of(vectors, vec_id, embedding)
-    members = cut(members)
+    """One row per row of vectors: vec_id, n_links, component_id (of the type of vec_id), kept."""
+    rows = _rows(vectors, vec_id, embedding)
+    classes = classes_of(rows)
     spread = cut(_own_and_probes(classes.select("c", "v"), tables, hashes, probes))
     mine, probe = spread.filter("own").select("t", "b", F.col("c").alias("x")), spread.select("t", "b", F.col("c").alias("y"))
-    pairs = mine.join(probe, ["t", "b"]).filter("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    met = salted_join(mine, probe, ["t", "b"], "x")
+    pairs = met.filter("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     left, right = classes.select(F.col("c").alias("a"), F.col("v").alias("va")), classes.select(F.col("c").alias("b"), F.col("v").alias("vb"))
     candidates = pairs.join(left, "a").join(right, "b").filter(F.size("va") == F.size("vb")).select("a", "b", "va", "vb")
     links = cut(_cosine(candidates, threshold))
     both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    size = classes.select("c", "n")
-    others = both.join(size.withColumnRenamed("c", "b"), "b").groupBy("a").agg(F.sum("n").alias("others")).withColumnRenamed("a", "c")
+    size = classes.select("c", "n", "low", "k1", "k2")
+    others = both.join(size.select(F.col("c").alias("b"), "n"), "b").groupBy("a").agg(F.sum("n").alias("others")).withColumnRenamed("a", "c")
     comp = connected_components(links, "a", "b").select(F.col("node").alias("c"), "component")
-    found = size.join(others, "c", "left").join(comp, "c", "left").select("c", (F.col("n") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), F.coalesce("component", "c").alias("component_id"))
-    by_id = members.groupBy("id").agg(F.min("c").alias("c")).join(found, "c").drop("c")
-    every = vectors.select(F.col(vec_id))
+    found = cut(size.join(others, "c", "left").join(comp, "c", "left").withColumn("component", F.coalesce("component", "c")))
+    least = found.groupBy("component").agg(F.min("low").alias("component_id"))
+    found = found.join(least, "component").select("k1", "k2", (F.col("n") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), "component_id")
     return (
-        every.join(by_id.withColumnRenamed("id", vec_id), vec_id, "left")
-        .select(vec_id, F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", vec_id).alias("component_id"))
+        salted_join(rows.select("id", "k1", "k2"), found, ["k1", "k2"], "id", "left")
+        .select(F.col("id").alias(vec_id), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "id").alias("component_id"))
         .withColumn("kept", F.coalesce(F.col(vec_id) == F.col("component_id"), F.lit(True)))
     )

@@ -35,8 +35,8 @@ def cases():
     return rows
 
 
-def run(spark, rows):
-    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("c", F.lit(1)).withColumn("n_links", F.lit(1))
+def run(spark, rows, kind="long"):
+    frame = spark.createDataFrame(rows, f"vec_id {kind}, embedding array<float>").withColumn("c", F.lit(1)).withColumn("n_links", F.lit(1))
     return sorted(tuple(r) for r in embed_dedup.near_vectors(frame).collect())
 
 
@@ -50,6 +50,23 @@ def test_against_brute_force(spark):
 def test_empty_and_repeated_rows(spark):
     assert run(spark, []) == []
     assert run(spark, [(1, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [1.0, 0.0])]) == [(1, 2, 1, True), (1, 2, 1, True), (2, 2, 1, False)]
+    one, two = [1.0, 0.0], [0.0, 1.0]
+    got = run(spark, [(5, one), (5, two), (7, [1.0, 0.01]), (6, [0.01, 1.0]), (8, [-1.0, -1.0])])
+    assert got == [(5, 1, 5, True), (5, 1, 5, True), (6, 1, 5, False), (7, 1, 5, False), (8, 0, 8, True)]
+
+
+def test_ids_of_other_types(spark):
+    assert run(spark, [("b", [1.0, 0.0]), ("a", [1.0, 0.01]), ("c", None)], "string") == [("a", 1, "a", True), ("b", 1, "a", False), ("c", 0, "c", True)]
+
+
+def test_hot_buckets_are_split(spark, monkeypatch):
+    from shelfspark.operators import skew
+
+    monkeypatch.setattr(skew, "ROOM", 3)
+    rng = np.random.default_rng(5)
+    base = rng.normal(size=16)
+    rows = [(i, [float(np.float32(x)) for x in base + rng.normal(size=16) * 0.02]) for i in range(60)] + [(100 + i, [1.0] * 16) for i in range(20)]
+    assert run(spark, rows) == brute(rows)
 
 
 def test_recall_of_hashing():
