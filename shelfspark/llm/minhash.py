@@ -8,17 +8,24 @@ two documents agree with the probability of their weighted Jaccard similarity.
 Points are made up to a horizon that covers all registers, which is doubled for
 the few documents that it leaves short.
 
-Equal multisets are one class before banding. In a bucket each class is compared
-with a few pivots; then, among classes of a bucket that are still apart after
-linking, those outside its largest group are held against the others by a bitmap
-of their shingles, which bounds the overlap from above, and only pairs that the
-bound lets reach the threshold are made: no bucket is cut, no link is lost, and
-groups of copies never make all pairs. Every link is verified exactly, on weights
-and whole texts, and classes are the connected components of links.
-
-A document of one to four words is one shingle; null and wordless texts have none
-and stay alone. Rows that repeat an id are one document; a null id stays alone.
-Empty tables give no rows.
+Equal multisets are one set of texts before banding, with a number of its own. In a
+bucket each set is compared with a few pivots; then, among sets of a bucket that are
+still apart after linking, those outside its largest group are held against the
+others by a bitmap of their shingles, which bounds the overlap from above, and only
+pairs that the bound lets reach the threshold are made: no bucket is cut, no link is
+lost, and groups of copies never make all pairs. Hot buckets are split by set
+numbers before they are joined. Every link is verified exactly, on weights and whole
+texts, and classes are the connected components of links.
+
+Rows find their set by a 128-bit hash of the text, so each row is a document of its
+own: rows may repeat, and an id may come with several texts. Ids are of any type
+that has an order. class_id is the least id of a class (null if it has none but null
+ids); class_key tells classes apart whose least id is the same. `kept` marks the
+rows of the least id, of one text if it has several there, and `keep_one` leaves one
+row of each class. A document of one to four words is one shingle; null and wordless
+texts have none and stay alone. Very long texts are cut into shingles whole, at some
+hundred bytes of worker memory a byte of text. Columns named like the results are not
+read. Empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -32,8 +39,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
+from ..operators.skew import salted_join
 from ..plans.predicates import all_of
-from ..session import cut, release
+from ..session import Work, cut
 from .decontam import normalise
 
 WORDS = 5
@@ -44,8 +52,10 @@ PIVOTS = 2
 #: 64-bit words of a document's bitmap.
 BITMAP = 64
 CHUNK = 2_000_000
-#: Id lists up to this many rows (8 MB) are broadcast; longer ones are joined by a shuffle.
-BROADCAST_IDS = 1_000_000
+#: Lists of texts up to this many rows (some 20 MB) are broadcast; longer ones are joined by a shuffle.
+BROADCAST_IDS = 500_000
+#: Rows of one bucket, each with its bitmap, that are compared in one task.
+BUCKET_ROOM = 1000
 
 _U = np.uint64
 _BYTE = np.random.default_rng(7).integers(1, 1 << 63, 256, dtype=np.uint64)
@@ -147,10 +157,20 @@ def band_hashes(times: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return h.view(np.int64)
 
 
-def sketch(docs: DataFrame, doc_id: str, text: str, bands: int, rows: int) -> DataFrame:
-    """(id, f1, f2, total, bands) of each document with words; (f1, f2) stand for its multiset."""
+def _texts(docs: DataFrame, text: str) -> DataFrame:
+    """(k1, k2, t) of each row with a text."""
+    t = F.col(text)
+    return docs.select(*_key(t), t.alias("t")).filter("t is not null")
 
-    def chunk(ids: list, texts: list[bytes]) -> pa.RecordBatch:
+
+def _key(t: F.Column) -> tuple[F.Column, F.Column]:
+    return tuple(F.when(t.isNotNull(), F.xxhash64(F.lit(seed), t)).alias(f"k{seed}") for seed in (1, 2))
+
+
+def sketch(docs: DataFrame, text: str, bands: int, rows: int) -> DataFrame:
+    """(k1, k2, f1, f2, total, bands) of each row with words; (k1, k2) stand for its text, (f1, f2) for its multiset."""
+
+    def chunk(keys: list[pa.Array], texts: list[bytes]) -> pa.RecordBatch:
         doc, sh, w = shingles(texts)
         n = len(texts)
         wu = w.astype(np.uint64)
@@ -161,21 +181,21 @@ def sketch(docs: DataFrame, doc_id: str, text: str, bands: int, rows: int) -> Da
         codes = band_hashes(signatures(doc, sh, w, n, bands * rows), bands, rows)
         keep = np.flatnonzero(total)
         lists = pa.ListArray.from_arrays(pa.array(np.arange(len(keep) + 1, dtype=np.int32) * bands), pa.array(codes[keep].ravel()))
-        return pa.RecordBatch.from_arrays([ids.take(pa.array(keep)), pa.array(f1[keep].view(np.int64)), pa.array(f2[keep].view(np.int64)), pa.array(total[keep]), lists], names=["id", "f1", "f2", "total", "bands"])
+        cols = [*(k.take(pa.array(keep)) for k in keys), pa.array(f1[keep].view(np.int64)), pa.array(f2[keep].view(np.int64)), pa.array(total[keep]), lists]
+        return pa.RecordBatch.from_arrays(cols, names=["k1", "k2", "f1", "f2", "total", "bands"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             part: list[bytes] = []
             size = at = 0
-            for i, t in enumerate(batch.column(1)):
-                part.append((t.as_py() or "").encode())
+            for i, t in enumerate(batch.column("t")):
+                part.append(t.as_py().encode())
                 size += len(part[-1])
                 if size >= CHUNK or i == batch.num_rows - 1:
-                    yield chunk(batch.column(0).slice(at, len(part)), part)
+                    yield chunk([batch.column(k).slice(at, len(part)) for k in ("k1", "k2")], part)
                     at, part, size = i + 1, [], 0
 
-    rows_in = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("t")).filter("id is not null")
-    return rows_in.mapInArrow(run, "id long, f1 long, f2 long, total long, bands array<long>")
+    return _texts(docs, text).mapInArrow(run, "k1 long, k2 long, f1 long, f2 long, total long, bands array<long>")
 
 
 def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
@@ -190,15 +210,16 @@ def _small(ids: DataFrame, bound: int = BROADCAST_IDS) -> DataFrame:
     return F.broadcast(ids) if ids.count() <= bound else ids
 
 
-def _verify(pairs: DataFrame, docs: DataFrame, doc_id: str, text: str, threshold: float) -> DataFrame:
+def _fetched(sets: DataFrame, wanted: DataFrame, docs: DataFrame, text: str) -> DataFrame:
+    """(c, t): one text of each wanted set."""
+    keys = cut(sets.select("c", "k1", "k2").join(wanted, "c"))
+    return _texts(docs, text).join(_small(keys), ["k1", "k2"]).groupBy("c").agg(F.min("t").alias("t"))
+
+
+def _verify(pairs: DataFrame, sets: DataFrame, docs: DataFrame, text: str, threshold: float) -> DataFrame:
     """The pairs (a, b) whose multisets are at least `threshold` alike."""
-    ids = cut(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct())
-    texts = cut(
-        docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("t"))
-        .join(_small(ids), "id")
-        .groupBy("id")
-        .agg(F.min("t").alias("t"))
-    )
+    ids = pairs.select(F.col("a").alias("c")).unionByName(pairs.select(F.col("b").alias("c"))).distinct()
+    texts = cut(_fetched(sets, ids, docs, text))
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: dict[int, tuple[np.ndarray, np.ndarray]] = {}
@@ -214,13 +235,13 @@ def _verify(pairs: DataFrame, docs: DataFrame, doc_id: str, text: str, threshold
             ok = [similarity(bag(a, ta), bag(b, tb)) >= threshold for a, b, ta, tb in zip(p["a"], p["b"], p["ta"], p["tb"], strict=True)]
             yield p.loc[ok, ["a", "b"]]
 
-    left = texts.select(F.col("id").alias("a"), F.col("t").alias("ta"))
-    right = texts.select(F.col("id").alias("b"), F.col("t").alias("tb"))
+    left = texts.select(F.col("c").alias("a"), F.col("t").alias("ta"))
+    right = texts.select(F.col("c").alias("b"), F.col("t").alias("tb"))
     return pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInPandas(run, "a long, b long")
 
 
-def _bitmaps(ids: DataFrame, docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """(c, spare, w0..): bits of the hashed elements of each multiset, and how many elements share a bit.
+def _bitmaps(texts: DataFrame) -> DataFrame:
+    """(c, spare, w0..) of rows (c, t): bits of the hashed elements of each multiset, and how many elements share a bit.
 
     Two multisets have at most as many elements in common as common bits and the
     lesser of the spares.
@@ -240,76 +261,105 @@ def _bitmaps(ids: DataFrame, docs: DataFrame, doc_id: str, text: str) -> DataFra
                 spare = np.bincount(doc, w, part.num_rows).astype(np.int64) - flags.sum(1)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(spare), *(pa.array(words[:, i]) for i in range(BITMAP))], names=["c", "spare", *(f"w{i}" for i in range(BITMAP))])
 
-    texts = docs.select(F.col(doc_id).cast("long").alias("c"), F.col(text).alias("t")).filter("t is not null").join(_small(ids.withColumnRenamed("id", "c")), "c")
-    made = texts.mapInArrow(run, "c long, spare long, " + ", ".join(f"w{i} long" for i in range(BITMAP)))
-    return cut(made.dropDuplicates(["c"]).select("c", F.coalesce("spare", F.lit(0)).alias("spare"), *(F.coalesce(f"w{i}", F.lit(0)).alias(f"w{i}") for i in range(BITMAP))))
+    return texts.mapInArrow(run, "c long, spare long, " + ", ".join(f"w{i} long" for i in range(BITMAP)))
 
 
-def near_duplicates(
-    docs: DataFrame,
-    doc_id: str = "doc_id",
-    text: str = "text",
-    threshold: float = THRESHOLD,
-    bands: int = BANDS,
-    rows: int = ROWS,
-) -> DataFrame:
-    """One row per row of docs: its id, class_id (least id of its class) and kept."""
-    sketched = cut(sketch(docs, doc_id, text, bands, rows))
-    classes = sketched.groupBy("f1", "f2").agg(F.min("id").alias("c"), F.min("total").alias("total"))
-    member = cut(sketched.select("id", "f1", "f2").join(classes, ["f1", "f2"]).select("id", "c", "total"))
-    heads = sketched.join(member.filter("id = c").select("id").distinct(), "id").dropDuplicates(["id", "f1", "f2"])
-    spots = heads.select(F.col("id").alias("c"), "total", F.posexplode("bands").alias("band", "h"))
-    pivot = lambda r: F.min(F.struct(F.xxhash64("c", F.lit(r)).alias("x"), F.col("c").alias("p"), F.col("total").alias("ta")))
-    shared = spots.groupBy("band", "h").agg(F.count("*").alias("n"), F.array_distinct(F.array(*(pivot(r) for r in range(PIVOTS)))).alias("pivots")).filter("n > 1")
-    release(docs.sparkSession)
-    spots = cut(spots.join(shared.select("band", "h", "pivots"), ["band", "h"]))
-    alike = lambda a, b: F.least(a, b) >= threshold * F.greatest(a, b)
-    stars = (
+def _pairs_of_stars(spots: DataFrame, alike) -> DataFrame:
+    """Pairs (a, b) of each set of a bucket with the bucket's pivots."""
+    return (
         spots.select("c", F.col("total").alias("tb"), F.explode("pivots").alias("x"))
         .filter((F.col("c") != F.col("x.p")) & alike(F.col("x.ta"), F.col("tb")))
         .select(F.least("c", "x.p").alias("a"), F.greatest("c", "x.p").alias("b"))
         .distinct()
     )
-    links = cut(_verify(cut(stars), docs, doc_id, text, threshold))
-    release(docs.sparkSession)
-    groups = connected_components(links, "a", "b")
-    release(docs.sparkSession)
+
+
+def _pairs_apart(work: Work, spots: DataFrame, groups: DataFrame, sets: DataFrame, docs: DataFrame, text: str, threshold: float, bands: int, alike) -> DataFrame:
+    """Pairs (a, b) of sets of one bucket that are in different groups and that the bitmap bound lets through."""
     placed = spots.join(groups, spots["c"] == groups["node"], "left").select("band", "h", "c", "total", F.exists("pivots", lambda x: x["p"] == F.col("c")).alias("pivot"), F.coalesce("component", "c").alias("g"))
-    sizes = placed.groupBy("band", "h", "g").agg(F.count("*").alias("n"))
-    split = sizes.groupBy("band", "h").agg(F.count("*").alias("groups"), F.max(F.struct("n", "g"))["g"].alias("main")).filter("groups > 1")
-    apart = cut(placed.filter("not pivot").join(split.select("band", "h", "main"), ["band", "h"]))
-    maps = _bitmaps(cut(apart.select(F.col("c").alias("id")).distinct()), docs, doc_id, text)
-    release(docs.sparkSession)
-    codes = heads.select(F.col("id").alias("c"), *(F.coalesce(F.get("bands", F.lit(i)), F.lit(0)).alias(f"h{i}") for i in range(bands)))
-    apart = apart.join(maps, "c").join(codes, "c")
-    words = [f"w{i}" for i in range(BITMAP)]
-    keys = [f"h{i}" for i in range(bands)]
-    minor = apart.filter("g <> main").select("band", "h", F.col("c").alias("a"), F.col("g").alias("ga"), F.col("total").alias("ta"), F.col("spare").alias("sa"), *(F.col(w).alias(f"a{w}") for w in [*words, *keys]))
-    other = apart.select("band", "h", F.col("c").alias("b"), F.col("g").alias("gb"), F.col("total").alias("tb"), F.col("spare").alias("sb"), "main", *(F.col(w).alias(f"b{w}") for w in [*words, *keys]))
-    most = F.least("sa", "sb") + sum((F.bit_count(F.col(f"a{w}").bitwiseAND(F.col(f"b{w}"))) for w in words), start=F.lit(0))
+    placed = work.keep(placed)
+    counted = placed.groupBy("band", "h", "g").agg(F.count("*").alias("n"))
+    split = work.keep(counted.groupBy("band", "h").agg(F.count("*").alias("groups"), F.max(F.struct("n", "g"))["g"].alias("main")).filter("groups > 1").select("band", "h", "main"))
+    apart = work.keep(placed.filter("not pivot").join(split, ["band", "h"]))
+    maps = _bitmaps(_fetched(sets, apart.select("c").distinct(), docs, text))
+    codes = sets.select("c", *(F.get("bands", F.lit(i)).alias(f"h{i}") for i in range(bands)))
+    apart = work.keep(apart.join(work.keep(maps.join(codes, "c")), "c"))
+    words, keys = [f"w{i}" for i in range(BITMAP)], [f"h{i}" for i in range(bands)]
+    side = lambda s, *more: ["band", "h", F.col("c").alias(s), *(F.col(x).alias(s + x) for x in ("g", "total", "spare", *words, *keys)), *more]
+    minor, other = apart.filter("g <> main").select(*side("a")), apart.select(*side("b", "main"))
+    most = F.least("aspare", "bspare") + sum((F.bit_count(F.col(f"a{w}").bitwiseAND(F.col(f"b{w}"))) for w in words), start=F.lit(0))
     # a pair is made in the first band that it shares; if one of it is a pivot there, it has been compared
-    first = all_of([(F.col(f"ah{i}") != F.col(f"bh{i}")) | (minor["band"] <= i) for i in range(bands)])
+    first = all_of([(F.col(f"ah{i}") != F.col(f"bh{i}")) | (F.col("band") <= i) for i in range(bands)])
     test = (
-        (minor["band"] == other["band"]) & (minor["h"] == other["h"]) & (F.col("ga") != F.col("gb"))
-        & ((F.col("gb") == F.col("main")) | (F.col("a") < F.col("b"))) & alike(F.col("ta"), F.col("tb")) & first
-        & (most * (1 + threshold) + 1e-6 >= threshold * (F.col("ta") + F.col("tb")))
+        (F.col("ag") != F.col("bg")) & ((F.col("bg") == F.col("main")) | (F.col("a") < F.col("b"))) & alike(F.col("atotal"), F.col("btotal")) & first
+        & (most * (1 + threshold) + 1e-6 >= threshold * (F.col("atotal") + F.col("btotal")))
     )
-    rest = minor.join(other, test).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    rest = cut(rest)
-    release(docs.sparkSession)
-    more = cut(_verify(rest, docs, doc_id, text, threshold))
-    if not more.isEmpty():
-        groups = connected_components(links.unionByName(more), "a", "b")
-    found = member.join(groups, member["c"] == groups["node"], "left").groupBy("id").agg(F.min(F.coalesce("component", "c")).alias("class_id"))
-    return (
-        docs.select(F.col(doc_id))
-        .join(found.withColumnRenamed("id", doc_id), doc_id, "left")
-        .select(doc_id, F.coalesce("class_id", doc_id).alias("class_id"))
-        .withColumn("kept", F.coalesce(F.col("class_id") == F.col(doc_id), F.lit(True)))
+    met = salted_join(minor, other, ["band", "h"], "a", room=BUCKET_ROOM).filter(test)
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def classes(docs: DataFrame, doc_id: str, text: str, threshold: float, bands: int, rows: int) -> DataFrame:
+    """(k1, k2, class_id, class_key, first, same, rows) of each distinct text with words.
+
+    first marks the text that stands for its class; rows counts the rows of the
+    text, and same those of its least id.
+    """
+    alike = lambda a, b: F.least(a, b) >= threshold * F.greatest(a, b)
+    with Work(docs.sparkSession) as work:
+        sketched = work.keep(sketch(docs, text, bands, rows))
+        least = F.min(F.struct("k1", "k2", "total", "bands")).alias("x")
+        # numbers given to checkpointed rows stay what they are
+        sets = cut(sketched.groupBy("f1", "f2").agg(least).select("f1", "f2", "x.*", F.monotonically_increasing_id().alias("c")))
+        member = work.keep(sketched.select("k1", "k2", "f1", "f2").distinct().join(sets.select("f1", "f2", "c"), ["f1", "f2"]).select("k1", "k2", "c"))
+        spots = sets.select("c", "total", F.posexplode("bands").alias("band", "h"))
+        pivot = lambda r: F.min(F.struct(F.xxhash64("c", F.lit(r)).alias("x"), F.col("c").alias("p"), F.col("total").alias("ta")))
+        shared = spots.groupBy("band", "h").agg(F.count("*").alias("n"), F.array_distinct(F.array(*(pivot(r) for r in range(PIVOTS)))).alias("pivots")).filter("n > 1")
+        shared = work.keep(shared.select("band", "h", "pivots"))
+        spots = work.keep(spots.join(shared, ["band", "h"]))
+        links = cut(_verify(work.keep(_pairs_of_stars(spots, alike)), sets, docs, text, threshold))
+        groups = connected_components(links, "a", "b")
+        rest = work.keep(_pairs_apart(work, spots, groups, sets, docs, text, threshold, bands, alike))
+        more = cut(_verify(rest, sets, docs, text, threshold))
+        if not more.isEmpty():
+            groups = connected_components(links.unionByName(more), "a", "b")
+        counted = docs.select(*_key(F.col(text)), F.col(doc_id).alias("id")).filter("k1 is not null").groupBy("k1", "k2", "id").agg(F.count("*").alias("same"))
+        ids = counted.groupBy("k1", "k2").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "same")).alias("y"), F.sum("same").alias("rows"))
+        known = member.join(groups, member["c"] == groups["node"], "left").select("k1", "k2", F.coalesce("component", "c").alias("g"))
+        known = work.keep(known.join(ids, ["k1", "k2"]).select("k1", "k2", "g", "y.*", "rows"))
+        heads = known.groupBy("g").agg(F.min(F.struct("none", "id", "k1", "k2")).alias("x"))
+        first = (F.col("k1") == F.col("x.k1")) & (F.col("k2") == F.col("x.k2"))
+        return cut(known.join(heads, "g").select("k1", "k2", F.col("x.id").alias("class_id"), F.col("x.k1").alias("class_key"), first.alias("first"), "same", "rows"))
+
+
+def near_duplicates(
+    docs: DataFrame,
+    doc_id: str = "doc_id",
+    text: str = "text",
+    threshold: float = THRESHOLD,
+    bands: int = BANDS,
+    rows: int = ROWS,
+) -> DataFrame:
+    """One row per row of docs: its id, class_id (least id of its class), kept and class_key."""
+    found = classes(docs, doc_id, text, threshold, bands, rows)
+    every = docs.select(F.col(doc_id).alias("id"), *_key(F.col(text)))
+    own = F.col("first") & F.col("id").eqNullSafe(F.col("class_id"))
+    return salted_join(every, found, ["k1", "k2"], "id", "left").select(
+        F.col("id").alias(doc_id),
+        F.when(F.col("first").isNull(), F.col("id")).otherwise(F.col("class_id")).alias("class_id"),
+        F.coalesce(own, F.lit(True)).alias("kept"),
+        "class_key",
     )
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """docs with the document of the least id of each class; same columns."""
-    gone = cut(near_duplicates(docs, doc_id, text, threshold).filter(~F.col("kept")).select(doc_id).distinct())
-    return docs.join(_small(gone), doc_id, "left_anti").select(*docs.columns)
+    """docs with one row of each class, of its least id, and all rows without words; same columns."""
+    found = classes(docs, doc_id, text, threshold, BANDS, ROWS)
+    told = cut(found.filter("not first or rows > 1").select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2"), F.col("class_id").alias("_id"), F.col("first").alias("_first"), F.col("same").alias("_same")))
+    k1, k2 = _key(F.col(text))
+    here = docs.join(_small(told), (k1 == F.col("_k1")) & (k2 == F.col("_k2")), "left")
+    head = F.col("_first") & F.col(doc_id).eqNullSafe(F.col("_id"))
+    kept = here.filter(F.col("_first").isNull() | (head & (F.col("_same") == 1))).select(*docs.columns)
+    if told.filter("_first and _same > 1").isEmpty():
+        return kept
+    again = here.filter(head & (F.col("_same") > 1)).groupBy("_k1", "_k2").agg(F.first(F.struct(*docs.columns)).alias("_row"))
+    return kept.unionByName(again.select("_row.*"))

@@ -68,6 +68,34 @@ def test_awkward_rows(spark):
     assert minhash.near_duplicates(docs(spark, [])).collect() == []
 
 
+A, B = ("a quick test of some words that repeat here", "other text with nothing in common at all")
+
+
+def test_an_id_with_two_texts(spark):
+    got = {(r.doc_id, r.class_id, r.kept): r.class_key for r in minhash.near_duplicates(docs(spark, [(5, B), (5, A), (9, B), (12, A), (None, A)])).collect()}
+    assert set(got) == {(5, 5, True), (9, 5, False), (12, 5, False), (None, 5, False)} and got[9, 5, False] != got[12, 5, False] == got[None, 5, False]
+
+
+def test_ids_of_other_types(spark):
+    got = {r.doc_id: r.class_id for r in minhash.near_duplicates(docs(spark, [("x", A), ("b", A + "!"), ("c", B)], "doc_id string, text string")).collect()}
+    assert got == {"x": "b", "b": "b", "c": "c"}
+
+
+def test_repeated_rows_leave_one(spark):
+    rows = [(1, A), (1, A), (2, A), (3, None), (3, None), (4, B), (None, B), (None, "third text of five words"), (None, "third text of five words")]
+    left = minhash.keep_one(docs(spark, rows)).select("doc_id", "text").collect()
+    assert sorted(map(str, map(tuple, left))) == sorted(map(str, [(1, A), (3, None), (3, None), (4, B), (None, "third text of five words")]))
+
+
+def test_hot_buckets_are_split(spark, monkeypatch):
+    from shelfspark.operators import skew
+
+    monkeypatch.setattr(minhash, "BUCKET_ROOM", 2)
+    monkeypatch.setattr(skew, "ROOM", 3)
+    rows = family(random.Random(11), 50, 90, 8, 0) + [(100 + i, A) for i in range(30)]
+    assert {r.doc_id: r.class_id for r in minhash.near_duplicates(docs(spark, rows)).collect()} == brute(rows)
+
+
 def test_one_document_stays(spark):
     d = docs(spark)
     kept = minhash.keep_one(d)
