@@ -1,28 +1,35 @@
 """Removal of repeated byte strings by distributed prefix doubling.
 
 A byte goes if some string of `length` bytes that covers it also starts elsewhere.
-Spark sorts (groups) positions by the rank of a prefix and ranks are refined at
-growing extents until a position is unique or the extent passes the threshold:
-
-1. Starting positions are sampled so that no repeat is missed: in each window of
-   `length` bytes the `GRAM`-byte string of least hash is an anchor. Equal windows
-   have their anchors at equal offsets, whatever stands around them.
-2. Anchors are ranked by their first GRAM bytes; unique ones leave.
-3. The others are ranked by the pair of that rank and their widest context, which
-   holds every window that the anchor can stand for. Contexts that occur twice are
-   repeated as a whole and leave, but for one witness each.
-4. Where contexts of one gram differ, their windows themselves, at full length,
-   are ranked. Windows that occur twice are repeats.
-
-Ranks are 64-bit fingerprints of byte ranges from prefix sums. All groupings
-aggregate on the map side and hold a few longs a row; no group is gathered in one
-task. Positions are made again from the texts rather than kept, and what a step
-leaves is joined to them by a shuffle of a few longs a row at every size. Only the
-lists of positions that go back to their texts are broadcast while they are below
-a checked size, and joined by a shuffle beyond it.
-
-Null is empty; texts shorter than `length` are untouched. Repeated rows are
-repeats of each other. Empty tables give no rows.
+Prefix doubling ranks positions by their first bytes, then by pairs of ranks at
+growing offsets, until a position is unique or the prefix has reached `length`.
+Here the positions are sampled, and prefixes grow to both sides:
+
+1. In each window of `length` bytes the first `GRAM`-byte string of least hash is
+   the anchor. Equal windows have their anchors at equal offsets, whatever stands
+   around them, so no repeat is missed. Anchors are ranked by their gram first.
+2. An anchor stands for a block of windows, those that hold it at an offset of a
+   range. The bytes that all of them share (the core: at first the gram) and the
+   bytes that any of them holds (the hull) are its two ranks. Spark groups the
+   blocks by both. A hull that occurs twice makes all windows of its block
+   repeats; one of its anchors stays as a witness for the others. A core that
+   occurs once makes none a repeat. Both leave.
+3. The others are split into blocks of fewer offsets, sixteen and then one, whose cores have
+   grown towards `length`, and are ranked again, until core, hull and window are
+   one.
+
+Ranks are 64-bit fingerprints of byte ranges, so two different strings are taken
+for equal with a probability of 2^-64 a pair. Groupings aggregate on the map side
+and hold a few longs a row; no group is gathered in one task. Blocks are made
+again from the texts in each round rather than kept: what lives on is told by a
+bit filter of bounded size, and a wrong yes of the filter only adds a block that is
+ranked exactly like the others. Beyond `FILTER_ROWS` survivors the texts are joined
+to lists of them by a shuffle instead; both ways give the same rows.
+
+Null is empty; texts shorter than `length` are untouched. Long texts are worked
+off in slices, so memory does not grow with them. Repeated rows are repeats of each
+other, whatever their ids. Columns named like the results or like those used
+within are replaced or kept apart. Empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -31,19 +38,25 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut, release
+from ..session import Work, cut
 
 LENGTH = 200
 GRAM = 64
-#: Lists of positions by text, up to this many entries, are broadcast.
-BROADCAST_POSITIONS = 4_000_000
+#: Lists of ranges by text, up to this many entries, are broadcast.
+BROADCAST_RANGES = 4_000_000
+#: Up to this many blocks live on by a bit filter; it has 8 to 16 bits for each, 64 MB at most.
+FILTER_ROWS = 1 << 26
+FILTER_BITS = 29
+SLICE = 1 << 17
 
 _U = np.uint64
 _BYTE = np.random.default_rng(61).integers(1, 1 << 63, 256, dtype=np.uint64)
 _BASE = 0x9E3779B97F4A7C15
+#: Marks a witness: a block that is known to be repeated itself.
+_WITNESS = 0x5851F42D4C957F2D
 _power = _inverse = np.ones(1, np.uint64)
 
 
@@ -54,7 +67,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 class Prints:
-    """Fingerprints of byte ranges of one text."""
+    """Fingerprints of byte ranges of one piece of text."""
 
     def __init__(self, raw: bytes):
         global _power, _inverse
@@ -83,26 +96,100 @@ def _sliding(x: np.ndarray, width: int, best: np.ufunc) -> np.ndarray:
     return best(x[: len(x) - (width - have)], x[width - have :]) if width > have else x
 
 
-def anchors(prints: Prints, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Anchor positions, the gram fingerprint of every position, the least one of every window."""
-    grams = prints.every(gram)
+def sizes(length: int, gram: int) -> list[int]:
+    """Offsets in a block, round by round: all, then powers of sixteen down to one."""
     width = length - gram + 1
-    least = _sliding(grams, width, np.minimum)
-    pad = np.zeros(width - 1, np.uint64)
-    most = _sliding(np.concatenate([pad, least, pad]), width, np.maximum)
-    return np.flatnonzero(most == grams), grams, least
+    return [width, *(16**i for i in range(8, -1, -1) if 16**i < width)]
 
 
-def _bounds(at: np.ndarray, n: int, length: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
-    """The widest context of anchors: all windows that hold the anchor's gram."""
-    return np.maximum(at - (length - gram), 0), np.minimum(at + length, n)
+class Anchors:
+    """Anchors of a slice of a text: gram, position in the text, range of offsets at which windows may hold them.
 
+    A window belongs to the first of its smallest grams. So an anchor's offsets reach
+    up to the nearest one before it that is as small, and the nearest smaller one after
+    it; one that has no window is none.
+    """
 
-def _runs(ids: list, arrays: list[list[np.ndarray]], names: list[str], kinds: list) -> pa.RecordBatch:
-    size = [len(a) for a in arrays[0]]
-    out = [pa.array(np.repeat(np.array(ids, np.int64), size))]
-    out += [pa.array(np.concatenate(a).astype(k) if a else np.zeros(0, k)) for a, k in zip(arrays, kinds, strict=True)]
-    return pa.RecordBatch.from_arrays(out, names=["k", *names])
+    def __init__(self, raw: bytes, first: int, last: int, length: int, gram: int):
+        self.length, self.total, self.width = length, len(raw), length - gram + 1
+        self.base = max(0, first - 2 * length)
+        self.prints = Prints(raw[self.base : last + 2 * length])
+        grams = self.prints.every(gram)
+        order = (grams >> _U(32)).astype(np.uint32)  # half of the hash does for the order, and is faster
+        least = _sliding(order, self.width, np.minimum)
+        pad = np.zeros(self.width - 1, np.uint32)
+        most = _sliding(np.concatenate([pad, least, pad]), self.width, np.maximum)
+        at = np.flatnonzero(most == order)
+        own, p = order[at], at + self.base
+        far = np.minimum(p, self.width - 1)
+        near = np.maximum(p - (self.total - length), 0)
+        for d in range(1, len(at)):
+            gap = at[d:] - at[:-d]
+            if gap.min() >= self.width:
+                break
+            far[d:] = np.where(own[:-d] <= own[d:], np.minimum(far[d:], gap - 1), far[d:])
+            near[:-d] = np.where(own[d:] < own[:-d], np.maximum(near[:-d], self.width - gap), near[:-d])
+        mine = (p >= first) & (p < last) & (near <= far)
+        self.p, self.gram, self.near, self.far = p[mine], grams[at[mine]], near[mine], far[mine]
+
+    def only(self, keep: np.ndarray) -> None:
+        self.p, self.gram, self.near, self.far = self.p[keep], self.gram[keep], self.near[keep], self.far[keep]
+
+    def ids(self, key: int) -> np.ndarray:
+        return _mix(_U(key % (1 << 64)) ^ _mix(self.p.astype(np.uint64) + _U(_BASE)))
+
+    def blocks(self, of: np.ndarray, j: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Core, hull, first and last window of block j of each anchor `of`."""
+        p, low, high = self.p[of], j * size, np.minimum((j + 1) * size, self.width) - 1
+        n, at = self.length, p - self.base
+        core = self.prints.ranges(at - low, at + n - high)
+        lo, hi = np.maximum(p - high, 0), np.minimum(p - low + n, self.total)
+        block = _mix((j.astype(np.uint64) + _U(1)) * _U(0x1000193) + _U(size))
+        ends = (lo - p + high).astype(np.uint64) * _U(0x2545F4914F6CDD1D) + (p - low + n - hi).astype(np.uint64)
+        hull = _mix(self.prints.ranges(lo - self.base, hi - self.base) + _mix(ends + block) + self.gram[of])
+        return _mix(core ^ block), hull, p - np.minimum(high, self.far[of]), p - np.maximum(low, self.near[of])
+
+
+class Filter:
+    """Whether a number is among those that a bit table was made of: never a wrong no."""
+
+    def __init__(self, table: bytes):
+        self.table = np.frombuffer(table, np.uint8)
+        self.mask = _U(8 * len(table) - 1)
+
+    def __call__(self, x: np.ndarray) -> np.ndarray:
+        bit = x & self.mask
+        return (self.table[(bit >> _U(3)).astype(np.int64)] >> (bit & _U(7)).astype(np.uint8)) & 1 > 0
+
+
+class Listed:
+    """The same by a list of the numbers."""
+
+    def __init__(self, values: np.ndarray):
+        self.values = values.view(np.uint64)
+
+    def __call__(self, x: np.ndarray) -> np.ndarray:
+        return np.isin(x, self.values)
+
+
+def bit_table(rows: DataFrame, x: str, count: int) -> bytes:
+    """Bits of the numbers x, 16 for each of `count` if there is room; made by Spark, of a bounded size."""
+    bits = 1 << min(FILTER_BITS, max(15, (16 * count - 1).bit_length()))
+    spot = F.pmod(F.col(x), F.lit(bits)) + 1
+    made = rows.groupBy(F.bitmap_bucket_number(spot).alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(spot)).alias("m"))
+    table = bytearray(bits // 8)
+    for r in made.toLocalIterator():
+        table[4096 * (r.b - 1) : 4096 * r.b] = r.m
+    return bytes(table)
+
+
+_ROW = [("x", pa.int64()), ("k", pa.int64()), ("core", pa.int64()), ("hull", pa.int64()), ("a", pa.int32()), ("b", pa.int32()), ("open", pa.bool_())]
+
+
+def _batch(parts: list[tuple]) -> pa.RecordBatch:
+    cols = [np.concatenate(c) for c in zip(*parts, strict=True)]
+    cols = [c.view(np.int64) if c.dtype == np.uint64 else c for c in cols]
+    return pa.RecordBatch.from_arrays([pa.array(c).cast(t) for c, (_, t) in zip(cols, _ROW, strict=True)], names=[n for n, _ in _ROW])
 
 
 def _keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -110,119 +197,135 @@ def _keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     return docs.select(F.xxhash64(doc_id, text).alias("k"), F.col(text).alias("t")).filter(F.length("t") > 0)
 
 
-_ANCHOR = (["p", "g", "c", "r"], [np.int32, np.int64, np.int64, np.int64])
-
-
-def _anchor_rows(keyed: DataFrame, length: int, gram: int) -> DataFrame:
-    """(k, p, g, c, r) of each anchor: its gram, gram and context, and a number for the row."""
+def _grams(keyed: DataFrame, length: int, gram: int) -> DataFrame:
+    """(g) of each anchor."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = batch.column(0).to_pylist()
-            ids, out, held = [], [[], [], [], []], 0
-            for key, t in zip(keys, batch.column(1), strict=True):
+            for t in batch.column("t"):
                 raw = t.as_py().encode()
-                if len(raw) < length:
-                    continue
-                prints = Prints(raw)
-                at, grams, _ = anchors(prints, length, gram)
-                lo, hi = _bounds(at, len(raw), length, gram)
-                own = grams[at]
-                context = _mix(prints.ranges(lo, hi) + (at - lo).astype(np.uint64) * _U(0x1000193) + (hi - at).astype(np.uint64))
-                context = _mix(context + own * _U(0x2545F4914F6CDD1D))
-                row = _mix(np.uint64(key % (1 << 64)) ^ _mix(at.astype(np.uint64) + _U(0x9E3779B97F4A7C15)))
-                ids.append(key)
-                for a, x in zip(out, (at, own.view(np.int64), context.view(np.int64), row.view(np.int64)), strict=True):
-                    a.append(x)
-                held += len(at)
-                if held > 200_000:
-                    yield _runs(ids, out, *_ANCHOR)
-                    ids, out, held = [], [[], [], [], []], 0
-            if ids:
-                yield _runs(ids, out, *_ANCHOR)
-
-    return keyed.mapInArrow(run, "k long, p int, g long, c long, r long")
-
-
-def _with_lists(docs: DataFrame, lists: DataFrame, entries: int, how: str = "left") -> DataFrame:
-    """docs joined to per-document lists on k, by broadcast only while the lists are short."""
-    return docs.join(F.broadcast(lists) if entries <= BROADCAST_POSITIONS else lists, "k", how)
-
-
-def _window_rows(open_docs: DataFrame, length: int, gram: int) -> DataFrame:
-    """(k, p, w): fingerprint of each window whose least gram is one of the listed anchors."""
+                for lo in range(0, len(raw) if len(raw) >= length else 0, SLICE):
+                    found = Anchors(raw, lo, lo + SLICE, length, gram)
+                    yield pa.RecordBatch.from_arrays([pa.array(found.gram.view(np.int64))], names=["g"])
+
+    return keyed.select("t").mapInArrow(run, "g long")
+
+
+def _block_rows(source: DataFrame, level: int, filters: list, length: int, gram: int) -> DataFrame:
+    """Blocks of a round: x (number), k, core, hull, first and last window, whether it is open.
+
+    filters[0] holds the grams, filters[i + 1] the blocks of round i that live on;
+    None lets all pass. With a column xs of source, it lists those of the last round.
+    """
+    listed = "xs" in source.columns
+    steps = sizes(length, gram)
+
+    def expand(found: Anchors, key: int, tests: list) -> tuple | None:
+        if tests[0] is not None:
+            found.only(tests[0](found.gram))
+        of = np.arange(len(found.p))
+        j, x, opened = np.zeros(len(of), np.int64), found.ids(key), np.ones(len(of), bool)
+        for i in range(level):
+            if tests[i + 1] is not None:
+                opened = tests[i + 1](x)
+                live = opened | tests[i + 1](x ^ _U(_WITNESS))
+                of, j, opened = of[live], j[live], opened[live]
+            big, small = steps[i], steps[i + 1]
+            lo, hi = np.maximum(j * big, found.near[of]) // small, np.minimum((j + 1) * big - 1, found.far[of]) // small
+            n = np.maximum(hi - lo + 1, 0)
+            end = np.cumsum(n)
+            j = np.arange(int(n.sum())) + np.repeat(lo - (end - n), n)
+            of, opened = np.repeat(of, n), np.repeat(opened, n)
+            x = _mix(found.ids(key)[of] + (j.astype(np.uint64) + _U(1)) * _U(0xA0761D6478BD642F) + _U(small))
+        if not len(of):
+            return None
+        core, hull, a, b = found.blocks(of, j, steps[level])
+        return x, np.full(len(x), key, np.int64), core if level else found.gram[of], hull, a, b, opened
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made = [f and Filter(f.value) for f in filters]
         for batch in batches:
-            ids, out, held = [], [[], []], 0
-            for key, t, ps in zip(batch.column("k").to_pylist(), batch.column("t"), batch.column("ps"), strict=True):
-                prints = Prints(t.as_py().encode())
-                _, grams, least = anchors(prints, length, gram)
-                near = np.zeros(prints.n + 1, np.int32)
-                listed = np.unique(ps.values.to_numpy())
-                values = np.unique(grams[listed])
-                np.add.at(near, np.maximum(listed - (length - gram), 0), 1)
-                np.add.at(near, listed + 1, -1)
-                p = np.flatnonzero(np.cumsum(near)[: len(least)] > 0)
-                spot = np.searchsorted(values, least[p])
-                spot[spot == len(values)] = 0
-                p = p[values[spot] == least[p]]
-                ids.append(key)
-                out[0].append(p)
-                out[1].append(prints.ranges(p, p + length).view(np.int64))
-                held += len(p)
-                if held > 400_000:
-                    yield _runs(ids, out, ["p", "w"], [np.int32, np.int64])
-                    ids, out, held = [], [[], []], 0
-            if ids:
-                yield _runs(ids, out, ["p", "w"], [np.int32, np.int64])
-
-    return open_docs.select("k", "t", "ps").mapInArrow(run, "k long, p int, w long")
+            out, held = [], 0
+            for i, (key, t) in enumerate(zip(batch.column("k").to_pylist(), batch.column("t"), strict=True)):
+                raw = t.as_py().encode()
+                tests = [*made[:-1], Listed(batch.column("xs")[i].values.to_numpy())] if listed else made
+                for lo in range(0, len(raw) if len(raw) >= length else 0, SLICE):
+                    rows = expand(Anchors(raw, lo, lo + SLICE, length, gram), key, tests)
+                    if rows:
+                        out.append(rows)
+                        held += len(rows[0])
+                    if held > 200_000:
+                        yield _batch(out)
+                        out, held = [], 0
+            if out:
+                yield _batch(out)
 
+    return source.mapInArrow(run, "x long, k long, core long, hull long, a int, b int, open boolean")
 
-def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int = GRAM) -> tuple[DataFrame, int]:
-    """(k, spans) with the repeated byte ranges of each text that has any, and how many entries there are."""
-    keyed = _keyed(docs, doc_id, text)
-    found = _anchor_rows(keyed, length, gram)
-    grams = found.groupBy("g").agg(F.count("*").alias("n"), F.min("c").alias("lo"), F.max("c").alias("hi"))
-    grams = cut(grams.filter("n > 1").select("g", (F.col("lo") != F.col("hi")).alias("differ")))
-    again = cut(found.join(grams, "g").select("k", "p", "c", "r", "differ"))
-    contexts = again.groupBy("c").agg(F.count("*").alias("n"), F.min("r").alias("r"), F.max("differ").alias("differ"))
-    contexts = cut(contexts.filter("n > 1 or differ"))
-    # a context that occurs twice is covered as a whole; of those whose gram has others, one witness is opened
-    release(docs.sparkSession)
-    places = again.select("k", "p", "c").join(contexts.filter("n > 1").select("c"), "c").select("k", "p").distinct()
-    # witnesses of repeated contexts are only counted; what a lone context holds is looked up after that
-    lone = cut(again.select("k", "p", "r").join(contexts.filter("differ").select("r", (F.col("n") == 1).alias("lone")).distinct(), "r").select("k", "p", "lone").distinct())
-    positions = lambda rows: cut(rows.groupBy("k").agg(F.collect_list("p").alias("ps")))
-    everything, needed = positions(lone), positions(lone.filter("lone"))
-    entries = lone.count()
-    twice = _window_rows(_with_lists(keyed, everything, entries, "inner"), length, gram).groupBy("w").agg(F.count("*").alias("n"))
-    twice = cut(twice.filter("n > 1").select("w"))
-    release(docs.sparkSession)
-    singles = _window_rows(_with_lists(keyed, needed, entries, "inner"), length, gram).join(twice, "w").select("k", "p").distinct().withColumn("wide", F.lit(False))
-    marks = places.select("k", "p", F.lit(True).alias("wide")).unionByName(singles)
-    lists = marks.groupBy("k").agg(
-        F.collect_list(F.when(F.col("wide"), F.col("p"))).alias("anchors"), F.collect_list(F.when(~F.col("wide"), F.col("p"))).alias("windows")
-    )
-    spans = cut(_merged(lists, length, gram))
-    release(docs.sparkSession)
-    total = spans.agg(F.sum(F.size("starts"))).first()[0] or 0
-    return spans, total
 
+def _repeated(work: Work, rows: DataFrame, twice: DataFrame) -> DataFrame:
+    """Windows (k, a, b) of open blocks whose hull is among those that occur twice."""
+    return work.keep(rows.filter("open").join(twice.select("hull"), "hull", "left_semi").select("k", "a", "b"))
 
-def _merged(lists: DataFrame, length: int, gram: int) -> DataFrame:
-    """(k, starts, ends): contexts and windows of each text as disjoint byte ranges, not yet cut at its end."""
+
+def _ranked(work: Work, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Windows (k, a, b) of open blocks whose hull occurs twice, and the blocks (v, x) that live on."""
+    hulls = rows.groupBy("hull").agg(F.count("*").alias("n"), F.min("x").alias("x"), F.min("core").alias("core"), F.max("open").alias("open"))
+    hulls = work.keep(hulls.select("hull", "core", "x", (F.col("n") > 1).alias("twice"), (F.col("open") & (F.col("n") == 1)).alias("open")))
+    cores = work.keep(hulls.groupBy("core").agg(F.count("*").alias("n"), F.max("open").alias("open")).filter("n > 1 and open").select("core"))
+    value = F.when(F.col("open"), F.col("x")).otherwise(F.col("x").bitwiseXOR(F.lit(_WITNESS)))
+    return _repeated(work, rows, hulls.filter("twice")), work.keep(hulls.join(cores, "core", "left_semi").select(value.alias("v"), "x"))
+
+
+def _last(work: Work, rows: DataFrame) -> DataFrame:
+    """Windows (k, a, b) that occur twice, of the last round, where core, hull and window are one."""
+    return _repeated(work, rows, work.keep(rows.groupBy("hull").agg(F.count("*").alias("n")).filter("n > 1").select("hull")))
+
+
+def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int = GRAM) -> tuple[DataFrame, int]:
+    """(k, starts, ends) with the repeated byte ranges of each text that has any, and how many ranges there are."""
+    spark = docs.sparkSession
+    keyed = _keyed(docs, doc_id, text)
+    rounds = len(sizes(length, gram))
+    with Work(spark) as work:
+        grams = work.keep(_grams(keyed, length, gram).groupBy("g").agg(F.count("*").alias("n")).filter("n > 1").select("g"))
+        many = grams.count()
+        few = many <= FILTER_ROWS
+        filters = [spark.sparkContext.broadcast(bit_table(grams, "g", many)) if few else None]
+        rows = _block_rows(keyed, 0, filters, length, gram)
+        rows = work.keep(rows if few else rows.join(grams.withColumnRenamed("g", "core"), "core", "left_semi").select(*rows.columns))
+        marked = []
+        for level in range(1, rounds):
+            marks, alive = _ranked(work, rows)
+            marked.append(marks)
+            many = alive.count()
+            if many <= FILTER_ROWS:
+                filters.append(spark.sparkContext.broadcast(bit_table(alive, "v", many)))
+                source = keyed
+            else:
+                filters.append(None)
+                lists = alive.join(rows.select("x", "k"), "x").groupBy("k").agg(F.collect_list("v").alias("xs"))
+                source = keyed.join(lists, "k")
+            rows = work.keep(_block_rows(source, level, filters, length, gram))
+        marked.append(_last(work, rows))
+        every = marked[0]
+        for m in marked[1:]:
+            every = every.unionByName(m)
+        lists = every.groupBy("k").agg(F.collect_list(F.struct("a", "b")).alias("w"))
+        spans = cut(_merged(lists, length))
+    return spans, spans.agg(F.sum(F.size("starts"))).first()[0] or 0
+
+
+def _merged(lists: DataFrame, length: int) -> DataFrame:
+    """(k, starts, ends): the windows of each text as disjoint byte ranges."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             starts, ends = [], []
-            for a, w in zip(batch.column("anchors"), batch.column("windows"), strict=True):
-                at, windows = (x.values.to_numpy().astype(np.int64) for x in (a, w))
-                lo = np.concatenate([np.maximum(at - (length - gram), 0), windows])
-                hi = np.concatenate([at, windows]) + length
-                order = np.argsort(lo, kind="stable")
-                lo, reach = lo[order], np.maximum.accumulate(hi[order])
+            for w in batch.column("w"):
+                a, b = (w.values.field(i).to_numpy().astype(np.int64) for i in (0, 1))
+                order = np.argsort(a, kind="stable")
+                lo, reach = a[order], np.maximum.accumulate(b[order] + length)
                 new = np.flatnonzero(np.concatenate([[True], lo[1:] > reach[:-1]]))
                 starts.append(lo[new])
                 ends.append(reach[np.append(new[1:], len(lo)) - 1])
@@ -236,7 +339,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     spans, entries = repeated_spans(docs, doc_id, text, length, gram)
     keep = [c for c in (docs.columns if carry is None else carry) if c not in ("spans", "kept")]
     source = docs.select(*(F.col(c).alias(f"c{i}") for i, c in enumerate(keep)), F.xxhash64(doc_id, text).alias("k"), F.col(text).alias("t"))
-    joined = _with_lists(source, spans, entries)
+    joined = source.join(F.broadcast(spans) if entries <= BROADCAST_RANGES else spans, "k", "left")
     schema = docs.select(*keep, F.lit(None).cast("array<struct<start:long,end:long>>").alias("spans"), F.lit(None).cast("binary").alias("kept")).schema
     kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
@@ -245,7 +348,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
             ranges, left = [], []
             for t, a, b in zip(batch.column("t"), batch.column("starts"), batch.column("ends"), strict=True):
                 raw = (t.as_py() or "").encode()
-                pairs = [(x, min(y, len(raw))) for x, y in zip(a.as_py() or (), b.as_py() or (), strict=True)]
+                pairs = list(zip(a.as_py() or (), b.as_py() or (), strict=True))
                 ranges.append([{"start": x, "end": y} for x, y in pairs])
                 edges = [0, *(e for p in pairs for e in p), len(raw)]
                 left.append(b"".join(raw[x:y] for x, y in zip(edges[::2], edges[1::2], strict=True)))
@@ -255,7 +358,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
 
 def digest(removed: DataFrame, doc_id: str = "doc_id") -> DataFrame:
-    gone = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
+    gone: Column = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
     return removed.select(
         doc_id,
         (F.octet_length("kept") + gone).cast("long").alias("n_bytes"),

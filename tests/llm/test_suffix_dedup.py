@@ -47,11 +47,35 @@ def test_against_brute_force(spark):
 
 
 def test_shuffle_joins_give_the_same(spark, monkeypatch):
-    monkeypatch.setattr(suffix_dedup, "BROADCAST_POSITIONS", -1)
+    monkeypatch.setattr(suffix_dedup, "BROADCAST_RANGES", -1)
+    monkeypatch.setattr(suffix_dedup, "FILTER_ROWS", -1)
     rows = cases()
     assert run(spark, rows) == brute(rows)
 
 
+def test_slices_of_long_texts_give_the_same(spark):
+    rng = random.Random(9)
+    a, b = ("".join(rng.choice("abcdefgh é") for _ in range(n)) for n in (90_000, 700))
+    rows = [(1, a), (2, b), (3, "x" + a[40_000:40_900] + "y" + b[:300]), (4, b[150:] + a[:199])]
+    want = brute(rows)
+    assert run(spark, rows) == want
+    raw = a.encode()
+    whole = suffix_dedup.Anchors(raw, 0, len(raw), 200, 64)
+    for step in (1000, 333, 40_000):
+        parts = [suffix_dedup.Anchors(raw, lo, lo + step, 200, 64) for lo in range(0, len(raw), step)]
+        assert [p for x in parts for p in x.p.tolist()] == whole.p.tolist()
+        assert [g for x in parts for g in x.gram.tolist()] == whole.gram.tolist()
+
+
+def test_copies_of_one_text_and_a_common_passage(spark):
+    """A hot group of copies, and a passage within many different texts whose edges differ."""
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(6))
+    passage = " ".join(word() for _ in range(60))
+    rows = [(i, "copy " + passage[:250]) for i in range(60)] + [(100 + i, f"{word()} {passage[i % 9 : 380 - i % 7]} {word()} {word()}") for i in range(60)]
+    assert run(spark, rows) == brute(rows)
+
+
 def test_empty_and_short(spark):
     assert run(spark, []) == []
     assert run(spark, [(1, "short"), (2, None)]) == brute([(1, "short"), (2, None)])
