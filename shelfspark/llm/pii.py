@@ -4,21 +4,26 @@ Four kinds are found exactly: email, ip, card, phone, leftmost and without
 overlap per kind, with code point offsets. These seed the method. A candidate is
 a token of the text with a digit or a mark of addresses, the own span of a seed
 with blanks inside, or a run of up to `WORDS` words of digits that touches no
-span; it has an instance (its text), and lexical patterns: its shape (runs of letters and digits with their
-lengths) alone, and its coarse shape after the word before it. Patterns and
-instances form a graph of counted edges. Seeds start with confidence 1; then
-Spark repeats, on the aggregated edges only: a pattern's confidence is the
-smoothed mean confidence of its instances' occurrences, and an instance's is the
-best of its patterns. Tokens of patterns that end above `ACCEPT` with enough
-different instances, and that are no seed, become new spans of the seeds' kind,
-but for those within a longer new one.
+span; it has an instance (its text), and lexical patterns: its shape (runs of
+letters and digits with their lengths) alone, and its coarse shape after the word
+before it. Patterns and instances form a graph. Seeds start with confidence 1; then
+Spark repeats, on the edges only: a pattern's confidence is the smoothed mean
+confidence of its different instances, and an instance's is the square of the best
+of its patterns'. So a pattern without any seed is trusted once patterns that are
+trusted cover its instances, and leads on to others. Tokens of patterns that end
+above `ACCEPT` with enough different instances, and that are no seed, become new
+spans of the kind that most of the pattern's confidence stands for, but for those
+within a longer new one.
 
 All of it is DataFrame expressions: spans come from interleaving the pieces that
 split and regexp_extract_all give. The regular expressions are possessive where
-that cannot change a match, so long runs neither backtrack nor overflow.
+that cannot change a match, so long runs neither backtrack nor overflow, and texts,
+tokens and contexts count in full whatever their length. The texts are read twice:
+once for candidates, which are kept as a table, and once for the result.
 
-Null text is empty. Rows that repeat an id and a text share their findings.
-Empty tables give no rows; without seeds there are no patterns.
+Null text is empty. Rows that repeat an id and a text share their findings. Ids are
+of any type. Columns named like the results are replaced, others are kept apart from
+those used within. Empty tables give no rows; without seeds there are no patterns.
 """
 
 from __future__ import annotations
@@ -26,7 +31,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut
+from ..session import Work, cut
 
 KINDS = ("email", "ip", "card", "phone")
 ROUNDS = 3
@@ -67,7 +72,7 @@ def _luhn(digits: Column) -> Column:
 
 def _valid(kind: str, x: Column) -> Column:
     if kind == "ip":
-        return F.forall(F.split(x, r"\."), lambda p: F.length(F.ltrim(F.lit("0"), p)) <= 3) & F.forall(F.split(x, r"\."), lambda p: F.coalesce(p.try_cast("long"), F.lit(256)) <= 255)
+        return F.forall(F.split(x, r"\."), lambda p: F.coalesce(p.try_cast("long"), F.lit(256)) <= 255)
     if kind == "card":
         d = _digits(x)
         return F.length(d).between(16, 19) & F.when(F.length(d).between(16, 19), _luhn(d)).otherwise(False)
@@ -76,25 +81,36 @@ def _valid(kind: str, x: Column) -> Column:
     return F.lit(True)
 
 
+_LAST_WORD = r"(?<!\S)(\S++)\s*+$"
+_PLACES = "array<struct<start:int,match:string,lead:string>>"
+
+
 def _positions(text: Column, regex: str, gate: Column) -> Column:
-    """array<struct<start, match>> of a regex: lengths of the pieces between matches give the starts."""
+    """array<struct<start, match, lead>> of a regex: lengths of the pieces between matches give the starts.
+
+    lead is the word before the match, or what stands of it if the match begins within a word.
+    """
     matches = F.regexp_extract_all(text, F.lit(regex), F.lit(0))
     pieces = F.split(text, regex, -1)
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,match:string>>").alias("out"))
+    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("last"), F.array().cast(_PLACES).alias("out"))
+    word = lambda x: F.regexp_extract(x, _LAST_WORD, 1)
 
     def step(state: Column, pair: Column) -> Column:
         at = state["at"] + F.length(pair["piece"])
+        lead = F.when(~pair["piece"].rlike(r"\S"), word(state["last"])).otherwise(word(pair["piece"]))
         return F.struct(
             (at + F.length(pair["match"])).alias("at"),
-            F.concat(state["out"], F.array(F.struct(at.alias("start"), pair["match"].alias("match")))).alias("out"),
+            pair["match"].alias("last"),
+            F.concat(state["out"], F.array(F.struct(at.alias("start"), pair["match"].alias("match"), lead.alias("lead")))).alias("out"),
         )
 
     pairs = F.zip_with(F.slice(pieces, F.lit(1), F.size(matches)), matches, lambda p, m: F.struct(p.alias("piece"), m.alias("match")))
     found = F.aggregate(pairs, start, step, lambda s: s["out"])
-    return F.when(gate, found).otherwise(F.array().cast("array<struct<start:int,match:string>>"))
+    return F.when(gate, found).otherwise(F.array().cast(_PLACES))
 
 
 def base_spans(text: Column, kind: str) -> Column:
+    """array<struct<kind, start, end, lead, match>>."""
     gate = {
         "email": F.contains(text, F.lit("@")),
         "ip": text.rlike(r"[0-9]\.[0-9]"),
@@ -102,7 +118,7 @@ def base_spans(text: Column, kind: str) -> Column:
         "phone": F.contains(text, F.lit("+")),
     }[kind]
     found = F.filter(_positions(text, _REGEX[kind], gate), lambda m: _valid(kind, m["match"]))
-    return F.transform(found, lambda m: F.struct(F.lit(kind).alias("kind"), m["start"].alias("start"), (m["start"] + F.length(m["match"])).alias("end")))
+    return F.transform(found, lambda m: F.struct(F.lit(kind).alias("kind"), m["start"].alias("start"), (m["start"] + F.length(m["match"])).alias("end"), m["lead"].alias("lead"), m["match"].alias("match")))
 
 
 def with_base(docs: DataFrame, text: str, carry: list[Column]) -> DataFrame:
@@ -116,38 +132,35 @@ def candidates(based: DataFrame) -> DataFrame:
     text = F.col("_t")
     tokens = _positions(text, _TOKEN, text.rlike("[0-9@]"))
     spans = F.concat(*(F.col(f"_{k}") for k in KINDS))
-    rows = based.select("_key", text, spans.alias("spans"), F.explode(tokens).alias("x"))
-    rows = rows.select("_key", "_t", "spans", (F.col("x")["start"]).alias("start"), F.regexp_replace(F.col("x")["match"], r"[.,;:!?)\"']+$", "").alias("token"))
+    rows = based.select("_key", spans.alias("spans"), F.explode(tokens).alias("x"))
+    rows = rows.select("_key", "spans", (F.col("x")["start"]).alias("start"), F.col("x")["lead"].alias("before"), F.regexp_replace(F.col("x")["match"], r"[.,;:!?)\"']++$", "").alias("token"))
     end = F.col("start") + F.length("token")
-    inside = F.filter("spans", lambda s: (s["start"] < end) & (s["end"] > F.col("start")))
-    before = F.regexp_extract(F.expr("substring(_t, greatest(1, start - 40), least(40, start))"), r"([^\s]+)\s*$", 1)
-    return rows.select("_key", "start", end.alias("end"), "token", F.lower(before).alias("before"), F.try_element_at(inside, F.lit(1))["kind"].alias("seed"), (F.size(inside) > 0).alias("known")).filter(F.length("token").between(6, 256))
-
-
-def _before(text: Column, start: Column) -> Column:
-    return F.regexp_extract(F.substring(text, F.greatest(F.lit(1), start - 39), F.least(F.lit(40), start)), r"([^\s]+)\s*$", 1)
+    touched = F.exists("spans", lambda s: (s["start"] < end) & (s["end"] > F.col("start")))
+    held = F.filter("spans", lambda s: (s["start"] >= F.col("start")) & (s["end"] <= end))
+    rows = rows.select("_key", "start", end.alias("end"), "token", F.lower("before").alias("before"), F.try_element_at(held, F.lit(1))["kind"].alias("seed"), touched.alias("known"))
+    return rows.filter((F.length("token") > 0) & (F.col("seed").isNotNull() | ~F.col("known")))  # parts of spans are no candidates
 
 
 def joined_candidates(based: DataFrame) -> DataFrame:
     """Candidates with blanks inside, with the columns of `candidates`: own spans of seeds, and runs of words that touch no span."""
     text = F.col("_t")
     spans = F.concat(*(F.col(f"_{k}") for k in ("card", "phone")))
-    blank = F.filter(spans, lambda s: F.contains(F.substring(text, s["start"] + 1, s["end"] - s["start"]), F.lit(" ")))
-    own = based.select("_key", text, F.explode(blank).alias("s")).select("_key", text, "s.*")
-    seeds = own.select("_key", "start", "end", F.substring(text, F.col("start") + 1, F.col("end") - F.col("start")).alias("token"), F.lower(_before(text, F.col("start"))).alias("before"), F.col("kind").alias("seed"), F.lit(True).alias("known"))
+    blank = F.filter(spans, lambda s: F.contains(s["match"], F.lit(" ")))
+    own = based.select("_key", F.explode(blank).alias("s"))
+    seeds = own.select("_key", "s.start", "s.end", F.col("s.match").alias("token"), F.lower("s.lead").alias("before"), F.col("s.kind").alias("seed"), F.lit(True).alias("known"))
 
     runs = _positions(text, _RUN, text.rlike(r"[0-9][).-]?\x20++\+?\(?[0-9]"))
     every = F.concat(*(F.col(f"_{k}") for k in KINDS))
-    rows = based.select("_key", text, every.alias("spans"), F.explode(runs).alias("x"))
+    rows = based.select("_key", every.alias("spans"), F.explode(runs).alias("x"))
     far = F.col("x")["start"] + F.length(F.col("x")["match"])
     near = F.filter("spans", lambda s: (s["start"] < far) & (s["end"] > F.col("x")["start"]))
-    rows = rows.select("_key", F.col("x")["start"].alias("at"), _before(text, F.col("x")["start"]).alias("lead"), near.alias("spans"), _positions(F.col("x")["match"], r"[^\x20]++", F.lit(True)).alias("words"))
+    rows = rows.select("_key", F.col("x")["start"].alias("at"), F.col("x")["lead"].alias("lead"), near.alias("spans"), _positions(F.col("x")["match"], r"[^\x20]++", F.lit(True)).alias("words"))
     rows = rows.select("_key", "at", "lead", "spans", F.explode(F.transform("words", lambda w, i: F.struct(F.when(i > 0, F.get("words", i - 1)["match"]).alias("last"), F.slice("words", i + 1, WORDS).alias("words")))).alias("y"))
     rows = rows.select("_key", "at", "spans", F.coalesce("y.last", "lead").alias("before"), F.col("y.words").alias("words"))
     rows = rows.select("*", F.explode(F.when(F.size("words") > 1, F.sequence(F.lit(2), F.size("words")))).alias("k"))
     first = F.col("words")[0]["start"]
     whole = F.aggregate(F.slice("words", F.lit(1), F.col("k")), F.lit(""), lambda a, w: F.concat(F.rpad(a, w["start"] - first, " "), w["match"]))
-    rows = rows.select("_key", "spans", "before", (F.col("at") + first).alias("start"), F.regexp_replace(whole, "[^0-9]+$", "").alias("token"))
+    rows = rows.select("_key", "spans", "before", (F.col("at") + first).alias("start"), F.regexp_replace(whole, "[^0-9]++$", "").alias("token"))
     end = F.col("start") + F.length("token")
     free = ~F.exists("spans", lambda s: (s["start"] < end) & (s["end"] > F.col("start")))
     rows = rows.filter(F.length(_digits(F.col("token"))).between(*DIGITS) & free)
@@ -170,22 +183,23 @@ def patterns_of(found: DataFrame) -> DataFrame:
 
 def score_patterns(found: DataFrame, rounds: int = ROUNDS, accept: float = ACCEPT, support: int = SUPPORT) -> DataFrame:
     """(pattern, kind, confidence) of the patterns that are trusted after the last round."""
-    edges = patterns_of(found).groupBy("pattern", F.xxhash64("token").alias("instance")).agg(F.count("*").alias("n"), F.max("seed").alias("seed"))
-    wide = edges.groupBy("pattern").agg(F.count("*").alias("instances"), F.count("seed").alias("seeds")).filter((F.col("instances") >= support) & (F.col("seeds") > 0))
-    edges = cut(edges.join(wide.select("pattern"), "pattern"))
-    belief = edges.groupBy("instance").agg(F.max(F.col("seed").isNotNull().cast("double")).alias("belief"))
-    scored = None
-    for r in range(rounds):
-        scored = edges.join(belief, "instance").groupBy("pattern").agg((F.sum("belief") / (F.count("*") + 1)).alias("confidence"))
-        if r < rounds - 1:
-            scored = cut(scored)
-            best = edges.join(scored, "pattern").groupBy("instance").agg(
-                F.max(F.col("seed").isNotNull().cast("double")).alias("own"), F.max("confidence").alias("best")
-            )
-            belief = cut(best.select("instance", F.greatest("own", F.col("best") * F.col("best")).alias("belief")))
-    by_kind = edges.filter("seed is not null").groupBy("pattern", "seed").agg(F.count("*").alias("n"))
-    kinds = by_kind.groupBy("pattern").agg(F.max(F.struct("n", "seed"))["seed"].alias("kind"))
-    return cut(scored.filter(F.col("confidence") >= accept).join(kinds, "pattern").select("pattern", "kind", "confidence"))
+    with Work(found.sparkSession) as work:
+        edges = patterns_of(found).groupBy("pattern", F.xxhash64("token").alias("instance")).agg(F.max("seed").alias("seed"))
+        edges = work.keep(edges)
+        wide = edges.groupBy("pattern").agg(F.count("*").alias("size")).filter(F.col("size") >= support)
+        edges = work.keep(edges.join(wide, "pattern"))
+        own = work.keep(edges.groupBy("instance").agg(F.max("seed").alias("seed")))
+        belief = own.filter("seed is not null").select("instance", F.col("seed").alias("kind"), F.lit(1.0).alias("belief"))
+        scored = None
+        for r in range(rounds):
+            votes = edges.select("pattern", "size", "instance").join(belief, "instance").groupBy("pattern", "size", "kind").agg(F.sum("belief").alias("votes"))
+            scored = votes.groupBy("pattern", "size").agg(F.sum("votes").alias("sum"), F.max(F.struct("votes", "kind"))["kind"].alias("kind"))
+            scored = work.keep(scored.select("pattern", "kind", (F.col("sum") / (F.col("size") + 1)).alias("confidence")))
+            if r < rounds - 1:
+                best = edges.select("pattern", "instance").join(scored, "pattern").groupBy("instance").agg(F.max(F.struct("confidence", "kind")).alias("x"))
+                told = best.join(own, "instance").select("instance", F.coalesce("seed", "x.kind").alias("kind"), F.when(F.col("seed").isNotNull(), 1.0).otherwise(F.col("x.confidence") * F.col("x.confidence")).alias("belief"))
+                belief = work.keep(told)
+        return cut(scored.filter(F.col("confidence") >= accept))
 
 
 def find_personal_data(
@@ -195,15 +209,16 @@ def find_personal_data(
     keep = [c for c in (docs.columns if carry is None else carry) if c not in (base, out)]
     key = F.xxhash64(F.col(doc_id), F.col(text)).alias("_key")
     based = with_base(docs, text, [key])
-    found = candidates(based).unionByName(joined_candidates(based))
-    trusted = score_patterns(found)
-    if trusted.count() <= BROADCAST_PATTERNS:
-        trusted = F.broadcast(trusted)
-    hits = patterns_of(found.filter(~F.col("known"))).join(trusted, "pattern")
-    best = hits.groupBy("_key", "start", "end").agg(F.max_by("kind", F.struct("confidence", "kind")).alias("kind"))
-    new = best.groupBy("_key").agg(F.collect_set(F.struct("kind", "start", "end")).alias("_new"))
-    longest = F.filter("_new", lambda s: ~F.exists("_new", lambda g: (g["start"] <= s["start"]) & (g["end"] >= s["end"]) & (g["end"] - g["start"] > s["end"] - s["start"])))
-    added = cut(new.select("_key", longest.alias("_new")))
+    with Work(docs.sparkSession) as work:
+        found = work.keep(candidates(based).unionByName(joined_candidates(based)))
+        trusted = score_patterns(found)
+        if trusted.count() <= BROADCAST_PATTERNS:
+            trusted = F.broadcast(trusted)
+        hits = patterns_of(found.filter(~F.col("known"))).join(trusted, "pattern")
+        best = hits.groupBy("_key", "start", "end").agg(F.max_by("kind", F.struct("confidence", "kind")).alias("kind"))
+        new = best.groupBy("_key").agg(F.collect_set(F.struct("kind", "start", "end")).alias("_new"))
+        longest = F.filter("_new", lambda s: ~F.exists("_new", lambda g: (g["start"] <= s["start"]) & (g["end"] >= s["end"]) & (g["end"] - g["start"] > s["end"] - s["start"])))
+        added = cut(new.select("_key", longest.alias("_new")))
     if added.count() <= BROADCAST_PATTERNS:
         added = F.broadcast(added)
     whole = with_base(docs, text, [key, *(F.col(c).alias(f"c{i}") for i, c in enumerate(keep))]).join(added, "_key", "left")
@@ -213,7 +228,7 @@ def find_personal_data(
         keyed = F.array_sort(F.transform(spans, lambda s: F.struct(rank(s["kind"]).alias("r"), s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
         return F.transform(keyed, lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
 
-    own = F.concat(*(F.col(f"_{k}") for k in KINDS))
+    own = F.transform(F.concat(*(F.col(f"_{k}") for k in KINDS)), lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
     return whole.select(
         *(F.col(f"c{i}").alias(c) for i, c in enumerate(keep)),
         own.alias(base),

@@ -84,3 +84,34 @@ def test_identifiers_with_blanks_are_found_whole(spark):
     got = {r.doc_id: r.text for r in pii.mask(docs(spark, [*good, *odd])).collect()}
     assert got[900] == "Des [PHONE] [IP] du" and got[901] == "typed [CARD], no" and got[902] == odd[2][1]
     assert got[5] == "call [PHONE] or so" and got[105] == "paid with [CARD] today"
+
+
+def test_a_pattern_without_seeds_leads_on(spark):
+    """The cards of one context are trusted; their shape is too then, and finds cards of another context; nothing else is."""
+    rows, bad = seeded()
+    luhn_free = [f"5{i:014d}" for i in range(60)]
+    luhn_free = [g + next(str(c) for c in range(10) if not luhn(g + str(c))) for g in luhn_free]
+    rows = rows[:200] + [(300 + i, f"holder number {g} ok") for i, g in enumerate(luhn_free)] + [(800 + i, f"page {i} of {i + 7}") for i in range(80)]
+    found = pii.candidates(pii.with_base(docs(spark, rows), "text", [pii.F.xxhash64("doc_id", "text").alias("_key")]))
+    first = {r.pattern for r in pii.score_patterns(found, rounds=1, accept=0.7).collect()}
+    last = {r.pattern: r.kind for r in pii.score_patterns(found, rounds=4, accept=0.55).collect()}
+    without = "after number 9"
+    assert without not in first and last.get(without) == "card" and "after card 9" in first and not any(p.startswith("after page") for p in last)
+
+
+def test_no_seeds_give_no_patterns(spark):
+    rows = [(i, f"room {i + 100} on floor {i}") for i in range(50)]
+    assert {r.spans for r in pii.digest(pii.find_personal_data(docs(spark, rows), carry=["doc_id"])).collect()} == {""}
+
+
+def test_shuffle_joins_give_the_same(spark, monkeypatch):
+    rows, bad = seeded()
+    want = sorted(map(str, pii.digest(pii.find_personal_data(docs(spark, rows), carry=["doc_id"])).collect()))
+    monkeypatch.setattr(pii, "BROADCAST_PATTERNS", -1)
+    assert sorted(map(str, pii.digest(pii.find_personal_data(docs(spark, rows), carry=["doc_id"])).collect())) == want
+
+
+def test_the_word_before_counts_in_full(spark):
+    word = "x" * 300
+    found = pii.candidates(pii.with_base(docs(spark, [(1, f"{word} 123 4a, b@c\n9")]), "text", [pii.F.lit(1).alias("_key")]))
+    assert [(r.token, r.before) for r in found.orderBy("start").collect()] == [("123", word), ("4a", "123"), ("b@c", "4a,"), ("9", "b@c")]
