@@ -2,17 +2,22 @@
 
 Texts become words by lower-casing A-Z and keeping runs of digits, letters and
 non-ASCII characters. Every run of `window` consecutive item words is a pattern;
-an item with fewer words, but not none, is one pattern. A text is scanned once
-per automaton and each match is mapped back to word ranges and to code point
-offsets of the original text.
-
-The benchmark is split into blocks of at most `block_chars` characters whose
-patterns are shipped to the workers, so what is broadcast never grows with it;
-more blocks mean more passes over the same partition, never a shuffle.
-
-Null or empty texts have no words and no hits. Null items are ignored; an item
-without an id marks words but is not listed. Repeated items count once. Empty
-tables give empty or clean results. Extra columns of documents are kept.
+an item with fewer words, but not none, is one pattern. The automaton's letters are
+the numbers of the benchmark's words, so a pattern has `window` nodes at most, whatever
+the length of its words. A text is scanned once and each match is mapped back to word
+ranges and to code point offsets of the original text.
+
+An automaton takes some 450 bytes a benchmark word in each worker, and is bounded: a
+benchmark of more than `block_words` words (some 3 MB of text) is split, and its blocks
+are scanned for one after another, with the findings kept in a checkpoint between
+them. So workers' memory never grows with the benchmark, at the price of a scan a
+block; there is no shuffle.
+
+Null or empty texts have no words and no hits; very long ones are scanned whole, in
+memory of a few times their length. Null items are ignored; an item without an id
+marks words but is not listed. Repeated items count once. Empty tables give empty or
+clean results. Extra columns of documents are kept; one named like the result is
+replaced.
 """
 
 from __future__ import annotations
@@ -28,10 +33,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import cut
+
 WINDOW = 10
-BLOCK_CHARS = 32_000_000
+#: Words of one automaton. Its letters are code points, of which there are more.
+BLOCK_WORDS = 500_000
 
 _SPACE = 32
+_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 _TABLE = bytes(
     c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else _SPACE for c in range(256)
 )
@@ -54,32 +63,34 @@ def normalise(raw: bytes) -> bytes:
     return raw.translate(_TABLE)
 
 
-def patterns(rows: list[tuple[object, str]], window: int = WINDOW) -> dict[str, tuple[int, list[str]]]:
-    """Padded pattern -> (its number of words, ids of the items that hold it)."""
-    out: dict[str, tuple[int, dict]] = {}
-    for item, text in rows:
-        words = normalise(text.encode()).decode("latin-1").split(" ")
-        words = [w for w in words if w]
-        for k in range(max(1, len(words) - window + 1) if words else 0):
-            part = words[k : k + window]
-            ids = out.setdefault(f" {' '.join(part)} ", (len(part), {}))[1]
-            if item is not None:
-                ids[str(item)] = None
-    return {p: (n, list(ids)) for p, (n, ids) in out.items()}
+class Patterns:
+    """The automaton of benchmark windows: code point of each word, and of each pattern its length and items."""
 
+    def __init__(self, rows: list[tuple[object, str]], window: int = WINDOW):
+        self.letters: dict[bytes, str] = {}
+        self.lengths: list[int] = []
+        self.items: list[tuple[str, ...]] = []
+        self.tree = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+        for item, text in rows:
+            coded = "".join([self._letter(w) for w in normalise(text.encode()).split()])
+            own = () if item is None else (str(item),)
+            for k in range(max(1, len(coded) - window + 1) if coded else 0):
+                at = self.tree.get(coded[k : k + window], -1)
+                if at < 0:
+                    self.tree.add_word(coded[k : k + window], len(self.items))
+                    self.lengths.append(min(window, len(coded)))
+                    self.items.append(own)
+                elif own and own[0] not in self.items[at]:
+                    self.items[at] += own
+        if self.items:
+            self.tree.make_automaton()
 
-_built: dict[str, ahocorasick.Automaton | None] = {}
+    def _letter(self, word: bytes) -> str:
+        n = len(self.letters) + 1
+        return self.letters.setdefault(word, chr(n if n < 0xD800 else n + 0x800))  # no surrogates
 
 
-def automaton(found: dict[str, tuple[int, list[str]]]) -> ahocorasick.Automaton | None:
-    """Built once in a process for each broadcast."""
-    if not found:
-        return None
-    out = ahocorasick.Automaton()
-    for p, value in found.items():
-        out.add_word(p, value)
-    out.make_automaton()
-    return out
+_built: dict[str, Patterns] = {}
 
 
 def _merge(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -92,23 +103,19 @@ def _merge(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def scan_text(text: str | None, tree: ahocorasick.Automaton | None, before: dict | None = None) -> dict:
+def scan_text(text: str | None, known: Patterns, before: dict | None = None) -> dict:
     """Word count, merged hit word ranges, their code point ranges and item ids."""
     raw = (text or "").encode()
     flat = normalise(raw)
     words = flat.split()
     out = before or {"n_words": len(words), "words": [], "chars": [], "items": []}
-    if not words or tree is None:
+    if not words or not known.items:
         return out
-    padded = b" " + b" ".join(words) + b" "
-    ends = spaces = None
-    ranges, items = [], {}
-    for end, (n, ids) in tree.iter(padded.decode("latin-1")):
-        if spaces is None:
-            spaces = np.flatnonzero(np.frombuffer(padded, np.uint8) == _SPACE)
-        last = int(np.searchsorted(spaces, end))
-        ranges.append((last - n, last))
-        items.update(dict.fromkeys(ids))
+    get = known.letters.get
+    ranges, items = [], set()
+    for last, at in known.tree.iter("".join([get(w, "\0") for w in words])):
+        ranges.append((last + 1 - known.lengths[at], last + 1))
+        items.update(known.items[at])
     if not ranges:
         return out
     merged = _merge([*ranges, *((r["first"], r["end"]) for r in out["words"])])
@@ -130,7 +137,7 @@ def find_contamination(
     item_text: str = "text",
     out: str = "contamination",
     window: int = WINDOW,
-    block_chars: int = BLOCK_CHARS,
+    block_words: int = BLOCK_WORDS,
     carry: list[str] | None = None,
 ) -> DataFrame:
     """docs with a struct column `out`: n_words, hit word ranges, hit code point ranges, item ids.
@@ -139,26 +146,28 @@ def find_contamination(
     """
     spark = docs.sparkSession
     bench = benchmark.select(F.col(item_id).alias("i"), F.col(item_text).alias("t")).filter("t is not null").distinct()
-    total = bench.agg(F.sum(F.length("t"))).first()[0] or 0
-    blocks = max(1, -(-total // block_chars))
+    total = bench.agg(F.sum(F.size(F.regexp_extract_all("t", F.lit(_WORD), F.lit(0))))).first()[0] or 0
+    blocks = max(1, -(-total // block_words))
     kept = [c for c in docs.columns if c != out and (carry is None or c in {text, *carry})]
     found = docs.select(*kept).withColumn(out, F.lit(None).cast(_FOUND))
     for b in range(blocks):
         rows = bench.filter(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == b).collect()
-        sent = spark.sparkContext.broadcast(patterns([(r.i, r.t) for r in rows], window))
+        sent = spark.sparkContext.broadcast([(r.i, r.t) for r in rows])
         told = kept if b < blocks - 1 or carry is None else [c for c in kept if c in carry]
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent, key=uuid.uuid4().hex, told=told) -> Iterator[pa.RecordBatch]:
             if key not in _built:
                 _built.clear()
-                _built[key] = automaton(sent.value)
-            tree = _built[key]
+                _built[key] = Patterns(sent.value, window)
+            known = _built[key]
             for batch in batches:
                 had = batch.column(out).to_pylist()
-                got = [scan_text(t.as_py(), tree, h) for t, h in zip(batch.column(text), had, strict=True)]
+                got = [scan_text(t.as_py(), known, h) for t, h in zip(batch.column(text), had, strict=True)]
                 yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in told), pa.array(got, _ARROW)], names=[*told, out])
 
         found = found.mapInArrow(run, found.select(*told, out).schema)
+        if b < blocks - 1:
+            found = cut(found)  # or the automata of all blocks would be held at once
     return found
 
 

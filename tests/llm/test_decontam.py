@@ -54,7 +54,7 @@ def test_against_brute_force(spark):
 
 def test_many_blocks_give_the_same(spark):
     rows, items = cases()
-    assert run(spark, rows, items, block_chars=200) == brute(rows, items)
+    assert run(spark, rows, items, block_words=40) == brute(rows, items)
 
 
 def test_spans_are_offsets_of_the_original(spark):
@@ -66,6 +66,20 @@ def test_spans_are_offsets_of_the_original(spark):
     assert found.n_words == "own n_words"
 
 
+def test_more_words_than_letters_below_the_surrogates(spark):
+    item = " ".join(f"w{i}" for i in range(60_000))
+    rows = [(1, "x " + " ".join(f"w{i}" for i in range(55_300, 55_340))), (2, " ".join(f"w{i}" for i in range(59_990, 60_000))), (3, "w55295 w55297")]
+    got = run(spark, rows, [(7, item)])
+    assert [(r[0], r[2], r[3]) for r in got] == [(1, 40, 1), (2, 10, 1), (3, 0, 0)]
+
+
+def test_memory_of_an_automaton_is_bounded_by_its_words():
+    rng = random.Random(2)
+    built = decontam.Patterns([(i, " ".join(f"w{rng.randrange(9000)}" for _ in range(500))) for i in range(40)])
+    stats = built.tree.get_stats()
+    assert stats["nodes_count"] <= 10 * 20_000 and stats["total_size"] / 20_000 < 450 and len(built.items) <= 20_000
+
+
 def test_empty_tables(spark):
     assert run(spark, [], [(1, "a b")]) == []
     assert [r[5] for r in run(spark, [(1, "a b"), (2, None)], [])] == [False, False]
