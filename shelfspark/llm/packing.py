@@ -4,16 +4,21 @@ Documents become token ids of a public tokenizer plus an end id. Whole windows
 are cut from long documents; the rests of a block of documents are dealt to
 windows by multiway differencing: partial partitions with the largest spread are
 merged, the fullest window of one with the emptiest of the other. The number of
-windows is what their tokens need, and rises by short windows of a power of two
-for the tokens beyond whole windows, so nothing is padded; what a window holds
-beyond its capacity is cut off and fills those below it.
+windows is at first what the tokens need, and rises, with the differencing done
+again, as long as any window exceeds the capacity. So up to here no rest is cut and
+windows are nearly equal, each with a little room. Then the emptiest windows, those
+beyond the number that full ones would need, are cut up: their documents fill the
+room of the others, and what is left goes to windows of a power of two. Nothing is
+padded, and only the documents of a few windows of a block are cut.
 
 Blocks are bounded by tokens and stay in their input partition: there is no
 shuffle and no group grows with the input. A lost task is recomputed from its
 input split with the same result.
 
-Null text counts as empty; an empty document is its end id. Repeated rows are
-packed one by one. An empty table gives no rows.
+Null text counts as empty; an empty document is its end id. Ids are of any type;
+repeated rows are packed one by one. A very long text is encoded as a whole, at some
+ten bytes of worker memory a byte of text. Ties go by place in the input. Only the id
+and the text are read, so other names can't clash. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -175,42 +180,36 @@ def pack_lengths(lengths: np.ndarray, capacity: int) -> list[list[tuple[int, int
             sequences.append([(d, start, capacity)])
         if n % capacity:
             rests.append((d, n - n % capacity, n % capacity))
-    k, beyond = divmod(sum(r[2] for r in rests), capacity)
-    short = []
-    while beyond:  # the last rests, or the end of one, go to windows of a power of two
+    total = sum(r[2] for r in rests)
+    k, full = -(-total // capacity), total // capacity
+    groups = differencing([r[2] for r in rests], k) if k else []
+    while over := sum(sum(rests[i][2] for i in g) > capacity for g in groups):
+        k += -(-over // 2)
+        groups = differencing([r[2] for r in rests], k)
+    loads = [sum(rests[i][2] for i in g) for g in groups]
+    order = sorted(range(k), key=lambda g: (-loads[g], g))
+    spare = [rests[i] for g in order[full:] for i in groups[g]]
+
+    def take(room: int) -> list[tuple[int, int, int]]:
+        """Pieces of spare rests of that many tokens, as long as there are any; the end of the last one is cut off."""
+        out = []
+        while room and spare:
+            d, start, n = spare.pop()
+            own = min(n, room)
+            if own < n:
+                spare.append((d, start, n - own))
+            out.append((d, start + n - own, own))
+            room -= own
+        return out
+
+    for g in order[:full]:
+        sequences.append([*(rests[i] for i in groups[g]), *take(capacity - loads[g])])
+    beyond = sum(r[2] for r in spare)
+    while beyond:
         room = 1 << (beyond.bit_length() - 1)
+        sequences.append(take(room))
         beyond -= room
-        window = []
-        while room:
-            d, start, n = rests.pop()
-            take = min(n, room)
-            if take < n:
-                rests.append((d, start, n - take))
-            window.append((d, start + n - take, take))
-            room -= take
-        short.append(window)
-    windows, cut = [], []
-    for group in differencing([r[2] for r in rests], k) if k else []:
-        window, room = [], capacity
-        for i in group:
-            d, start, n = rests[i]
-            take = min(n, room)
-            if take:
-                window.append((d, start, take))
-            if take < n:
-                cut.append((d, start + take, n - take))
-            room -= take
-        windows.append((window, room))
-    for window, room in windows:
-        while room and cut:
-            d, start, n = cut.pop()
-            take = min(n, room)
-            if take < n:
-                cut.append((d, start, n - take))
-            window.append((d, start + n - take, take))
-            room -= take
-        sequences.append(window)
-    return sequences + short
+    return sequences
 
 
 def pack_documents(

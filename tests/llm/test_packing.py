@@ -66,6 +66,26 @@ def test_differencing_balances():
     assert [len(g) for g in packing.differencing([5, 4], 4)].count(0) == 2
 
 
+def test_the_number_of_windows_rises_until_all_fit(monkeypatch):
+    asked, real = [], packing.differencing
+    monkeypatch.setattr(packing, "differencing", lambda n, k: asked.append(k) or real(n, k))
+    windows = packing.pack_lengths(np.array([60] * 20), 100)
+    assert asked[0] == 12 and asked[-1] == 20 and sorted(sum(n for *_, n in w) for w in windows) == [100] * 12
+    whole = sum(n == 60 for w in windows for *_, n in w)
+    assert whole >= 12
+    asked.clear()
+    windows = packing.pack_lengths(np.array([25] * 40), 100)
+    assert asked == [10] and all(n == 25 for w in windows for *_, n in w)
+
+
+def test_few_documents_are_cut():
+    rng = np.random.default_rng(8)
+    lengths = rng.integers(50, 1500, 1400)
+    windows = packing.pack_lengths(lengths, 4096)
+    pieces = sum(len(w) for w in windows)
+    assert pieces < 1.35 * len(lengths) and all(sum(n for *_, n in w) in (4096, *(1 << i for i in range(12))) for w in windows)
+
+
 def test_each_length_is_covered_once():
     rng = np.random.default_rng(5)
     for _ in range(30):
