@@ -8,14 +8,18 @@ of blocked urls among labelled ones, smoothed). Features that spell out the rule
 themselves are left to the trees; the suffix statistics carry them over.
 
 Trees are fitted by DataFrame aggregations: features are binned by quantiles of a
-sample of at most `sample_rows` labelled urls chosen by a hash, each level of a
-tree is one grouped sum of gradients by leaf, feature and bin, and the finished
-trees are one CASE expression, so scoring adds neither a shuffle nor Python.
+sample of at most `sample_rows` different labelled urls chosen by a hash, each with the
+logarithm of its number of rows as weight, so that no hot url fills the sample or
+outweighs it; each level of a tree is one grouped sum of gradients by leaf, feature and
+bin, and the finished trees are one CASE expression, so scoring adds neither a shuffle
+nor Python.
 
 A null url, or one without ://, has empty host and path, fits no rule and is
 judged by the trees like any other. With labels of one kind only, everything gets
-that verdict; with none at all, allow. Repeated rows are judged one by one. Empty
-tables give no rows.
+that verdict; with none at all, allow. Ties of rules of one length go to the first by
+name, ties of splits to the first feature and bin, a probability of one half is
+allowed. Very long urls count in full. Repeated rows are judged one by one. Columns
+named like the results are replaced. Empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -130,16 +134,17 @@ def _leaf(paths: list[list[tuple[str, float, bool]]], values: list) -> Column:
 
 def fit(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS, trees: int = TREES, depth: int = DEPTH, bins: int = BINS, rate: float = RATE) -> Trees | float | None:
     """Trees from rows (_url, _host, _path, _blocked); a verdict's share if there is one kind; None without rows."""
-    sample = cut(with_features(labelled.orderBy(F.xxhash64("_url"), "_url").limit(sample_rows)))
-    n, positive = sample.agg(F.count("*"), F.sum("_blocked")).first()
+    once = labelled.groupBy("_url", "_host", "_path", "_blocked").agg((1 + F.log2(F.count("*").cast("double"))).alias("_times"))
+    sample = cut(with_features(once.orderBy(F.xxhash64("_url"), "_url").limit(sample_rows)))
+    n, positive = sample.agg(F.sum("_times"), F.sum(F.col("_times") * F.col("_blocked"))).first()
     if not n:
         return None
-    if positive in (0, n):
-        return positive / n
+    if positive <= 0 or positive >= n:
+        return float(positive > 0)
     prior = math.log(positive / (n - positive))
     tables = {}
     for name, key in _KEYS:
-        stat = cut(sample.groupBy(key).agg(((F.sum("_blocked") + 5.0 * positive / n) / (F.count("*") + 5.0)).alias(name)))
+        stat = cut(sample.groupBy(key).agg(((F.sum(F.col("_times") * F.col("_blocked")) + 5.0 * positive / n) / (F.sum("_times") + 5.0)).alias(name)))
         tables[name] = F.broadcast(stat) if stat.count() <= BROADCAST_SUFFIXES else stat
     model = Trees(prior, tables)
     rows = model.encode(sample)
@@ -147,10 +152,10 @@ def fit(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS, trees: int = TREES,
     cuts = rows.agg(*(F.percentile_approx(f, steps, 10_000).alias(f) for f in FEATURES)).first()
     edges = {f: sorted(set(cuts[f])) for f in FEATURES}
     binned = [sum(((F.col(f) > e).cast("int") for e in edges[f]), start=F.lit(0)).alias(f"b_{f}") for f in FEATURES]
-    rows = cut(rows.select("_blocked", *FEATURES, *binned))
+    rows = cut(rows.select("_blocked", "_times", *FEATURES, *binned))
     for _ in range(trees):
         p = 1 / (1 + F.exp(-model.margin()))
-        rows_now = rows.withColumns({"_g": F.col("_blocked") - p, "_w": p * (1 - p)})
+        rows_now = rows.withColumns({"_g": F.col("_times") * (F.col("_blocked") - p), "_w": F.col("_times") * p * (1 - p)})
         paths: list[list[tuple[str, float, bool]]] = [[]]
         totals: list[tuple[float, float]] = []
         for level in range(depth + 1):
