@@ -6,11 +6,14 @@ lower-cased words of the whole text, words that follow themselves, words in
 capitals or with runs of marks, and coarse levels of shares (capitals, marks,
 repeated words). The expected grade and the probability of the top grade decide.
 
-Ratings are fitted on a bounded sample of at most `sample_rows` rows chosen by a
-hash of the id; scoring covers every row. Null and empty texts have no word
-features and get the score of the thresholds and levels alone. With no ratings
-every row is kept with null scores. Conflicting ratings of one id are averaged
-down to the lowest grade.
+Ratings are fitted on a bounded sample of at most `sample_rows` ids chosen by a hash
+of the id; scoring covers every row. Of an id that is rated more than once the lowest
+grade counts, and of one with several texts the least text, so repeated rows change
+nothing. Null and empty texts have no word features and get the score of the
+thresholds and levels alone. Very long texts count in full; a worker holds one text,
+its words and what a bounded number of words gives. With no ratings every row is kept
+with null scores; equal scores need no order, as a threshold decides. Columns named
+like the results are replaced. Empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -154,13 +157,14 @@ def fit(docs: DataFrame, ratings: DataFrame, doc_id: str = "doc_id", text: str =
         .limit(sample_rows)
     )
     chosen = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text")).join(F.broadcast(rated), "_id")
+    chosen = chosen.groupBy("_id", "_grade").agg(F.min("_text").alias("_text"))  # at most sample_rows rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features = Features()
         for batch in batches:
             yield pa.RecordBatch.from_arrays([pa.array([features(t.as_py()) for t in batch.column(0)], pa.list_(pa.int32())), batch.column(1)], names=["cells", "grade"])
 
-    got = chosen.select("_text", "_grade").mapInArrow(run, "cells array<int>, grade int").limit(2 * sample_rows).toArrow()
+    got = chosen.select("_text", "_grade").mapInArrow(run, "cells array<int>, grade int").toArrow()
     if not len(got):
         return None
     cells = got.column("cells").combine_chunks()

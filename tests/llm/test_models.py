@@ -104,3 +104,58 @@ def test_quality_awkward_rows(spark):
     d = docs(spark)
     assert quality.keep_good(d, model).columns == d.columns and quality.keep_good(d, None).count() == len(TEXTS)
     assert quality.score(docs(spark, []), model).collect() == []
+
+
+def test_ordinal_fit_against_the_likelihood():
+    """Probabilities follow the definition, and no small step of a weight or threshold betters the penalised likelihood by much."""
+    rng = np.random.default_rng(3)
+    n, cells = 400, 12
+    x = rng.random((n, cells)) < 0.4
+    grades = np.clip(np.round(x[:, 0] * 1.2 - x[:, 1] * 1.1 + 1 + rng.normal(size=n) * 0.4), 0, 2).astype(int)
+    owner, cell = np.nonzero(x)
+    model = quality.Ordinal.fit(owner, cell, grades, 3, epochs=4000, sparse=0.01)
+    w, theta = model.weights[:cells].astype(float), model.thresholds
+
+    def loss(w, theta):
+        tail = np.concatenate([np.ones((n, 1)), 1 / (1 + np.exp(-((x @ w)[:, None] - theta))), np.zeros((n, 1))], 1)
+        above = grades[:, None] > np.arange(2)
+        binary = -(above * np.log(tail[:, 1:3]) + ~above * np.log(1 - tail[:, 1:3])).sum(1).mean()
+        return binary + 0.01 * np.abs(w).sum()
+
+    here = loss(w, theta)
+    for i in range(cells):
+        for step in (-0.05, 0.05):
+            assert loss(w + step * (np.arange(cells) == i), theta) > here - 1e-4
+    for j in range(2):
+        for step in (-0.05, 0.05):
+            assert loss(w, theta + step * (np.arange(2) == j)) > here - 1e-4
+    assert w[0] > 0.5 and w[1] < -0.5
+    for i in range(20):
+        want = 1 / (1 + np.exp(-(w[x[i]].sum() - theta)))
+        assert np.allclose(model.tails(np.flatnonzero(x[i]).tolist()), want)
+
+
+def test_scores_are_those_of_the_model_on_plain_features(spark):
+    ratings = spark.createDataFrame([(i, i % 3) for i in range(90)], "doc_id long, grade int")
+    rows = [(i, ("fine words here " if i % 3 == 2 else "BUY NOW !!! " if i % 3 == 1 else "awful nasty text ") * 3 + f"number {i}") for i in range(90)]
+    model = quality.fit(docs(spark, rows), ratings)
+    got = {r.doc_id: (r.expected_grade, r.p_top) for r in quality.score(docs(spark, rows), model).collect()}
+    for i, t in rows:
+        tails = 1 / (1 + np.exp(-(sum(float(model.weights[c]) for c in quality.Features()(t)) - model.thresholds)))
+        assert np.allclose(got[i], (tails.sum(), tails[-1]), atol=1e-5)
+
+
+def test_repeated_ids_do_not_change_the_fit(spark):
+    ratings = spark.createDataFrame([(i, i % 3) for i in range(60)], "doc_id long, grade int")
+    rows = [(i, f"{'good fine' if i % 3 == 2 else 'bad poor' if i % 3 == 1 else 'awful'} text of row {i}") for i in range(60)]
+    one = quality.fit(docs(spark, rows), ratings, sample_rows=50)
+    many = quality.fit(docs(spark, rows + rows * 5 + [(3, "zzz other text")]), ratings, sample_rows=50)
+    assert np.allclose(one.weights, many.weights, atol=1e-5) and np.allclose(one.thresholds, many.thresholds, atol=1e-5)
+
+
+def test_language_shuffle_joins_give_the_same(spark, monkeypatch):
+    rows = docs(spark, [(i, t, k) for i, (t, k) in enumerate([("the cat sat on the mat ", "en"), ("der hund und die katze ", "de")] * 20)], "doc_id long, text string, lang string")
+    want = langid.learn(rows, docs_per_lang=5)
+    monkeypatch.setattr(langid, "BROADCAST_LANGS", -1)
+    got = langid.learn(rows, docs_per_lang=5)
+    assert got.langs == want.langs and (got.bits == want.bits).all()
