@@ -2,7 +2,19 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as
 Parquet and read again as the next one's docs; all but the last keep the columns
-of documents. Tables with extra columns keep them; empty tables give empty ones.
+of documents. Every stage works on all rows that it is given:
+
+* quality: a null or empty text is judged by the thresholds alone; ids that repeat are
+  judged row by row; with no ratings every row stays.
+* near_duplicates: of equal rows and of equal texts one stays, the one of the least id;
+  null and wordless texts all stay.
+* decontamination: null and empty texts have no words and stay, repeated rows go or
+  stay together; an empty benchmark removes nothing.
+* personal_data: null texts stay null; each row is masked for itself.
+* packing: a null text is its end id; repeated rows are packed one by one.
+
+Very long texts count in full in each of them. Tables with extra columns keep them up
+to packing, whatever their names; empty tables give empty ones.
 """
 
 from __future__ import annotations
@@ -13,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from shelfspark.llm import decontam, minhash, packing, pii, quality
 from shelfspark.llm.queries import TOKENIZER
-from shelfspark.session import scratch, table
+from shelfspark.session import remove, scratch, table
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,7 +62,7 @@ STAGES = [
     ("packing", packing_stage),
 ]
 
-#: No stage but decontamination and masking is expressible in SQL; tests hold the whole against a plain version.
+#: The model, the classes and the packing are not expressible in SQL; a test holds the whole against plain code.
 ORACLE_SQL = None
 
 
@@ -61,4 +73,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for k, (name, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}-{name}")
         docs = spark.read.parquet(f"{folder}/{k}-{name}")
+        if k:
+            remove(spark, f"{folder}/{k - 1}-{STAGES[k - 1][0]}")
     return docs
