@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 
@@ -25,12 +24,6 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def release(spark: SparkSession) -> None:
-    """Let shuffle files of finished steps go: they are removed when the driver collects its garbage."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def scratch(spark: SparkSession) -> str:
     """Folder for intermediate tables, shared by all executors."""
     ensure_checkpoint_dir(spark)
@@ -45,6 +38,7 @@ class Work:
 
     def __init__(self, spark: SparkSession):
         self.spark, self.at, self.n = spark, f"{scratch(spark)}/work-{uuid.uuid4().hex}", 0
+        self.marks: list[str] = []
 
     def keep(self, df: DataFrame) -> DataFrame:
         """The rows of df, written once and read from there on."""
@@ -53,8 +47,17 @@ class Work:
         df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def mark(self, df: DataFrame) -> DataFrame:
+        """The same by a checkpoint, which needs less memory for wide or nested rows; it is deleted with the tables."""
+        out = cut(df)
+        file = out._jdf.queryExecution().logical().rdd().getCheckpointFile()
+        if file.isDefined():
+            self.marks.append(file.get())
+        return out
+
     def drop(self) -> None:
-        remove(self.spark, self.at)
+        for path in [self.at, *self.marks]:
+            remove(self.spark, path)
 
     def __enter__(self) -> Work:
         return self
