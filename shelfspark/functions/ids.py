@@ -100,12 +100,17 @@ def legacy_sort_key(offer_id: Column) -> Column:
 
 
 def looks_base64url(token: Column) -> Column:
-    return token.rlike("^[A-Za-z0-9_-]+$") & (F.length(token) % 4 != 1)
+    """Whether a token is what b64url_no_pad gives for some printable text that is no bare number."""
+    shaped = token.rlike("^[A-Za-z0-9_-]+$") & ~token.rlike("^[0-9]+$") & (F.length(token) % 4 != 1)
+    raw = F.unbase64(F.concat(F.translate(token, "-_", "+/"), F.repeat(F.lit("="), (4 - F.length(token) % 4) % 4)))
+    text = F.try_validate_utf8(raw.cast("string"))
+    return F.when(shaped, F.coalesce(text.rlike(r"^[[^\p{C}\p{Z}] ]+$") & (b64url_no_pad(text) == token), F.lit(False))).otherwise(False)
 
 
 def legacy_offer_id(offer_id: Column) -> Column:
-    """friendly(vendor):number for an engine offer id; other ids are left as they are."""
+    """friendly(vendor):base64url(number) for an engine offer id of three parts; other ids are left as they are."""
     parts = F.split(offer_id, ":")
     friendly = friendly_id(F.get(parts, F.lit(0)))
     number = F.get(parts, F.lit(1))
-    return F.when((F.size(parts) >= 2) & friendly.isNotNull() & looks_base64url(number), F.concat_ws(":", friendly, number)).otherwise(offer_id)
+    token = F.when(looks_base64url(number), number).otherwise(b64url_no_pad(number))
+    return F.when((F.size(parts) == 3) & friendly.isNotNull(), F.concat_ws(":", friendly, token)).otherwise(offer_id)

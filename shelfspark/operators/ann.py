@@ -1,9 +1,9 @@
 """Cell-pruned and product-quantised vector search over tables.
 
 Centroids and codebooks are learned on a bounded sample; every row is indexed.
-The cell is a partition column, so a probe prunes files. A graph index has no
-counterpart in tables; the cells stand in for it, and recall is measured against
-exact search.
+The cell is a partition column, so a probe prunes files. A graph index is a table of
+neighbours, searched best first for all queries at once, a join a round. Recall is
+measured against exact search.
 """
 
 from __future__ import annotations
@@ -17,9 +17,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import cut
-from .retrieval import dense_top_k, recall_at, top_k
+from .retrieval import dense_top_k, recall_at, scan_blocks, top_k
 
 SAMPLE_ROWS = 20_000
+#: Digits of scores, so that equal vectors tie whatever the order of summation.
+DIGITS = 9
 
 
 def _lloyd(x: np.ndarray, k: int, rounds: int, seed: int) -> np.ndarray:
@@ -71,6 +73,12 @@ def read_manifest(spark: SparkSession, path: str) -> dict:
     return json.loads(spark.read.text(f"{path}/manifest").first()[0])
 
 
+def read_index(spark: SparkSession, path: str) -> tuple[np.ndarray, DataFrame]:
+    """Centroids and the rows (id, v, cell) of a written index."""
+    got = spark.read.parquet(f"{path}/centroids").orderBy("cell").collect()
+    return np.array([r.c for r in got]), spark.read.parquet(f"{path}/vectors")
+
+
 def merge_indexes(spark: SparkSession, paths: list[str], path: str) -> dict:
     """Vectors of indexes that share their centroids, with summed manifests."""
     rows = [read_manifest(spark, p) for p in paths]
@@ -106,7 +114,7 @@ def _scored(pairs: DataFrame) -> DataFrame:
         for p in parts:
             if len(p):
                 a, b = (np.stack(p[c].to_numpy()).astype(np.float64) for c in ("qv", "v"))
-                yield p[["qid", "id"]].assign(score=(a * b).sum(1))
+                yield p[["qid", "id"]].assign(score=np.round((a * b).sum(1), DIGITS))
 
     q, i = (pairs.schema[c].dataType.simpleString() for c in ("qid", "id"))
     return pairs.select("qid", "id", "qv", "v").mapInPandas(run, f"qid {q}, id {i}, score double")
@@ -152,28 +160,58 @@ def encode_codes(rows: DataFrame, codes: ProductCodes) -> DataFrame:
 
 def pq_search(queries: DataFrame, coded: DataFrame, codes: ProductCodes, k: int, rerank: DataFrame | None = None, wide: int = 10) -> DataFrame:
     """Top k by table look-ups over codes; with `rerank` (id, v) the best wide * k are scored exactly."""
-    asked = [(r.qid, np.asarray(r.v, np.float64)) for r in queries.select("qid", "v").toLocalIterator()]
-    tables = {q: codes.table(v) for q, v in asked}
     take = k * wide if rerank is not None else k
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for p in parts:
-            if not len(p):
-                continue
-            c, keys = np.stack(p["code"].to_numpy()), p["id"].to_numpy()
-            for q, t in tables.items():
-                s = sum(t[i][c[:, i]] for i in range(codes.m))
-                order = np.lexsort((keys, -s))[:take]
-                yield pd.DataFrame({"qid": q, "id": keys[order], "score": s[order]})
-
-    kind, qkind = coded.schema["id"].dataType.simpleString(), queries.schema["qid"].dataType.simpleString()
-    best = top_k(coded.mapInPandas(run, f"qid {qkind}, id {kind}, score double"), take, ["qid"])
+    def score(x: np.ndarray, q: np.ndarray) -> np.ndarray:
+        x, out = x.astype(np.int64), np.zeros((len(x), len(q)))
+        for j, v in enumerate(q):
+            out[:, j] = sum(t[x[:, i]] for i, t in enumerate(codes.table(v)))
+        return np.round(out, DIGITS)
+
+    best = scan_blocks(queries, coded, take, score, "code")
     if rerank is None:
         return best
     pairs = best.select("qid", "id").join(rerank, "id").join(queries.select("qid", F.col("v").alias("qv")), "qid")
     return top_k(_scored(pairs), k, ["qid"])
 
 
+class Graph:
+    """Neighbour table (id, near) and the rows at which searches begin."""
+
+    def __init__(self, edges: DataFrame, entries: DataFrame):
+        self.edges, self.entries = edges, entries
+
+
+def build_graph(rows: DataFrame, m: int = 16, nlist: int = 16, nprobe: int = 4) -> Graph:
+    """A graph of rows (id, v): the m nearest of each within the nearest cells, both ways, at most 2 m each; a row of each cell as entry."""
+    centroids = train_cells(rows, nlist)
+    index = cut(assign_cells(rows, centroids))
+    near = ivf_search(index.select(F.col("id").alias("qid"), "v"), index, centroids, m + 1, min(nprobe, nlist)).filter("qid <> id")
+    near = cut(near.select("qid", "id", "score"))
+    both = near.unionByName(near.select(F.col("id").alias("qid"), F.col("qid").alias("id"), "score")).distinct()
+    edges = top_k(both, 2 * m, ["qid"]).select(F.col("qid").alias("id"), F.col("id").alias("near"))
+    entries = index.groupBy("cell").agg(F.min("id").alias("id")).select("id")
+    return Graph(cut(edges), cut(entries))
+
+
+def graph_search(queries: DataFrame, graph: Graph, rows: DataFrame, k: int, ef: int) -> DataFrame:
+    """Top k by inner product, best first: the ef best rows seen so far are followed to their neighbours until all have been."""
+    asked = queries.select("qid", F.col("v").alias("qv"))
+
+    def scored(pairs: DataFrame) -> DataFrame:
+        return _scored(pairs.join(rows.select("id", "v"), "id").join(asked, "qid"))
+
+    pool = scored(asked.select("qid").crossJoin(graph.entries)).withColumn("done", F.lit(False))
+    while True:
+        pool = cut(top_k(pool, max(ef, k), ["qid"]).select("qid", "id", "score", "done"))
+        fresh = pool.filter("not done").select("qid", "id")
+        if fresh.isEmpty():
+            return top_k(pool.select("qid", "id", "score"), k, ["qid"])
+        new = fresh.join(graph.edges, "id").select("qid", F.col("near").alias("id")).distinct().join(pool.select("qid", "id"), ["qid", "id"], "left_anti")
+        # rows that were seen before and fell out come back and fall out again: the pool's least score only rises
+        pool = pool.withColumn("done", F.lit(True)).unionByName(scored(new).withColumn("done", F.lit(False)))
+
+
 def reaching(search: Callable[[int], DataFrame], truth: DataFrame, k: int, width: int, most: int, least: float = 0.9) -> tuple[int, DataFrame]:
     """(width, recall per query) of a search whose width doubles until its mean recall against exact search is `least`.
 

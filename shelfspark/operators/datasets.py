@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut
 from .components import connected_components
 
 
@@ -13,19 +14,23 @@ def shuffled(key: Column, seed: int) -> Column:
     return F.md5(F.concat(key.cast("string"), F.lit(f"#{seed}")))
 
 
-def row_ids(rows: DataFrame, order: list[Column], out: str, start: int = 0) -> DataFrame:
-    """Dense ids from start + 1 in a global order, without bringing rows into one task.
+def running_sum(rows: DataFrame, order: list[Column], weight: Column, out: str, start: int = 0) -> DataFrame:
+    """rows with the sum of weights up to and with each row in a global order, without bringing rows into one task.
 
-    Rows are range-partitioned and sorted; each partition counts its rows, and the
-    small table of counts gives its offset.
+    Rows are range-partitioned and sorted; each partition adds up its weights, and the
+    small table of sums gives its offset.
     """
-    from ..session import cut
-
-    keyed = cut(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id()).withColumn("_i", F.monotonically_increasing_id()))
-    sizes = keyed.groupBy("_p").agg(F.count("*").alias("_n"))
+    sorted_rows = rows.withColumn("_w", weight).repartitionByRange(*order).sortWithinPartitions(*order)
+    keyed = cut(sorted_rows.withColumn("_p", F.spark_partition_id()).withColumn("_i", F.monotonically_increasing_id()))
+    sizes = keyed.groupBy("_p").agg(F.sum("_w").alias("_n"))
     before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
-    local = F.row_number().over(Window.partitionBy("_p").orderBy("_i"))
-    return keyed.join(F.broadcast(before), "_p").withColumn(out, local + F.col("_before") + start).drop("_p", "_i", "_before")
+    local = F.sum("_w").over(Window.partitionBy("_p").orderBy("_i").rowsBetween(Window.unboundedPreceding, 0))
+    return keyed.join(F.broadcast(before), "_p").withColumn(out, local + F.col("_before") + start).drop("_p", "_i", "_before", "_w")
+
+
+def row_ids(rows: DataFrame, order: list[Column], out: str, start: int = 0) -> DataFrame:
+    """Dense ids from start + 1 in a global order."""
+    return running_sum(rows, order, F.lit(1), out, start)
 
 
 def per_group(rows: DataFrame, by: list[str], order: list[Column], n: int) -> DataFrame:
@@ -47,7 +52,7 @@ def percent_split(rows: DataFrame, strata: list[str], key: str, seed: int, train
 def split_by_query(rows: DataFrame, key: str, fraction: float, seed: int) -> DataFrame:
     """Rows with `split`: a share of the queries, one at least, is validation; blank ids never are."""
     ids = rows.select(F.col(key).alias("_q")).filter(F.trim(F.coalesce(F.col(key).cast("string"), F.lit(""))) != "").distinct()
-    ranked = ids.withColumn("_r", F.row_number().over(Window.orderBy(shuffled(F.col("_q"), seed), "_q")))
+    ranked = row_ids(ids, [shuffled(F.col("_q"), seed), F.col("_q").asc()], "_r")
     total = ids.agg(F.greatest(F.lit(1), F.floor(F.count("*") * fraction)).alias("_n"))
     chosen = ranked.crossJoin(F.broadcast(total)).filter(F.col("_r") <= F.col("_n")).select("_q")
     marked = rows.join(chosen.withColumn("_v", F.lit(True)), F.col(key) == F.col("_q"), "left")
@@ -65,15 +70,22 @@ def split_by_component(rows: DataFrame, query: str, offer: str, fraction: float,
     comp = connected_components(edges)
     queries = rows.filter(named(query) != "").select(F.concat(F.lit("q:"), named(query)).alias("node")).distinct().join(comp, "node", "left").withColumn("component", F.coalesce("component", "node"))
     sizes = queries.groupBy("component").agg(F.count("*").alias("n"))
-    order = Window.orderBy(shuffled(F.col("component"), seed), "component")
-    before = F.coalesce(F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    summed = running_sum(sizes, [shuffled(F.col("component"), seed), F.col("component").asc()], F.col("n"), "_upto")
     target = sizes.agg(F.greatest(F.lit(1), F.floor(F.sum("n") * fraction)).alias("target"))
-    chosen = sizes.withColumn("_before", before).crossJoin(F.broadcast(target)).filter(F.col("_before") < F.col("target")).select("component")
+    chosen = summed.crossJoin(F.broadcast(target)).filter(F.col("_upto") - F.col("n") < F.col("target")).select("component")
     valid = queries.join(chosen, "component", "left_semi").select("node").withColumn("_v", F.lit(True))
     marked = rows.join(valid, F.concat(F.lit("q:"), named(query)) == F.col("node"), "left")
     return marked.withColumn("split", F.when(F.col("_v"), "validation").otherwise("train")).drop("node", "_v")
 
 
+def given_split(rows: DataFrame, split: str, known: tuple[str, ...] = ("train", "validation", "test")) -> DataFrame:
+    """Rows whose given split is one of the known ones, trimmed and in lower case; blank ones are left out, others raise."""
+    name = F.lower(F.trim(F.col(split)))
+    rows = rows.filter(F.coalesce(name, F.lit("")) != "")
+    checked = F.assert_true(name.isin(*known), F.concat(F.lit("unknown split "), name))
+    return rows.withColumn(split, F.when(checked.isNull(), name))
+
+
 def leaks(rows: DataFrame, key: str, split: str = "split") -> DataFrame:
     """Keys that stand in more than one split."""
     return rows.groupBy(key).agg(F.countDistinct(split).alias("splits")).filter("splits > 1")
@@ -129,16 +141,28 @@ def anchor_batches(positives: DataFrame, hard: DataFrame, semi: DataFrame, synth
     return rows.withColumn("_n", n).filter(F.col("_n") >= least).drop("_n")
 
 
-def synthetic_negatives(queries: DataFrame, offers: DataFrame, known: DataFrame, per_query: int, seed: int, buckets: int = 64) -> DataFrame:
+def _dealt(key: Column, seed: int, buckets: int) -> Column:
+    return F.conv(F.substring(shuffled(key, seed), 1, 12), 16, 10).cast("long") % buckets
+
+
+def synthetic_negatives(queries: DataFrame, offers: DataFrame, known: DataFrame, per_query: int, seed: int) -> DataFrame:
     """Offers (id) drawn for each query (qid) by hash, known pairs left out; no pair of all with all is made.
 
-    A query draws one bucket of offers by its hash and keeps what it needs of it.
+    Offers are dealt to buckets that hold some 4 times what a query needs, and a query
+    draws from two buckets chosen by its hash, or from twice as many until it has enough
+    or has seen all. So each offer can be drawn, and none of a bucket is left out.
     """
-    side = offers.select("id", F.pmod(F.xxhash64(F.col("id"), F.lit(seed)), F.lit(buckets)).alias("b"))
-    side = per_group(side, ["b"], [shuffled(F.col("id"), seed), F.asc("id")], 4 * per_query + 16)
-    asked = queries.select("qid", F.pmod(F.xxhash64(F.col("qid"), F.lit(seed + 1)), F.lit(buckets)).alias("b"))
-    drawn = asked.join(side, "b").join(known.select("qid", "id").distinct(), ["qid", "id"], "left_anti")
-    return per_group(drawn, ["qid"], [shuffled(F.concat_ws("#", "qid", "id"), seed), F.asc("id")], per_query).select("qid", "id")
+    total = offers.count()
+    buckets = max(1, -(-total // (4 * per_query + 16)))
+    side = offers.select("id", _dealt(F.col("id"), seed, buckets).alias("b"))
+    ids, width = queries.select("qid").distinct(), 2
+    while True:
+        asked = ids.select("qid", F.explode(F.sequence(F.lit(0), F.lit(min(width, buckets) - 1))).alias("x")).select("qid", ((_dealt(F.col("qid"), seed + 1, buckets) + F.col("x")) % buckets).alias("b"))
+        drawn = asked.join(side, "b").select("qid", "id").distinct().join(known.select("qid", "id").distinct(), ["qid", "id"], "left_anti")
+        found = cut(per_group(drawn, ["qid"], [shuffled(F.concat_ws("#", "qid", "id"), seed), F.asc("id")], per_query).select("qid", "id"))
+        if width >= buckets or found.count() == per_query * ids.count():
+            return found
+        width *= 2
 
 
 def stratified_quota(rows: DataFrame, strata: str, band: str, targets: dict[str, int], quotas: dict[str, float], key: str, seed: int) -> DataFrame:
@@ -162,9 +186,9 @@ def swap_for_floor(selected: DataFrame, universe: DataFrame, key: str, flag: str
     """Selected rows with as many unflagged victims swapped for flagged spare rows as reach the floor."""
     have = selected.agg(F.count_if(F.col(flag)).alias("have"))
     spare = universe.filter(F.col(flag)).join(selected.select(key), key, "left_anti")
-    order = Window.orderBy(shuffled(F.col(key), seed), key)
-    spare = spare.withColumn("_r", F.row_number().over(order)).crossJoin(F.broadcast(have)).filter(F.col("_r") <= floor - F.col("have")).drop("have")
-    out = selected.filter(~F.col(flag) & victim).withColumn("_r", F.row_number().over(order)).select(key, "_r")
+    order = [shuffled(F.col(key), seed), F.col(key).asc()]
+    spare = row_ids(spare, order, "_r").crossJoin(F.broadcast(have)).filter(F.col("_r") <= floor - F.col("have")).drop("have")
+    out = row_ids(selected.filter(~F.col(flag) & victim), order, "_r").select(key, "_r")
     swaps = out.join(spare.withColumnRenamed(key, "_new").select("_new", "_r"), "_r").select(F.col(key).alias("_old"), "_new")
     kept = selected.join(swaps, selected[key] == swaps["_old"], "left_anti")
     added = universe.join(swaps.select(F.col("_new").alias(key)), key, "left_semi")
@@ -222,7 +246,7 @@ def catalog_subsample(catalog: DataFrame, judged: DataFrame, size: int, seed: in
     """All judged rows and a seeded sample of others up to a size."""
     keep = judged.select("id").distinct()
     must = catalog.join(keep, "id", "left_semi")
-    rest = catalog.join(keep, "id", "left_anti").orderBy(shuffled(F.col("id"), seed), "id").limit(max(0, size))
+    rest = catalog.join(keep, "id", "left_anti")
     have = must.agg(F.count("*").alias("_h"))
-    ranked = rest.withColumn("_r", F.row_number().over(Window.orderBy(shuffled(F.col("id"), seed), "id"))).crossJoin(F.broadcast(have))
+    ranked = row_ids(rest, [shuffled(F.col("id"), seed), F.col("id").asc()], "_r").crossJoin(F.broadcast(have))
     return must.unionByName(ranked.filter(F.col("_r") <= size - F.col("_h")).select(*must.columns))

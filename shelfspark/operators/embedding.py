@@ -36,3 +36,16 @@ def embed(rows: DataFrame, key: str, text: str, model: Callable[[list[str]], np.
             yield pd.DataFrame({key: p[key], "v": found})
 
     return rows.select(key, text).mapInPandas(run, f"`{key}` {kind}, v array<float>")
+
+
+def encoded(rows: DataFrame, key: str, text: str, encode: Callable[[list[str]], list[list[int]]], batch: int = 256) -> DataFrame:
+    """(key, tokens): token ids of texts, null as empty, encoded in batches in the worker processes."""
+    kind = rows.schema[key].dataType.simpleString()
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in parts:
+            texts = p[text].fillna("").tolist()
+            found = [ids for lo in range(0, len(texts), batch) for ids in encode(texts[lo : lo + batch])]
+            yield pd.DataFrame({key: p[key], "tokens": found})
+
+    return rows.select(key, text).mapInPandas(run, f"`{key}` {kind}, tokens array<int>")

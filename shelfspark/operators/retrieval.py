@@ -1,8 +1,9 @@
 """Retrieval: exact dense top-k, BM25, rank fusion, mode routing.
 
-Query sets are small tables against large corpora. Scores that need every corpus
-row are computed where the row is and reduced to k per query and task before the
-shuffle; a query side is broadcast after its size is checked.
+Query sets are tables against larger corpora. Both are packed into blocks of rows, and
+each pair of blocks is scored by one matrix product and reduced to k hits a query before
+the shuffle; neither side comes to the driver, and a side is broadcast only after its
+size is checked.
 """
 
 from __future__ import annotations
@@ -15,8 +16,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import identifiers, vectors
+from ..session import cut
 
-QUERY_BLOCK = 2000
+#: Rows of a block of queries and of the corpus, and hits that a task holds before it reduces them.
+QUERY_BLOCK, CORPUS_BLOCK, HELD_HITS = 500, 4000, 200_000
+#: Rows of a side that is broadcast.
+BROADCAST_ROWS = 50_000
+
+
+def sized(rows: DataFrame, bound: int | None = None) -> DataFrame:
+    """rows, marked for broadcast if they are few enough."""
+    return F.broadcast(rows) if rows.count() <= (BROADCAST_ROWS if bound is None else bound) else rows
 
 
 def with_rank(hits: DataFrame, by: list[str], score: str = "score", tie: str = "id", out: str = "rank") -> DataFrame:
@@ -28,51 +38,79 @@ def top_k(hits: DataFrame, k: int, by: list[str], score: str = "score", tie: str
     return with_rank(hits, by, score, tie).filter(F.col("rank") <= k)
 
 
+def _blocks(rows: DataFrame, key: str, values: str, size: int, prefix: str, unit: bool) -> DataFrame:
+    """(ids, m) per block of at most `size` rows: their keys and their vectors one after another; null vectors are left out."""
+    kind = rows.schema[key].dataType.simpleString()
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in parts:
+            p = p[p[values].notna()]
+            for lo in range(0, len(p), size):
+                x = np.stack(p[values].iloc[lo : lo + size].to_numpy()).astype(np.float64)
+                if unit:
+                    x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+                yield pd.DataFrame({f"{prefix}ids": [p[key].iloc[lo : lo + size].to_numpy()], f"{prefix}m": [x.ravel()]})
+
+    return rows.select(key, values).mapInPandas(run, f"{prefix}ids array<{kind}>, {prefix}m array<double>")
+
+
+def scan_blocks(queries: DataFrame, corpus: DataFrame, k: int, score, values: str = "v", unit: bool = False) -> DataFrame:
+    """(qid, id, score, rank) of the k best corpus rows (id, `values`) for each query (qid, v).
+
+    score(X, Q) gives the scores of the rows of X (corpus) against those of Q.
+    """
+    kind, qkind = corpus.schema["id"].dataType.simpleString(), queries.schema["qid"].dataType.simpleString()
+
+    def best(hits: list[pd.DataFrame]) -> pd.DataFrame:
+        return pd.concat(hits).sort_values(["qid", "score", "id"], ascending=[True, False, True]).groupby("qid", sort=False).head(k)
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
+        n = fresh = 0
+        for p in parts:
+            for ids, m, qids, qm in zip(p["ids"], p["m"], p["qids"], p["qm"], strict=True):
+                s = score(np.asarray(m).reshape(len(ids), -1), np.asarray(qm).reshape(len(qids), -1))
+                for j, q in enumerate(qids):
+                    column = s[:, j]
+                    some = np.flatnonzero(column >= np.partition(column, len(column) - k)[len(column) - k]) if len(column) > k else np.arange(len(column))
+                    order = some[np.lexsort((ids[some], -column[some]))[:k]]
+                    held.append(pd.DataFrame({"qid": q, "id": ids[order], "score": column[order]}))
+                    fresh += len(order)
+            if fresh > HELD_HITS:
+                held, fresh = [best(held)], 0
+                n = len(held[0])
+                if n > HELD_HITS:
+                    yield held[0]
+                    held = []
+        if held:
+            yield best(held)
+
+    pairs = _blocks(corpus, "id", values, CORPUS_BLOCK, "", unit).crossJoin(sized(_blocks(queries, "qid", "v", QUERY_BLOCK, "q", unit), BROADCAST_ROWS // QUERY_BLOCK))
+    return top_k(pairs.mapInPandas(run, f"qid {qkind}, id {kind}, score double"), k, ["qid"])
+
+
 def dense_top_k(queries: DataFrame, corpus: DataFrame, k: int, metric: str = "cosine", digits: int | None = None) -> DataFrame:
-    """(qid, id, score, rank) of the k best corpus rows (id, v) for each query (qid, v).
+    """(qid, id, score, rank) of the k best corpus rows (id, v) for each query (qid, v); no rows without queries."""
+
+    def score(x: np.ndarray, q: np.ndarray) -> np.ndarray:
+        return x @ q.T if digits is None else np.round(x @ q.T, digits)
 
-    Queries go out in blocks of a fixed size; a task keeps k per query of a block
-    for all its rows, so the shuffle holds k rows per query and task.
+    return scan_blocks(queries, corpus, k, score, unit=metric == "cosine")
+
+
+def article_search(queries: DataFrame, corpus: DataFrame, k: int, metric: str = "cosine", digits: int | None = None, wide: int = 4) -> DataFrame:
+    """The k best articles of corpus rows (id, v, article) for each query (qid, v).
+
+    Offers are fetched in excess, twice as many until each query has k articles or
+    all offers, so an article with many offers loses none of the others.
     """
-    blocks = [[]]
-    for r in queries.select("qid", "v").filter("v is not null").orderBy("qid").toLocalIterator():
-        if len(blocks[-1]) == QUERY_BLOCK:
-            blocks.append([])
-        blocks[-1].append((r.qid, list(r.v)))
-    kind = corpus.schema["id"].dataType.simpleString()
-    qkind = queries.schema["qid"].dataType.simpleString()
-    found = None
-    for block in blocks:
-        names = [q for q, _ in block]
-        matrix = np.array([v for _, v in block], np.float64).reshape(len(block), -1)
-        if metric == "cosine":
-            matrix = matrix / np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-300)
-
-        def run(parts: Iterator[pd.DataFrame], names=names, matrix=matrix) -> Iterator[pd.DataFrame]:
-            best: list[pd.DataFrame] = []
-            for p in parts:
-                p = p[p["v"].notna()]
-                if not len(p) or not names:
-                    continue
-                x = np.stack(p["v"].to_numpy()).astype(np.float64)
-                if metric == "cosine":
-                    x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
-                scores = x @ matrix.T
-                if digits is not None:
-                    scores = np.round(scores, digits)
-                keys = p["id"].to_numpy()
-                for j, q in enumerate(names):
-                    s = scores[:, j]
-                    order = np.lexsort((keys, -s))[:k]
-                    best.append(pd.DataFrame({"qid": q, "id": keys[order], "score": s[order]}))
-                if len(best) > 4 * len(names):
-                    best = [pd.concat(best).sort_values(["qid", "score", "id"], ascending=[True, False, True]).groupby("qid", sort=False).head(k)]
-            if best:
-                yield pd.concat(best).sort_values(["qid", "score", "id"], ascending=[True, False, True]).groupby("qid", sort=False).head(k)
-
-        hits = corpus.select("id", "v").mapInPandas(run, f"qid {qkind}, id {kind}, score double")
-        found = hits if found is None else found.unionByName(hits)
-    return top_k(found, k, ["qid"])
+    owner, total = corpus.select("id", "article"), corpus.count()
+    take = k * wide
+    while True:
+        hits = cut(dense_top_k(queries, corpus, take, metric, digits).join(owner, "id"))
+        if take >= total or hits.groupBy("qid").agg(F.countDistinct("article").alias("n")).filter(F.col("n") < k).isEmpty():
+            return article_top_k(hits, k)
+        take = min(total, 2 * take)
 
 
 def tokens(text: Column, least: int = 4, most: int = 40) -> Column:
@@ -80,19 +118,14 @@ def tokens(text: Column, least: int = 4, most: int = 40) -> Column:
     return F.filter(F.split(F.lower(text), r"\s+"), lambda t: F.length(t).between(least, most))
 
 
-def postings(corpus: DataFrame, text: str = "text", least: int = 4, most: int = 40) -> tuple[DataFrame, DataFrame]:
-    """(id, term, tf, dl) and the one-row statistics (n, avgdl)."""
-    toks = corpus.select("id", tokens(F.col(text), least, most).alias("t"))
-    post = toks.select("id", F.size("t").alias("dl"), F.explode("t").alias("term")).groupBy("id", "dl", "term").agg(F.count("*").alias("tf"))
-    stats = toks.agg(F.count("*").alias("n"), F.avg(F.size("t")).alias("avgdl"))
-    return post, stats
-
-
 def bm25(queries: DataFrame, corpus: DataFrame, text: str = "text", k1: float = 1.2, b: float = 0.75, least: int = 4, most: int = 40) -> DataFrame:
     """(qid, id, score) of every corpus row that shares a term with the query (qid, text)."""
-    post, stats = postings(corpus, text, least, most)
+    toks = corpus.select("id", tokens(F.col(text), least, most).alias("t"))
+    stats = toks.agg(F.count("*").alias("n"), F.avg(F.size("t")).alias("avgdl"))
     wanted = queries.select("qid", F.explode(F.array_distinct(tokens(F.col("text"), least, most))).alias("term"))
-    post = post.join(wanted.select("term").distinct(), "term", "left_semi")
+    # other terms leave before anything is shuffled
+    post = toks.select("id", F.size("t").alias("dl"), F.explode("t").alias("term")).join(sized(wanted.select("term").distinct()), "term", "left_semi")
+    post = cut(post.groupBy("id", "dl", "term").agg(F.count("*").alias("tf")))
     df = post.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
@@ -157,6 +190,13 @@ def search(queries: DataFrame, dense: DataFrame, codes: DataFrame, mode: str = "
     return out
 
 
+def hybrid(queries: DataFrame, corpus: DataFrame, k: int = 10, pool: int = 200, mode: str = "hybrid_classified", metric: str = "cosine", digits: int | None = None, **settings) -> DataFrame:
+    """Hits of queries (qid, text, v) in a corpus (id, text, v) under a retrieval mode: vector leg, code leg, fusion and routing."""
+    dense = dense_top_k(queries, corpus, pool, metric, digits)
+    codes = top_k(bm25(queries, corpus).withColumn("score", F.round("score", 6)), pool, ["qid"])
+    return search(queries, cut(dense), cut(codes), mode, k, **settings)
+
+
 def bound_pool(hits: DataFrame, most: int, floor: float, by: list[str]) -> DataFrame:
     """The best `most` hits, without those below floor times the top score; no floor if the top is not positive."""
     capped = hits.filter(F.col("rank") <= most)

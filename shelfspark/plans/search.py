@@ -12,8 +12,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.ids import legacy_offer_id
 from ..functions.prices import passes_price_filter, resolve_price
 from ..functions.taxonomy import code_depth, code_parent, starts_with_path
+from ..session import cut
 from . import predicates
 from .request import SearchRequest, SortPlan, sort_plan
 
@@ -146,10 +148,10 @@ def feature_values(rows: DataFrame) -> DataFrame:
     A name counts once per offer by the distinct names of its tokens, so no offer
     id is shuffled.
     """
-    cut = lambda t: F.regexp_extract(t, "(?s)^([^=]+)=(.*)$", 1)
+    own = lambda t: F.regexp_extract(t, "(?s)^([^=]+)=(.*)$", 1)
     token = rows.select(F.explode("features").alias("t")).filter(F.col("t").rlike("(?s)^[^=]+="))
-    values = token.groupBy(cut(F.col("t")).alias("name"), F.regexp_extract("t", "(?s)^([^=]+)=(.*)$", 2).alias("value")).agg(F.count("*").alias("n"))
-    names = rows.select(F.explode(F.array_distinct(F.transform("features", cut))).alias("name")).filter("name <> ''")
+    values = token.groupBy(own(F.col("t")).alias("name"), F.regexp_extract("t", "(?s)^([^=]+)=(.*)$", 2).alias("value")).agg(F.count("*").alias("n"))
+    names = rows.select(F.explode(F.array_distinct(F.transform("features", own))).alias("name")).filter("name <> ''")
     return values.join(names.groupBy("name").agg(F.count("*").alias("total")), "name")
 
 
@@ -216,10 +218,31 @@ def set_facet(articles: DataFrame, offers: DataFrame, sets: list[tuple[str, tupl
     return sums.select(F.explode(pairs).alias("x")).select("x.*")
 
 
+FACET_COLUMNS = ("article_hash", "vendor_id", "manufacturerName", "features", "resolved_price", "category_l1", "category_l2", "category_l3", "category_l4", "category_l5", "eclass5_code", "eclass7_code", "s2class_code")
+
+
+def facet_base(offers: DataFrame, articles: DataFrame, r: SearchRequest) -> tuple[DataFrame, dict[str, Column]]:
+    """Rows that fail one facet filter at most, read and joined once, and what passes each filter."""
+    makers = {"vendor": predicates.vendors, "manufacturer": predicates.manufacturers, "category": predicates.category, "s2class": predicates.s2class}
+    tests = {n: t for n, f in makers.items() if (t := f(r)) is not None}
+    rows = filtered(offers, articles, r, tuple(makers))
+    rows = rows.withColumns({f"_{n}": F.coalesce(t, F.lit(False)) for n, t in tests.items()})
+    if tests:
+        failed = sum(((~F.col(f"_{n}")).cast("int") for n in tests), start=F.lit(0))
+        rows = rows.filter(failed <= 1)
+    return rows.select(*FACET_COLUMNS, *(f"_{n}" for n in tests)), {n: F.col(f"_{n}") for n in tests}
+
+
 def summaries(offers: DataFrame, articles: DataFrame, r: SearchRequest, sets: list[tuple[str, tuple[int, ...]]] = ()) -> dict[str, DataFrame]:
-    """All facets; a facet over a filtered field leaves that filter out."""
-    rows = filtered(offers, articles, r)
-    less = lambda name: filtered(offers, articles, r, (name,))
+    """All facets; a facet over a filtered field leaves that filter out. Offers and articles are joined once for all of them."""
+    base, tests = facet_base(offers, articles, r)
+    base = cut(base)
+
+    def less(name: str = "") -> DataFrame:
+        test = predicates.all_of([t for n, t in tests.items() if n != name])
+        return base if test is None else base.filter(test)
+
+    rows = less()
     one_per_article = lambda rows: rows.dropDuplicates(["article_hash"])
     return {
         "vendors": vendor_facet(less("vendor")),
@@ -250,8 +273,28 @@ def disjunctive_counts(base: DataFrame, tests: dict[str, Column], keys: dict[str
     return rows.groupBy("facet", "value").agg(F.count("*").alias("n"))
 
 
-def to_legacy(page: DataFrame, legacy_id: Column) -> DataFrame:
-    """Hits with converted ids, the first of equal ones kept by place."""
-    rows = page.withColumn("_place", F.monotonically_increasing_id()).withColumn("articleId", legacy_id)
-    w = Window.partitionBy("articleId").orderBy("_place")
-    return rows.withColumn("_r", F.row_number().over(w)).filter("_r = 1").orderBy("_place").select("articleId", F.col("name").alias("articleName"), "score")
+#: Names of the legacy response's summaries, by those of the engine.
+LEGACY_SUMMARIES = {"vendors": "vendorSummaries", "manufacturers": "manufacturerSummaries", "features": "featureSummaries", "prices": "pricesSummary", "categories": "categoriesSummary", "eclass5": "eClass5Categories", "eclass7": "eClass7Categories", "s2class": "s2ClassCategories", "sets": "eClassesAggregations"}
+
+
+def to_legacy(hits: DataFrame, rank: str = "rank", explain: bool = False) -> DataFrame:
+    """Hits (id, rank) as legacy articles: converted ids, the first of equal ones, in order; scores are not told."""
+    first = hits.withColumn("articleId", legacy_offer_id(F.col("id"))).groupBy("articleId").agg(F.min(rank).alias(rank))
+    out = first.orderBy(rank)
+    return out.select("articleId", F.lit("N/A").alias("explanation"), rank) if explain else out.select("articleId", rank)
+
+
+def legacy_response(found: dict[str, DataFrame], r: SearchRequest, explain: bool = False) -> dict[str, DataFrame]:
+    """A legacy response of the result sets of search(): articles, metadata, and the summaries that it knows under its names."""
+    out = {}
+    if "hits" in found:
+        placed = found["hits"].withColumn("rank", F.monotonically_increasing_id())
+        out["articles"] = to_legacy(placed, explain=explain).drop("rank")
+    if "counts" in found:
+        pages = F.greatest(F.lit(1), F.col("pages"))
+        out["metadata"] = found["counts"].select(F.lit(r.page).alias("page"), F.lit(r.page_size).alias("pageSize"), pages.alias("pageCount"), F.lit(r.query).alias("term"), F.col("hits").alias("hitCount"))
+    for name, legacy in LEGACY_SUMMARIES.items():
+        if name in found:
+            rows = found[name]
+            out[legacy] = rows.select(F.col("set").alias("id"), F.col("n").alias("count")) if name == "sets" else rows
+    return out

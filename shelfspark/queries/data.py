@@ -2,18 +2,16 @@
 
 from __future__ import annotations
 
-from contextvars import ContextVar
-
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import identifiers, text, vectors
 from ..operators import ann, datasets, metrics, retrieval
 from ..session import cut, table
-from . import ORACLES, QUERIES, query
+from . import query
 
-# retrieval over embeddings: queries are the least ids, relevant rows share the label
-VEC = "with e as (select vec_id, label, list_transform(embedding, lambda x: cast(x as double)) as v from embeddings), qs as (select * from e where vec_id < 20)"
+# retrieval over embeddings: queries are the ids divisible by 100, relevant rows share the label
+VEC = "with e as (select vec_id, label, list_transform(embedding, lambda x: cast(x as double)) as v from embeddings), qs as (select * from e where vec_id % 100 = 0)"
 SCORES = VEC + ", s as (select q.vec_id as qid, e.vec_id as id, round(list_cosine_similarity(q.v, e.v), 9) as score, q.label = e.label as relevant from qs q cross join e)"
 RANKED = SCORES + ", r as (select *, row_number() over (partition by qid order by score desc, id) as rank from s)"
 
@@ -22,14 +20,9 @@ def corpus(spark, sf_dir):
     return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"), "label")
 
 
-#: Set while a query named _whole is built.
-_WHOLE = ContextVar("whole", default=False)
-
-
-def asked(spark, sf_dir, n: int = 20):
-    """The n least ids, as the SQL has them; every id divisible by 100 in the queries named _whole."""
-    chosen = F.col("id") % 100 == 0 if _WHOLE.get() else F.col("id") < n
-    return corpus(spark, sf_dir).filter(chosen).select(F.col("id").alias("qid"), "v", F.col("label").alias("qlabel"))
+def asked(spark, sf_dir):
+    """The query set: every id divisible by 100."""
+    return corpus(spark, sf_dir).filter(F.col("id") % 100 == 0).select(F.col("id").alias("qid"), "v", F.col("label").alias("qlabel"))
 
 
 def dense(spark, sf_dir, k: int):
@@ -54,7 +47,7 @@ def inner_product(spark, sf_dir):
 @query("J20_all_pairs_scores", f"{VEC} select q.vec_id as qid, e.vec_id as id, round(list_cosine_similarity(q.v, e.v), 6) as score from qs q cross join e")
 def all_pairs(spark, sf_dir):
     q = asked(spark, sf_dir).select("qid", F.col("v").alias("qv"))
-    return corpus(spark, sf_dir).crossJoin(F.broadcast(q)).select("qid", "id", F.round(vectors.cosine(F.col("qv"), F.col("v")), 6).alias("score"))
+    return corpus(spark, sf_dir).crossJoin(retrieval.sized(q)).select("qid", "id", F.round(vectors.cosine(F.col("qv"), F.col("v")), 6).alias("score"))
 
 
 @query("R23_filtered_exact", f"{SCORES} select qid, id, cast(rank as integer) as rank from (select *, row_number() over (partition by qid order by score desc, id) as rank from s where id % 3 = 0) where rank <= 5")
@@ -62,10 +55,13 @@ def filtered_exact(spark, sf_dir):
     return retrieval.dense_top_k(asked(spark, sf_dir), corpus(spark, sf_dir).filter("id % 3 = 0"), 5, digits=9).select("qid", "id", "rank")
 
 
+def articled(spark, sf_dir):
+    return corpus(spark, sf_dir).withColumn("article", F.floor(F.col("id") / 4))
+
+
 @query("R24_article_top_k", f"{SCORES}, b as (select qid, id // 4 as id, max(score) as score from s group by 1, 2) select qid, id, cast(rank as integer) as rank from (select *, row_number() over (partition by qid order by score desc, id) as rank from b) where rank <= 5")
 def article_top(spark, sf_dir):
-    hits = dense(spark, sf_dir, 100_000).withColumn("article", F.floor(F.col("id") / 4))
-    return retrieval.article_top_k(hits, 5).select("qid", "id", "rank")
+    return retrieval.article_search(asked(spark, sf_dir), articled(spark, sf_dir), 5, digits=9).select("qid", "id", "rank")
 
 
 def text_legs(spark, sf_dir):
@@ -86,12 +82,12 @@ def bm25(spark, sf_dir):
     return retrieval.top_k(text_legs(spark, sf_dir), 10, ["qid"]).select("qid", "id", F.round("score", 4).alias("score"))
 
 
-@query("R03_rrf", f"""{RANKED}, x as (select qid, id, rank from r where rank <= 20 union all select qid, id, row_number() over (partition by qid order by id) as rank from s qualify rank <= 20),
+@query("R03_rrf", f"""{RANKED}, p as (select q.vec_id as qid, e.vec_id as id, round(list_inner_product(q.v, e.v), 9) as score from qs q cross join e),
+x as (select qid, id, rank from r where rank <= 20 union all select * from (select qid, id, row_number() over (partition by qid order by score desc, id) as rank from p) where rank <= 20),
 f as (select qid, id, round(sum(1.0 / (60 + rank)), 12) as score from x group by 1, 2) select qid, id, round(score, 9) as score, cast(rank as integer) as rank from (select *, row_number() over (partition by qid order by score desc, id) as rank from f) where rank <= 10""")
 def rrf(spark, sf_dir):
-    leg = dense(spark, sf_dir, 20)
-    other = asked(spark, sf_dir).select("qid").crossJoin(corpus(spark, sf_dir).orderBy("id").limit(20).select("id")).withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy("id")))
-    return retrieval.rrf([leg, other], 60, 10).select("qid", "id", F.round("score", 9).alias("score"), "rank")
+    other = retrieval.dense_top_k(asked(spark, sf_dir), corpus(spark, sf_dir), 20, "ip", digits=9)
+    return retrieval.rrf([dense(spark, sf_dir, 20), other], 60, 10).select("qid", "id", F.round("score", 9).alias("score"), "rank")
 
 
 ROUTE = "select p_partkey as qid, case p_partkey % 4 when 0 then p_name when 1 then 'tze-' || (p_partkey + 100) when 2 then 'rj45' else 'ring' end as text from part"
@@ -113,11 +109,18 @@ def route_variant(spark, sf_dir):
     return retrieval.route(routed(spark, sf_dir), True).select("qid", "path")
 
 
-@query("R05_search_modes", f"{RANKED} select qid, case when qid % 2 = 0 then 'fallback' else 'vector' end as path, count(*) as n from r where rank <= 10 group by 1, 2")
+@query("R05_search_modes", f"""{RANKED}, k as (select distinct qid, qid // 100 % 4 as kind from r),
+c as (select k.qid, e.vec_id as id, 1 as rank from k join e on e.vec_id = k.qid where kind = 0
+  union all select * from (select k.qid, e.vec_id, row_number() over (partition by k.qid order by e.vec_id) as rank from k cross join e where kind = 3 and e.vec_id % 50 = 7) where rank <= 30),
+x as (select qid, id, rank from r where rank <= 30 union all select * from c), f as (select qid, id, round(sum(1.0 / (60 + rank)), 12) as score from x group by 1, 2), fr as (select *, row_number() over (partition by qid order by score desc, id) as rank from f)
+select qid, 'strict' as path, id, cast(rank as integer) as rank from c join k using (qid) where kind = 0 union all select qid, 'fallback', id, rank from fr join k using (qid) where kind = 1 and rank <= 10
+union all select qid, 'vector', id, rank from r join k using (qid) where kind = 2 and rank <= 10 union all select qid, 'hybrid', id, rank from fr join k using (qid) where kind = 3 and rank <= 10""")
 def search_modes(spark, sf_dir):
-    leg = dense(spark, sf_dir, 30)
-    q = asked(spark, sf_dir).select("qid", F.when(F.col("qid") % 2 == 0, "tze-2311").otherwise("red ring").alias("text"))
-    return retrieval.search(q, leg, leg.limit(0)).groupBy("qid", "path").agg(F.count("*").alias("n"))
+    """Hybrid search as a whole: identifiers go to the code leg, or to fusion without hits there; several words to vectors; others to fusion."""
+    kind = F.floor(F.col("qid") / 100) % 4
+    words = F.when(kind == 0, F.concat(F.lit("tze-"), (F.col("qid") + 1000).cast("string"))).when(kind == 1, "tze-99999999").when(kind == 2, "red ring").otherwise("ring")
+    codes = F.concat(F.lit("tze-"), (F.col("id") + 1000).cast("string"), F.when(F.col("id") % 50 == 7, " ring").otherwise(" part"))
+    return retrieval.hybrid(asked(spark, sf_dir).withColumn("text", words), corpus(spark, sf_dir).withColumn("text", codes), 10, 30, digits=9).select("qid", "path", "id", "rank")
 
 
 @query("J08_within_filter", f"{RANKED} select qid, id from r where rank <= 50 and id in (select vec_id from embeddings where label < 3)")
@@ -133,7 +136,7 @@ def bounded_pool(spark, sf_dir):
 @query("R22_quantised_scores", f"""{VEC} select q.vec_id as qid, e.vec_id as id, round(list_inner_product(q.v, e.v), 6) as f32, list_sum(list_transform(list_zip(q.v, e.v), lambda p: case when p[1] >= 0 then 1 else -1 end * case when p[2] >= 0 then 1 else -1 end)) / 64.0 as sg,
  1.0 - 2.0 * len(list_filter(list_zip(q.v, e.v), lambda p: (p[1] > 0) <> (p[2] > 0))) / 64.0 as bn from qs q cross join e""")
 def quantised(spark, sf_dir):
-    pairs = corpus(spark, sf_dir).select("id", F.col("v").alias("b")).crossJoin(F.broadcast(asked(spark, sf_dir).select("qid", F.col("v").alias("a"))))
+    pairs = corpus(spark, sf_dir).select("id", F.col("v").alias("b")).crossJoin(retrieval.sized(asked(spark, sf_dir).select("qid", F.col("v").alias("a"))))
     score = lambda p: retrieval.quantised_scores(pairs, p)
     return pairs.select("qid", "id", F.round(score("float32"), 6).alias("f32"), score("sign").alias("sg"), score("binary").alias("bn"))
 
@@ -167,38 +170,50 @@ def union_legs(spark, sf_dir):
     return retrieval.candidate_union({"a": hits.filter("rank <= 5"), "b": hits.filter("rank >= 3")}).select("qid", "id", "rank_a", "rank_b", F.array_join("source_legs", ",").alias("legs"))
 
 
-def _good(recall):
-    return recall.agg((F.avg("recall") >= 0.9).alias("good"), F.count("*").alias("queries"))
+EXACT = f"{VEC}, s as (select q.vec_id as qid, e.vec_id as id, round(list_inner_product(q.v, e.v), 9) as score from qs q cross join e) select qid, id, cast(rank as integer) as rank from (select *, row_number() over (partition by qid order by score desc, id) as rank from s) where rank <= 10"
 
 
 def measured(width, recall):
     return recall.agg(F.round(F.avg("recall"), 6).alias("recall"), F.count("*").alias("queries")).withColumn("width", F.lit(width))
 
 
-def cells_recall(spark, sf_dir, nprobe: int = 6):
-    """The probes that reach the recall, from nprobe of 16 cells on, and the recall of each query."""
+def _cells(spark, sf_dir):
     rows, q = corpus(spark, sf_dir).select("id", "v"), asked(spark, sf_dir).select("qid", "v")
     centroids = ann.train_cells(rows, 16)
     index, truth = cut(ann.assign_cells(rows, centroids)), cut(retrieval.dense_top_k(q, rows, 10, "ip"))
-    return ann.reaching(lambda n: ann.ivf_search(q, index, centroids, 10, n), truth, 10, nprobe, 16)
+    return (lambda n: ann.ivf_search(q, index, centroids, 10, n)), truth, 16
 
 
-def codes_recall(spark, sf_dir):
-    """The rerank width that reaches the recall, from 5 times the hits on, and the recall of each query."""
+def _codes(spark, sf_dir):
     rows, q = corpus(spark, sf_dir).select("id", "v"), asked(spark, sf_dir).select("qid", "v")
     codes = ann.ProductCodes(ann.training_sample(rows), 8, 6)
     coded, truth = cut(ann.encode_codes(rows, codes)), cut(retrieval.dense_top_k(q, rows, 10, "ip"))
-    return ann.reaching(lambda n: ann.pq_search(q, coded, codes, 10, rows, n), truth, 10, 5, max(5, -(-rows.count() // 10)))
+    return (lambda n: ann.pq_search(q, coded, codes, 10, rows, n)), truth, max(5, -(-rows.count() // 10))
+
+
+def _graph(spark, sf_dir):
+    rows, q = corpus(spark, sf_dir).select("id", "v"), asked(spark, sf_dir).select("qid", "v")
+    graph, truth = ann.build_graph(rows, 16), cut(retrieval.dense_top_k(q, rows, 10, "ip"))
+    return (lambda n: ann.graph_search(q, graph, rows, 10, n)), truth, rows.count()
+
+
+def _index(name: str, made, first: int) -> None:
+    """Two queries of an index: its hits at the width where they are all exact, and the width and recall where the mean recall is 0.9."""
 
+    @query(name, EXACT)
+    def exact(spark, sf_dir):
+        search, truth, most = made(spark, sf_dir)
+        return search(ann.reaching(search, truth, 10, first, most, 1.0)[0]).select("qid", "id", "rank")
 
-@query("R16_cells", "select true as good, cast(20 as bigint) as queries")
-def cells(spark, sf_dir):
-    return _good(cells_recall(spark, sf_dir)[1])
+    @query(f"{name}_recall")
+    def recall(spark, sf_dir):
+        search, truth, most = made(spark, sf_dir)
+        return measured(*ann.reaching(search, truth, 10, first, most))
 
 
-@query("R17_product_codes", "select true as good, cast(20 as bigint) as queries")
-def product_codes(spark, sf_dir):
-    return _good(codes_recall(spark, sf_dir)[1])
+_index("R16_cells", _cells, 6)
+_index("R17_product_codes", _codes, 5)
+_index("R18_graph", _graph, 16)
 
 
 @query("J19_match_metadata", f"{RANKED} select r.qid, r.id, e.label as match_label from r join embeddings e on e.vec_id = r.id where rank <= 3")
@@ -288,11 +303,11 @@ def micro(spark, sf_dir):
     return metrics.overall_report(predictions(spark, sf_dir)).select(F.round("micro", 6).alias("micro"))
 
 
-@query("M08_judged_kept", "select (select count(distinct doc_id) from labels) as judged, least((select count(*) from documents), greatest(600, (select count(distinct doc_id) from labels))) as kept")
+@query("M08_judged_kept", """with j as (select distinct doc_id from labels), o as (select doc_id, row_number() over (order by md5(doc_id || '#7'), doc_id) as r from documents where doc_id not in (select doc_id from j))
+select doc_id as id from documents where doc_id in (select doc_id from j) union all select doc_id from o where r <= 600 - (select count(*) from documents where doc_id in (select doc_id from j))""")
 def judged_kept(spark, sf_dir):
     docs, judged = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id")), table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"))
-    sub = datasets.catalog_subsample(docs, judged, 600, 7)
-    return sub.join(judged.distinct().withColumn("j", F.lit(1)), "id", "left").agg(F.count("j").alias("judged"), F.count("*").alias("kept"))
+    return datasets.catalog_subsample(docs, judged, 600, 7)
 
 
 @query("M09_classifier_share", f"with q as ({ROUTE}) select round(avg(case when starts_with(text, 'tze') then 1.0 else 0 end), 6) as strict_share from q")
@@ -508,9 +523,9 @@ def label_caps(spark, sf_dir):
     return datasets.per_group(rows, ["l_orderkey", "l_returnflag"], [F.asc("l_partkey"), F.asc("l_linenumber"), F.asc("l_suppkey")], 2).select("l_orderkey", "l_linenumber", "l_partkey")
 
 
-@query("W09_leg_ranks", f"{SCORES} select qid, id, row_number() over (partition by qid order by score desc, id) as rank from s where id < 50")
+@query("W09_leg_ranks", f"{RANKED} select qid, id, rank from r where rank <= 50")
 def leg_ranks(spark, sf_dir):
-    return retrieval.with_rank(retrieval.dense_top_k(asked(spark, sf_dir), corpus(spark, sf_dir).filter("id < 50"), 50, digits=9).drop("rank"), ["qid"]).select("qid", "id", F.col("rank").cast("long").alias("rank"))
+    return retrieval.with_rank(dense(spark, sf_dir, 50).drop("rank"), ["qid"]).select("qid", "id", F.col("rank").cast("long").alias("rank"))
 
 
 MINED = f"{RANKED}, n as (select qid, id, row_number() over (partition by qid order by score desc, id) - 1 as place from r where rank <= 100 and not relevant)"
@@ -549,17 +564,25 @@ def split_by_query(spark, sf_dir):
     return datasets.split_by_query(table(spark, sf_dir, "conversations"), "conv_id", 0.2, 3).select("conv_id", "turn", "split")
 
 
-@query("D03_split_by_component", "select 0 as crossing, true as both_sides")
+@query("D03_split_by_component", """with c as (select o_custkey as c, count(*) as n from orders group by 1), o as (select c, coalesce(sum(n) over (order by md5('o:' || c || '#3'), 'o:' || c rows between unbounded preceding and 1 preceding), 0) as before from c),
+t as (select greatest(1, floor(count(*) * 0.2)) as target from orders) select o_orderkey, case when before < target then 'validation' else 'train' end as split from orders join o on c = o_custkey cross join t""")
 def split_by_component(spark, sf_dir):
-    rows = table(spark, sf_dir, "lineitem").filter("l_orderkey % 50 = 0").select(F.col("l_orderkey").alias("q"), (F.col("l_partkey") % 1500 + F.col("l_orderkey") % 7 * 10_000).alias("o"))
-    split = datasets.split_by_component(rows, "q", "o", 0.2, 3)
-    crossing = datasets.leaks(split, "q").select("splits").unionByName(datasets.leaks(split, "o").select("splits")).agg(F.count("*").cast("int").alias("crossing"))
-    return crossing.crossJoin(split.agg((F.countDistinct("split") == 2).alias("both_sides")))
+    """Orders linked by their customer: a component is a customer with all orders."""
+    return datasets.split_by_component(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), "o_orderkey", "o_custkey", 0.2, 3).select("o_orderkey", "split")
+
+
+@query("D03_split_lineitem")
+def split_lineitem(spark, sf_dir):
+    """The split of every lineitem, by the components of its orders and parts."""
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
+    return datasets.split_by_component(rows, "l_orderkey", "l_partkey", 0.2, 3)
 
 
-@query("D04_given_split", "select doc_id from documents where source = 'src1'")
+@query("D04_given_split", "select doc_id, case source when 'src1' then 'validation' when 'src2' then 'test' else 'train' end as split from documents where source <> 'src3'")
 def given_split(spark, sf_dir):
-    return table(spark, sf_dir, "documents").filter("source = 'src1'").select("doc_id")
+    s = F.col("source")
+    rows = table(spark, sf_dir, "documents").filter("source is not null").select("doc_id", F.when(s == "src1", "Validation ").when(s == "src2", "test").when(s == "src3", None).otherwise("train").alias("split"))
+    return datasets.given_split(rows, "split").select("doc_id", "split")
 
 
 @query("D05_eligible_queries", "select source as qid, count(*) filter (where quality = 1) as positives, count(*) filter (where quality = 0) as negatives from documents join labels using (doc_id) group by 1 having count(*) filter (where quality = 1) >= 10")
@@ -574,12 +597,14 @@ def sidecar(spark, sf_dir):
     return datasets.sidecar(hits.select("qid", "id"), hits.filter("relevant")).select("qid", "id", "provenance")
 
 
-@query("D08_anchor_batches", f"{RANKED}, p as (select qid, count(*) filter (where relevant) as p, count(*) filter (where not relevant) as n from r where rank <= 60 group by 1) select qid, least(16, p) as positives, least(16 - least(16, p), n) as hard from p where least(16, p) + least(16 - least(16, p), n) >= 8")
+@query("D08_anchor_batches", f"""{RANKED}, p as (select qid, count(*) filter (where relevant) as p, count(*) filter (where not relevant and rank <= 20) as h, count(*) filter (where not relevant and rank > 20) as m from r where rank <= 60 group by 1)
+select qid, least(40, p) as positives, least(40 - least(40, p), h) as hard, least(40 - least(40, p) - least(40 - least(40, p), h), m) as semi from p where p + h + m >= 8""")
 def anchor_batches(spark, sf_dir):
     hits = judged_hits(spark, sf_dir, 60)
-    none = hits.limit(0)
-    rows = datasets.anchor_batches(hits.filter("relevant"), hits.filter("not relevant"), none, none, 16, 8, 1)
-    return rows.groupBy("qid").agg(F.count_if(F.col("source") == "positive").alias("positives"), F.count_if(F.col("source") == "hard").alias("hard"))
+    rest = hits.filter("not relevant")
+    rows = datasets.anchor_batches(hits.filter("relevant"), rest.filter("rank <= 20"), rest.filter("rank > 20"), hits.limit(0), 40, 8, 1)
+    n = lambda x: F.count_if(F.col("source") == x)
+    return rows.groupBy("qid").agg(n("positive").alias("positives"), n("hard").alias("hard"), n("semi").alias("semi"))
 
 
 @query("D09_query_pool", f"{RANKED}, x as (select qid, id, 0 as prio, 'positive' as source from r where rank <= 60 and relevant union all select qid, id, 1, 'mined' from r where rank <= 60), o as (select * from (select *, row_number() over (partition by qid, id order by prio) as k from x) where k = 1) select qid, id, source, slot from (select *, row_number() over (partition by qid order by prio, md5(qid || '#' || id || '#2'), id) as slot from o) where slot <= 12")
@@ -603,18 +628,25 @@ def curated(spark, sf_dir):
 CURATED = "with k as (select event_type || '-' || user_id as key, count(*) as n, max(value) as v from events group by 1), c as (select key, case when n >= 18 then 'head' when n >= 13 then 'torso' else 'tail' end as band, case when v < 60 then 'low' else 'high' end as hits, length(key) % 2 = 0 as mpn from k)"
 
 
-@query("D12_stratified_quota", f"{CURATED} select hits, least(count(*), case hits when 'low' then 60 else 40 end) as n from c group by 1")
+QUOTA = f"""{CURATED}, g as (select *, case hits when 'low' then 60 else 40 end as t, case band when 'head' then 0.05 when 'torso' then 0.25 else 0.7 end as q, md5(key || '#0') as h from c),
+w as (select *, row_number() over (partition by hits, band order by h, key) as r from g), x as (select *, case when band = 'tail' then 1 when r <= floor(t * q) then 0 else 2 end as leftover from w),
+picked as (select key, hits, band, mpn, h from (select *, row_number() over (partition by hits order by leftover, h, key) as p from x) where p <= t)"""
+
+
+def picked(spark, sf_dir):
+    return datasets.stratified_quota(curated(spark, sf_dir), "hits", "band", {"low": 60, "high": 40}, {"head": 0.05, "torso": 0.25, "tail": 0.7}, "key", 0)
+
+
+@query("D12_stratified_quota", f"{QUOTA} select key, hits, band from picked")
 def quota(spark, sf_dir):
-    got = datasets.stratified_quota(curated(spark, sf_dir), "hits", "band", {"low": 60, "high": 40}, {"head": 0.05, "torso": 0.25, "tail": 0.7}, "key", 0)
-    return got.groupBy("hits").agg(F.count("*").alias("n"))
+    return picked(spark, sf_dir).select("key", "hits", "band")
 
 
-@query("D12_floor_swap", f"{CURATED} select sum(n)::bigint as n, true as reached from (select least(count(*), case hits when 'low' then 60 else 40 end) as n from c group by hits)")
+@query("D12_floor_swap", f"""{QUOTA}, spare as (select key, row_number() over (order by h, key) as r from g where mpn and key not in (select key from picked)), need as (select greatest(0, 75 - count(*)) as n from picked where mpn),
+victim as (select key, row_number() over (order by h, key) as r from picked where not mpn), swap as (select v.key as gone, s.key as new from victim v join spare s using (r) where r <= (select n from need))
+select key from picked where key not in (select gone from swap) union all select new from swap""")
 def floor_swap(spark, sf_dir):
-    rows = curated(spark, sf_dir)
-    got = datasets.stratified_quota(rows, "hits", "band", {"low": 60, "high": 40}, {"head": 0.05, "torso": 0.25, "tail": 0.7}, "key", 0)
-    out = datasets.swap_for_floor(got, rows, "key", "mpn", 30, F.lit(True), 0)
-    return out.agg(F.count("*").alias("n"), (F.count_if("mpn") >= 30).alias("reached"))
+    return datasets.swap_for_floor(picked(spark, sf_dir), curated(spark, sf_dir), "key", "mpn", 75, F.lit(True), 0).select("key")
 
 
 @query("D13_balanced_build", "select l_orderkey, least(count(*) filter (where l_returnflag = 'A'), 3) as pos, least(count(*) filter (where l_returnflag <> 'A'), 3) as neg from lineitem group by 1 having count(*) filter (where l_returnflag = 'A') >= 2")
@@ -637,13 +669,13 @@ def dataset_stats(spark, sf_dir):
     return d.agg(F.count("*").alias("rows"), F.countDistinct("source").alias("queries"), F.countDistinct("text").alias("texts"), F.round(F.avg((F.col("lang") == "en").cast("double")), 6).alias("en_rate"))
 
 
-@query("D08_synthetic_negatives", "select count(*) as known_pairs from labels where false")
+@query("D08_synthetic_negatives", """with n as (select greatest(1, ceil(count(*) / 36.0)) as b from documents), o as (select doc_id as id, ('0x' || substr(md5(doc_id || '#1'), 1, 12))::bigint % b as b from documents cross join n),
+q as (select item_id as qid, (('0x' || substr(md5(item_id || '#2'), 1, 12))::bigint + x) % b as b from benchmark cross join n, unnest([0, 1]) as u(x))
+select qid, id from (select distinct qid, id, row_number() over (partition by qid order by md5(qid || '#' || id || '#1'), id) as r from (select distinct qid, id from q join o using (b) where id <> qid * 3)) where r <= 5""")
 def synthetic(spark, sf_dir):
     q = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"))
     offers = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"))
-    known = q.withColumn("id", F.col("qid") * 3)
-    got = datasets.synthetic_negatives(q, offers, known, 5, 1)
-    return got.join(known, ["qid", "id"]).agg(F.count("*").alias("known_pairs"))
+    return datasets.synthetic_negatives(q, offers, q.withColumn("id", F.col("qid") * 3), 5, 1)
 
 
 # joins, sets and limits
@@ -796,11 +828,15 @@ def two_stage(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").join(keep, "l_partkey", "left_semi").select("l_orderkey", "l_linenumber", "l_partkey")
 
 
-@query("Z05_filtered_article_recall", f"{SCORES}, b as (select qid, id // 4 as id, max(score) as score from s where id % 3 = 0 group by 1, 2), t as (select *, row_number() over (partition by qid order by score desc, id) as rank from b) select qid, 1.0 as recall from t where rank = 1")
+@query("Z05_filtered_article_recall", f"""{SCORES}, o as (select *, row_number() over (partition by qid order by score desc, id) as place from s where id % 3 = 0),
+b as (select qid, id // 4 as id, max(score) as score from o group by 1, 2), t as (select *, row_number() over (partition by qid order by score desc, id) as rank from b),
+c as (select qid, id // 4 as id, max(score) as score from o where place <= 6 group by 1, 2), f as (select *, row_number() over (partition by qid order by score desc, id) as rank from c)
+select t.qid, count(f.id) / 5.0 as recall from t left join f on f.qid = t.qid and f.id = t.id and f.rank <= 5 where t.rank <= 5 group by 1""")
 def article_recall(spark, sf_dir):
-    hits = retrieval.dense_top_k(asked(spark, sf_dir), corpus(spark, sf_dir).filter("id % 3 = 0"), 100_000, digits=9).withColumn("article", F.floor(F.col("id") / 4))
-    top = retrieval.article_top_k(hits, 5)
-    return retrieval.recall_at(top, top, 5)
+    """Articles among the six best offers, held against the exact five best articles."""
+    rows = articled(spark, sf_dir).filter("id % 3 = 0")
+    few = retrieval.dense_top_k(asked(spark, sf_dir), rows, 6, digits=9).join(rows.select("id", "article"), "id")
+    return retrieval.recall_at(retrieval.article_top_k(few, 5), retrieval.article_search(asked(spark, sf_dir), rows, 5, digits=9), 5)
 
 
 @query("Z07_prewarmed_cache", "select md5(text) as h, min(doc_id) as doc_id from documents group by 1")
@@ -808,10 +844,10 @@ def prewarmed(spark, sf_dir):
     return table(spark, sf_dir, "documents").groupBy(F.md5("text").alias("h")).agg(F.min("doc_id").alias("doc_id"))
 
 
-@query("Z08_key_lookup", "select d.doc_id from documents d where md5(d.text) in (select md5(text) from documents where doc_id < 100)")
+@query("Z08_key_lookup", "select d.doc_id from documents d where md5(d.text) in (select md5(text) from documents where doc_id % 100 = 0)")
 def key_lookup(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select("doc_id", F.md5("text").alias("h"))
-    return d.join(d.filter("doc_id < 100").select("h").distinct(), "h").select("doc_id")
+    return d.join(d.filter("doc_id % 100 = 0").select("h").distinct(), "h").select("doc_id")
 
 
 @query("Z10_rule_counts", "select count(*) filter (where regexp_matches(text, '[0-9]{16}')) as digits, count(*) filter (where contains(text, '@')) as mails, round(avg(case when regexp_matches(text, '[0-9]{16}') or contains(text, '@') then 1.0 else 0 end), 6) as share from documents")
@@ -834,47 +870,3 @@ def slots(spark, sf_dir):
 def pair_metrics(spark, sf_dir):
     rows = judged_hits(spark, sf_dir, 20).filter("id <> qid")
     return metrics.mrr_and_success(rows, asked(spark, sf_dir), 1).select(F.round("mrr", 6).alias("mrr"))
-
-
-# the same searches over the whole query set, which grows with the corpus
-
-def whole(f):
-    def run(spark, sf_dir):
-        token = _WHOLE.set(True)
-        try:
-            return f(spark, sf_dir)
-        finally:
-            _WHOLE.reset(token)
-
-    return run
-
-
-#: Their SQL has a further cut, so their whole forms stand by themselves.
-CUT_OTHERWISE = {"W09_leg_ranks", "R03_rrf", "R05_search_modes", "Z05_filtered_article_recall"}
-for _name, _sql in list(ORACLES.items()):
-    if VEC in _sql and _name not in CUT_OTHERWISE:
-        query(f"{_name}_whole", _sql.replace("vec_id < 20", "vec_id % 100 = 0"))(whole(QUERIES[_name]))
-
-
-@query("Z08_key_lookup_whole", "select d.doc_id from documents d where md5(d.text) in (select md5(text) from documents)")
-def key_lookup_whole(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select("doc_id", F.md5("text").alias("h"))
-    return d.join(d.select("h").distinct(), "h").select("doc_id")
-
-
-query("R16_cells_whole")(whole(lambda spark, sf_dir: measured(*cells_recall(spark, sf_dir))))
-query("R17_product_codes_whole")(whole(lambda spark, sf_dir: measured(*codes_recall(spark, sf_dir))))
-query("R18_graph_stand_in_whole")(whole(lambda spark, sf_dir: measured(*cells_recall(spark, sf_dir, 12))))
-
-
-@query("D03_split_by_component_whole")
-def split_by_component_whole(spark, sf_dir):
-    """The split of every lineitem, by the components of its orders and parts."""
-    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
-    return datasets.split_by_component(rows, "l_orderkey", "l_partkey", 0.2, 3)
-
-
-@query("W09_leg_ranks_whole", f"{SCORES} select qid, id, rank from (select qid, id, row_number() over (partition by qid order by score desc, id) as rank from s) where rank <= 50".replace("vec_id < 20", "vec_id % 100 = 0"))
-@whole
-def leg_ranks_whole(spark, sf_dir):
-    return retrieval.with_rank(dense(spark, sf_dir, 50).drop("rank"), ["qid"]).select("qid", "id", F.col("rank").cast("long").alias("rank"))

@@ -119,7 +119,13 @@ def base62(spark, sf_dir):
     return rows.select("p_partkey", ids.uuid_of_friendly("f").alias("u"), F.length("f").cast("long").alias("n"))
 
 
-@query("T19_legacy_ids")
+_B62 = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+N62_SQL = "list_reduce(list_transform(range(1, 33), lambda i: (instr('0123456789abcdef', substr(h, i, 1)) - 1)::uhugeint), lambda a, d: a * 16 + d)"
+D62_SQL = "array_to_string(list_transform([" + ", ".join(f"'{62**i}'::uhugeint" for i in range(21, -1, -1)) + f"], lambda w: substr('{_B62}', ((n // w) % 62)::integer + 1, 1)), '')"
+
+
+@query("T19_legacy_ids", f"""with x as (select p_partkey, md5(cast(p_partkey as varchar)) as h, rtrim(replace(replace(to_base64(encode(p_name)), '+', '-'), '/', '_'), '=') as b from part), y as (select *, {N62_SQL} as n from x), z as (select *, {D62_SQL} as d from y)
+select p_partkey, d || ':' || b as legacy, ltrim(d, '0') || ':' || b as sort_key from z""")
 def legacy_ids(spark, sf_dir):
     u = ids.uuid_str(F.base64(F.unhex(F.md5(F.col("p_partkey").cast("string")))))
     key = ids.offer_key(u, F.col("p_name"), u)
@@ -189,7 +195,11 @@ def strip_tags(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", text.strip_tags(F.col("html")).alias("t"))
 
 
-@query("T28_clean_html")
+#: The references that the pages hold, resolved once; the mark stands for an ampersand until then.
+ENTITY_SQL = "replace(regexp_replace(replace(replace(replace(%s, '&quot;', '\"'), '&copy;', '©'), '&middot;', '·'), '&amp;?', chr(1), 'g'), chr(1), '&')"
+
+
+@query("T28_clean_html", "with x as (select page_id, " + NORMAL_SQL.replace("%s", "html") + " as t from pages) select page_id, " + NORMAL_SQL.replace("%s", ENTITY_SQL.replace("%s", "regexp_replace(t, '<[^>]+>', ' ', 'g')")) + " as t from x")
 def clean_html(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", text.clean_html_text(F.col("html")).alias("t"))
 
@@ -225,11 +235,14 @@ def article_slot(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", identifiers.article_state(q, [own, F.lit("")]).alias("slot"))
 
 
-@query("T31_feature_slots")
+@query("T31_feature_slots", """select p_partkey, case p_partkey % 3 when 0 then '[EAN_MATCH]' when 1 then '[EAN_MISMATCH]' else '[EAN_NONE]' end as ean, case when p_size % 2 = 0 then '[SPEC_MATCH]' else '[SPEC_MISMATCH]' end as spec from part""")
 def feature_slots(spark, sf_dir):
-    p = table(spark, sf_dir, "part")
-    q = F.concat_ws(" ", F.lit("M8x40"), (F.col("p_size")).cast("string"), F.lit("mm 4006381333931"))
-    return p.select("p_partkey", identifiers.ean_state(q, F.lit("4006381333931")).alias("ean"), identifiers.spec_state(q, [F.concat(F.lit("Bolt m8 x40 "), F.col("p_size").cast("string"), F.lit(" mm"))]).alias("spec"))
+    """Offers with the EAN that the query names, with another valid one, or an invalid one; and with its length or a longer one."""
+    p, kind, size = table(spark, sf_dir, "part"), F.col("p_partkey") % 3, F.col("p_size")
+    q = F.concat_ws(" ", F.lit("M8x40"), (size + 100).cast("string"), F.lit("mm 4006381333931"))
+    own = F.when(kind == 0, "4006381333931").when(kind == 1, "96385074").otherwise("4006381333930")
+    long = F.when(size % 2 == 0, size + 100).otherwise(size + 300)
+    return p.select("p_partkey", identifiers.ean_state(q, own).alias("ean"), identifiers.spec_state(q, [F.concat(F.lit("Bolt m8 x40 length "), long.cast("string"), F.lit(" mm"))]).alias("spec"))
 
 
 @query("T32_spec_tokens", "select p_partkey, 'm8x' || p_size || ',' || p_size || 'mm,din' || (p_partkey % 1000) as specs from part")
@@ -460,7 +473,18 @@ def customer_numbers(spark, sf_dir):
     return rows.select("text_codes", F.array_join(F.transform("customer_article_numbers", lambda x: F.concat_ws(":", x["value"], F.size(x["version_ids"]).cast("string"))), ",").alias("numbers"))
 
 
-@query("S01_offer_table")
+HASH_SQL = "substr(sha256(encode(p_name) || '\\x00'::blob || encode(p_brand) || '\\x00'::blob || '\\x00'::blob || encode(p_brand || '¦' || p_type) || '\\x00'::blob || '\\x00'::blob || encode(cast(p_partkey as varchar)) || '\\x00'::blob || '\\x00'::blob), 1, 32)"
+
+
+def uuid_sql(h: str) -> str:
+    return UUID_SQL.replace("(h,", f"({h},")
+
+
+@query("S01_offer_table", f"""with o as (select l_partkey as pk, l_suppkey as sk, l_orderkey as ok, l_returnflag as f, floor(l_extendedprice) / 4.0 as p from lineitem where l_linenumber = 1),
+x as (select * from o union all select o.pk, o.sk, o.ok, c.l_returnflag, floor(c.l_extendedprice) / 2.0 from o join lineitem c on c.l_linenumber = 2 and c.l_partkey = o.pk and c.l_suppkey = o.sk),
+g as (select pk, sk, ok, count(*) as n, min(p) filter (where f = 'A') as low, max(p) filter (where f <> 'A') as high, array_to_string(list_sort(list_distinct(list(case when f = 'A' then 'eur' else 'chf' end))), ',') as c from x group by 1, 2, 3)
+select {uuid_sql("md5(cast(sk as varchar))")} || ':' || rtrim(replace(replace(to_base64(encode(cast(pk as varchar))), '+', '-'), '/', '_'), '=') || ':' || {uuid_sql("md5(cast(ok as varchar))")} as id, {HASH_SQL} as article_hash, {uuid_sql("md5(cast(sk as varchar))")} as vendor_id,
+ 5 as delivery_time_days_max, cast(n as integer) as n_prices, coalesce(low, 3.4028234e38) as eur_price_min, coalesce(high, -3.4028234e38) as chf_price_max, c as currencies from g join part on pk = p_partkey""")
 def offer_table(spark, sf_dir):
     rows = materialise.offer_table(flat(spark, sf_dir))
     return rows.select("id", "article_hash", "vendor_id", "delivery_time_days_max", F.size("prices").alias("n_prices"), "eur_price_min", "chf_price_max", F.array_join("currencies", ",").alias("currencies"))

@@ -38,13 +38,22 @@ _filter("P07_s2class", R(s2class=3_000_000, eclass5=1_000_000), predicates.s2cla
 _filter("P08_eclasses", R(eclasses=(2_010_000, 4_000_000)), predicates.eclasses, "root in (2010000, 4000000) or mid in (2010000, 4000000) or leaf in (2010000, 4000000)", articles)
 _filter("P09_catalog_versions", R(sources=SOURCES), predicates.catalog_versions, "catalog_version_id in ('cv1', 'cv2', 'cv3')")
 _filter("P09_closed_versions", R(sources=SOURCES, closed_only=True), predicates.catalog_versions, "catalog_version_id in ('cv1', 'cv2')")
-_filter("P10_match_nothing", R(sources=ArticleSources(("cv1",))), predicates.catalog_versions, "false")
 _filter("P11_relationships", R(accessory_for="n1", spare_part_for="n2"), predicates.relationships, "accessory_for = 'n1' and spare_part_for = 'n2'")
 _filter("P12_core_only", R(sources=SOURCES, core_only=True), predicates.core_only, "list_contains(core_marker_enabled_sources, 'u1') or (list_has_any(core_marker_enabled_sources, ['cv1', 'cv2']) and not list_contains(core_marker_disabled_sources, 'u1'))")
 _filter("P13_core_vendors", R(sources=SOURCES, core_vendors=("v1", "v2")), predicates.core_vendors, "vendor_id not in ('v1', 'v2') or list_contains(core_marker_enabled_sources, 'u1') or (list_has_any(core_marker_enabled_sources, ['cv1', 'cv2']) and not list_contains(core_marker_disabled_sources, 'u1'))")
 _filter("P16_price_lists", R(sources=ArticleSources(("cv1",), (), ("plO",)), price_filter=True), predicates.price_lists, "status = 'O'")
 _filter("P17_price_band", R(price_min=100_000, price_max=200_000), predicates.price_band, "case when ccy = 'EUR' then unit else unit * 2 end <= 2000 and unit * 2 >= 1000")
 
+@query("P10_match_nothing", f"{CATALOG} select 'lists and versions' as kind, count(*) as n from offers where catalog_version_id in ('cv1', 'cv2', 'cv3') union all select 'no lists', 0 union all select 'no versions', 0")
+def match_nothing(spark, sf_dir):
+    """Offers of requests that name no price lists, no catalog versions, or both."""
+    out = None
+    for kind, sources in (("lists and versions", SOURCES), ("no lists", ArticleSources(("cv1",))), ("no versions", ArticleSources((), (), ("plO", "plX")))):
+        n = offers(spark, sf_dir).filter(predicates.catalog_versions(R(sources=sources))).agg(F.lit(kind).alias("kind"), F.count("*").alias("n"))
+        out = n if out is None else out.unionByName(n)
+    return out
+
+
 BLOCKED = (BlockedClasses("S2CLASS", ("v1", "v2", "v3"), (1_000_000, 2_000_000), (1_010_000,)), BlockedClasses("ECLASS_5_1", ("v4",), (3_000_000,)), BlockedClasses("S2CLASS", (), (1_000_000,)))
 BLOCKED_SQL = "(vendor_id not in ('v1', 'v2', 'v3') or not (root in (1000000, 2000000) and mid <> 1010000)) and (vendor_id <> 'v4' or root <> 3000000)"
 
@@ -87,13 +96,15 @@ def nested(spark, sf_dir):
     return rows.filter(predicates.one_offer_of("offers", ("v1", "v2"), 30, "EUR", 900, 1800)).select("article_hash")
 
 
-@query("P26_hash_chunks", "select 0 as lost")
+@query("P26_hash_chunks", f"{CATALOG} select id, cast(count(*) as integer) as chunks from offers group by 1")
 def chunks(spark, sf_dir):
+    """Each offer is in one chunk of four, those of one id in the same."""
     rows = offers(spark, sf_dir).select("id")
-    parts = [rows.filter(predicates.hash_chunk("id", 4, i)).agg(F.count("*").alias("n")) for i in range(4)]
-    total = parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3]).agg(F.sum("n").alias("n"))
-    whole = rows.agg(F.count("*").alias("m"))
-    return total.crossJoin(whole).select((F.col("n") - F.col("m")).alias("lost"))
+    parts = rows.filter(predicates.hash_chunk("id", 4, 0)).withColumn("chunk", F.lit(0))
+    for i in range(1, 4):
+        parts = parts.unionByName(rows.filter(predicates.hash_chunk("id", 4, i)).withColumn("chunk", F.lit(i)))
+    counted = parts.groupBy("id").agg(F.count("*").cast("int").alias("chunks"), F.countDistinct("chunk").alias("n"))
+    return counted.select("id", F.when(F.col("n") == 1, F.col("chunks")).alias("chunks"))
 
 
 LISTS = "['plO', 'plX']"
@@ -262,9 +273,15 @@ def disjunctive(spark, sf_dir):
     return search.disjunctive_counts(rows, tests, {"vendor": "vendor_id", "manufacturer": "manufacturerName"})
 
 
-@query("A14_summaries", f"{BASE.replace(' and ' + VENDORS_SQL, '')} select vendor_id as vendor, count(*) as n from rows group by 1")
+@query("A14_summaries", f"""{BASE.replace("rows as (", "wide as (").replace(' and ' + VENDORS_SQL, '')}, rows as (select * from wide where {VENDORS_SQL}), t as (select split_part(f, '=', 1) as name, split_part(f, '=', 2) as value from (select unnest(features) as f from rows))
+select 'vendors' as facet, vendor_id as value, count(*) as n from wide group by 2 union all select 'manufacturers', manufacturerName, count(*) from rows group by 2
+union all select 'features', name || '=' || value, count(*) from t group by 2 union all select 's2class', cast(root as varchar), count(*) from rows group by 2 union all select 'eclass7', cast(root as varchar), count(*) from rows group by 2 union all select 'sets', 'one', count(*) filter (where root in (1000000, 2000000)) from rows""")
 def summaries(spark, sf_dir):
-    return search.summaries(offers(spark, sf_dir), articles(spark, sf_dir), FULL)["vendors"]
+    """All facets of one request as (facet, value, n)."""
+    got = search.summaries(offers(spark, sf_dir), articles(spark, sf_dir), FULL.without(s2class=0, eclass7=0), [("one", (1_000_000, 2_000_000))])
+    row = lambda facet, value, n="n": got[facet].select(F.lit(facet).alias("facet"), F.col(value).cast("string").alias("value"), F.col(n).cast("long").alias("n"))
+    features = got["features"].select("name", F.explode("values").alias("v")).select(F.lit("features").alias("facet"), F.concat_ws("=", "name", "v.value").alias("value"), F.col("v.n").alias("n"))
+    return row("vendors", "vendor").unionByName(row("manufacturers", "manufacturer")).unionByName(features).unionByName(row("s2class", "code")).unionByName(row("eclass7", "code")).unionByName(row("sets", "set"))
 
 
 @query("A32_first_category", f"{CATALOG} select category_l1 as category, count(*) as n from articles group by 1 order by n desc, category limit 15")
@@ -288,12 +305,12 @@ def depths(spark, sf_dir):
     return articles(spark, sf_dir).select(code.alias("code"), taxonomy.code_depth(code).alias("depth"), taxonomy.code_parent(code).alias("parent"))
 
 
-@query("R08_rank_limit", "select 1000 as pool, 1200 as deep, 16384 as wide")
+@query("R08_rank_limit", "select field, page, size, case when field = 'relevance' then greatest(1000, page * size) else 16384 end as n from (select unnest(['relevance', 'name', 'price', 'articleId']) as field), (select unnest(range(1, 30)) as page), (select unnest([1, 24, 100, 500]) as size)")
 def limits(spark, sf_dir):
     from ..plans.request import SortPlan, rank_limit
 
-    rows = [(rank_limit(SortPlan(), 1, 24), rank_limit(SortPlan(), 12, 100), rank_limit(SortPlan("name"), 1, 24))]
-    return spark.createDataFrame(rows, "pool int, deep int, wide int")
+    rows = [(f, p, n, rank_limit(SortPlan(f), p, n)) for f in ("relevance", "name", "price", "articleId") for p in range(1, 30) for n in (1, 24, 100, 500)]
+    return spark.createDataFrame(rows, "field string, page long, size int, n long")
 
 
 @query("B05_search_modes", f"{BASE} select count(distinct article_hash) as hits, cast(ceil(count(distinct article_hash) / 24.0) as bigint) as pages from rows")
