@@ -11,19 +11,20 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Fixed value: white space by Unicode, as stripped from both ends.
-_STRIP = "[\\s\\u001c-\\u001f\\u0085\\u00a0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]+"
+_BLANKS = " \t\n\x0b\f\r\x1c\x1d\x1e\x1f\x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 
 
 def _strip(x: Column) -> Column:
-    return F.regexp_replace(x, f"^{_STRIP}|{_STRIP}$", "")
+    return F.btrim(x, F.lit(_BLANKS))
 
 
 def normalize_text(x: Column) -> Column:
     """Null as empty; NUL and NBSP as spaces, runs of blanks and of line ends folded, ends stripped."""
-    x = F.translate(F.coalesce(x, F.lit("")), "\x00 ", "  ")
+    x = F.translate(F.coalesce(x, F.lit("")), "\x00\xa0", "  ")
     x = _strip(F.replace(x, F.lit("\r\n"), F.lit("\n")))
-    x = F.regexp_replace(x, "[ \\t\\r\\f\\x0B]+", " ")
-    x = F.regexp_replace(F.regexp_replace(x, " *\\n *", "\n"), "\\n{3,}", "\n\n")
+    # what stays as it is, a single space or a bare line end, is not matched: most of a text is
+    x = F.regexp_replace(x, " [ \\t\\r\\f\\x0B]++|[\\t\\r\\f\\x0B][ \\t\\r\\f\\x0B]*+", " ")
+    x = F.regexp_replace(F.regexp_replace(x, " ++\\n *+|\\n ++", "\n"), "\\n{3,}+", "\n\n")
     return _strip(x)
 
 
