@@ -110,3 +110,38 @@ def test_operator(spark):
     got = sorted((r.page_id, r.text, r.url) for r in extract_text(rows).collect())
     assert got == [(1, "a", "u"), (1, "a", "u"), (2, "", "u"), (3, "", "u")]
     assert extract_text(rows.limit(0)).collect() == []
+
+
+def plain_words(page):
+    """All words outside of what is never shown, by plain substitutions."""
+    import html
+    import re
+
+    page = re.sub(r"(?s)<!--.*?-->", "", page)
+    page = re.sub(r"(?is)<(head|script|style|noscript|template|iframe)\b.*?</\1\s*>", " ", page)
+    return re.findall(r"\w+", html.unescape(re.sub(r"(?s)<[^>]*>", " ", page)))
+
+
+def shown_words(page):
+    import re
+
+    return re.findall(r"\w+", page_text(page))
+
+
+def test_words_of_all_pages_against_plain_code(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.1/pages.parquet").select("html").collect()
+    assert all(shown_words(r.html) == plain_words(r.html) for r in rows)
+
+
+def test_words_of_random_markup_against_plain_code():
+    import random
+
+    rng = random.Random(6)
+    tags = ["p", "div", "b", "ul", "li", "blockquote", "h2", "section", "span", "table", "tr", "td", "pre", "dl", "dt", "dd", "a", "i"]
+    for _ in range(400):
+        parts = []
+        for _ in range(rng.randrange(60)):
+            t = rng.choice(tags)
+            parts.append(rng.choice([f"<{t}>", f"</{t}>", f"w{rng.randrange(999)} ", f"<{t} class=x>", "&amp; ", "<br>", "<!-- c -->", "<hr/>"]))
+        page = "".join(parts)
+        assert sorted(shown_words(page)) == sorted(plain_words(page)), page
