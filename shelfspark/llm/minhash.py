@@ -241,7 +241,7 @@ def _verify(pairs: DataFrame, sets: DataFrame, docs: DataFrame, text: str, thres
 
 
 def _bitmaps(texts: DataFrame) -> DataFrame:
-    """(c, spare, w0..) of rows (c, t): bits of the hashed elements of each multiset, and how many elements share a bit.
+    """(c, spare, bits) of rows (c, t): a bitmap of the hashed elements of each multiset, and how many elements share a bit.
 
     Two multisets have at most as many elements in common as common bits and the
     lesser of the spares.
@@ -259,9 +259,10 @@ def _bitmaps(texts: DataFrame) -> DataFrame:
                 flags[np.repeat(doc, w), (element % _U(bits)).astype(np.int64)] = True
                 words = np.packbits(flags, axis=1, bitorder="little").view(np.int64)
                 spare = np.bincount(doc, w, part.num_rows).astype(np.int64) - flags.sum(1)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(spare), *(pa.array(words[:, i]) for i in range(BITMAP))], names=["c", "spare", *(f"w{i}" for i in range(BITMAP))])
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(part.num_rows + 1, dtype=np.int32) * BITMAP), pa.array(words.ravel()))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(spare), lists], names=["c", "spare", "bits"])
 
-    return texts.mapInArrow(run, "c long, spare long, " + ", ".join(f"w{i} long" for i in range(BITMAP)))
+    return texts.mapInArrow(run, "c long, spare long, bits array<long>")
 
 
 def _pairs_of_stars(spots: DataFrame, alike) -> DataFrame:
@@ -277,19 +278,18 @@ def _pairs_of_stars(spots: DataFrame, alike) -> DataFrame:
 def _pairs_apart(work: Work, spots: DataFrame, groups: DataFrame, sets: DataFrame, docs: DataFrame, text: str, threshold: float, bands: int, alike) -> DataFrame:
     """Pairs (a, b) of sets of one bucket that are in different groups and that the bitmap bound lets through."""
     placed = spots.join(groups, spots["c"] == groups["node"], "left").select("band", "h", "c", "total", F.exists("pivots", lambda x: x["p"] == F.col("c")).alias("pivot"), F.coalesce("component", "c").alias("g"))
-    placed = work.keep(placed)
+    placed = work.mark(placed)
     counted = placed.groupBy("band", "h", "g").agg(F.count("*").alias("n"))
-    split = work.keep(counted.groupBy("band", "h").agg(F.count("*").alias("groups"), F.max(F.struct("n", "g"))["g"].alias("main")).filter("groups > 1").select("band", "h", "main"))
-    apart = work.keep(placed.filter("not pivot").join(split, ["band", "h"]))
+    split = work.mark(counted.groupBy("band", "h").agg(F.count("*").alias("groups"), F.max(F.struct("n", "g"))["g"].alias("main")).filter("groups > 1").select("band", "h", "main"))
+    apart = work.mark(placed.filter("not pivot").join(split, ["band", "h"]))
     maps = _bitmaps(_fetched(sets, apart.select("c").distinct(), docs, text))
-    codes = sets.select("c", *(F.get("bands", F.lit(i)).alias(f"h{i}") for i in range(bands)))
-    apart = work.keep(apart.join(work.keep(maps.join(codes, "c")), "c"))
-    words, keys = [f"w{i}" for i in range(BITMAP)], [f"h{i}" for i in range(bands)]
-    side = lambda s, *more: ["band", "h", F.col("c").alias(s), *(F.col(x).alias(s + x) for x in ("g", "total", "spare", *words, *keys)), *more]
+    apart = work.mark(apart.join(work.mark(maps.join(sets.select("c", "bands"), "c")), "c"))
+    side = lambda s, *more: ["band", "h", F.col("c").alias(s), *(F.col(x).alias(s + x) for x in ("g", "total", "spare", "bits", "bands")), *more]
+    at = lambda name, i: F.get(name, F.lit(i))
     minor, other = apart.filter("g <> main").select(*side("a")), apart.select(*side("b", "main"))
-    most = F.least("aspare", "bspare") + sum((F.bit_count(F.col(f"a{w}").bitwiseAND(F.col(f"b{w}"))) for w in words), start=F.lit(0))
+    most = F.least("aspare", "bspare") + sum((F.bit_count(at("abits", i).bitwiseAND(at("bbits", i))) for i in range(BITMAP)), start=F.lit(0))
     # a pair is made in the first band that it shares; if one of it is a pivot there, it has been compared
-    first = all_of([(F.col(f"ah{i}") != F.col(f"bh{i}")) | (F.col("band") <= i) for i in range(bands)])
+    first = all_of([(at("abands", i) != at("bbands", i)) | (F.col("band") <= i) for i in range(bands)])
     test = (
         (F.col("ag") != F.col("bg")) & ((F.col("bg") == F.col("main")) | (F.col("a") < F.col("b"))) & alike(F.col("atotal"), F.col("btotal")) & first
         & (most * (1 + threshold) + 1e-6 >= threshold * (F.col("atotal") + F.col("btotal")))
@@ -306,26 +306,26 @@ def classes(docs: DataFrame, doc_id: str, text: str, threshold: float, bands: in
     """
     alike = lambda a, b: F.least(a, b) >= threshold * F.greatest(a, b)
     with Work(docs.sparkSession) as work:
-        sketched = work.keep(sketch(docs, text, bands, rows))
+        sketched = work.mark(sketch(docs, text, bands, rows))
         least = F.min(F.struct("k1", "k2", "total", "bands")).alias("x")
         # numbers given to checkpointed rows stay what they are
         sets = cut(sketched.groupBy("f1", "f2").agg(least).select("f1", "f2", "x.*", F.monotonically_increasing_id().alias("c")))
-        member = work.keep(sketched.select("k1", "k2", "f1", "f2").distinct().join(sets.select("f1", "f2", "c"), ["f1", "f2"]).select("k1", "k2", "c"))
+        member = work.mark(sketched.select("k1", "k2", "f1", "f2").distinct().join(sets.select("f1", "f2", "c"), ["f1", "f2"]).select("k1", "k2", "c"))
         spots = sets.select("c", "total", F.posexplode("bands").alias("band", "h"))
         pivot = lambda r: F.min(F.struct(F.xxhash64("c", F.lit(r)).alias("x"), F.col("c").alias("p"), F.col("total").alias("ta")))
         shared = spots.groupBy("band", "h").agg(F.count("*").alias("n"), F.array_distinct(F.array(*(pivot(r) for r in range(PIVOTS)))).alias("pivots")).filter("n > 1")
-        shared = work.keep(shared.select("band", "h", "pivots"))
-        spots = work.keep(spots.join(shared, ["band", "h"]))
-        links = cut(_verify(work.keep(_pairs_of_stars(spots, alike)), sets, docs, text, threshold))
+        shared = work.mark(shared.select("band", "h", "pivots"))
+        spots = work.mark(spots.join(shared, ["band", "h"]))
+        links = cut(_verify(work.mark(_pairs_of_stars(spots, alike)), sets, docs, text, threshold))
         groups = connected_components(links, "a", "b")
-        rest = work.keep(_pairs_apart(work, spots, groups, sets, docs, text, threshold, bands, alike))
+        rest = work.mark(_pairs_apart(work, spots, groups, sets, docs, text, threshold, bands, alike))
         more = cut(_verify(rest, sets, docs, text, threshold))
         if not more.isEmpty():
             groups = connected_components(links.unionByName(more), "a", "b")
         counted = docs.select(*_key(F.col(text)), F.col(doc_id).alias("id")).filter("k1 is not null").groupBy("k1", "k2", "id").agg(F.count("*").alias("same"))
         ids = counted.groupBy("k1", "k2").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "same")).alias("y"), F.sum("same").alias("rows"))
         known = member.join(groups, member["c"] == groups["node"], "left").select("k1", "k2", F.coalesce("component", "c").alias("g"))
-        known = work.keep(known.join(ids, ["k1", "k2"]).select("k1", "k2", "g", "y.*", "rows"))
+        known = work.mark(known.join(ids, ["k1", "k2"]).select("k1", "k2", "g", "y.*", "rows"))
         heads = known.groupBy("g").agg(F.min(F.struct("none", "id", "k1", "k2")).alias("x"))
         first = (F.col("k1") == F.col("x.k1")) & (F.col("k2") == F.col("x.k2"))
         return cut(known.join(heads, "g").select("k1", "k2", F.col("x.id").alias("class_id"), F.col("x.k1").alias("class_key"), first.alias("first"), "same", "rows"))
