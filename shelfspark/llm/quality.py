@@ -10,23 +10,21 @@ Ratings are fitted on a bounded sample of at most `sample_rows` ids chosen by a
 of the id; scoring covers every row. Of an id that is rated more than once the lowest
 grade counts, and of one with several texts the least text, so repeated rows change
 nothing. Null and empty texts have no word features and get the score of the
-thresholds and levels alone. Very long texts count in full; a worker holds one text,
-its words and what a bounded number of words gives. With no ratings every row is kept
+thresholds and levels alone. Very long texts count in full; a worker holds some
+BATCH_BYTES of text, or one text, with its words. With no ratings every row is kept
 with null scores; equal scores need no order, as a threshold decides. Columns named
 like the results are replaced. Empty tables give no rows.
 """
 
 from __future__ import annotations
 
-import re
 import uuid
-from collections import Counter
 from collections.abc import Iterator
-from operator import eq
 
 import numpy as np
 import pyarrow as pa
-import xxhash
+import pyarrow.compute as pc
+from pandas.util import hash_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,62 +35,109 @@ EPOCHS = 150
 LEAST_ROWS = 12
 SPARSE = 2e-3
 KEEP_TAIL = 0.5
+BATCH_BYTES = 4_000_000
 
-_MARKS = re.compile(r"[^\w\s]{2}|^\W+$")
+_MARKS = r"[^\pL\pN_\s]{2}|^[^\pL\pN_]+$"
 
 
-def _cell(name: str) -> int:
-    return xxhash.xxh64_intdigest(name) % DIMS
+def _hashed(strings: pa.Array, kind: str) -> np.ndarray:
+    """Cells of strings, each distinct one hashed once."""
+    coded = strings.dictionary_encode()
+    names = coded.dictionary.to_numpy(zero_copy_only=False)
+    cells = hash_array(names, hash_key=f"{kind:16.16}", categorize=False) % np.uint64(DIMS) if len(names) else np.zeros(0, np.uint64)
+    return cells.astype(np.int64)[coded.indices.to_numpy(zero_copy_only=False)]
 
 
-def _level(share: float) -> int:
-    return 0 if share <= 0 else max(1, 10 + int(np.floor(np.log2(share))))
+def word_features(words: pa.Array) -> tuple[np.ndarray, np.ndarray, dict[str, np.ndarray]]:
+    """(word, cell) of each word and its stems, and which words are in capitals, have marks, have digits."""
+    plain = pc.utf8_trim(pc.utf8_lower(words), characters=".,;:!?\"'()")
+    of, cells = [np.arange(len(words))], [_hashed(plain, "word")]
+    size = pc.utf8_length(plain).to_numpy(zero_copy_only=False)
+    for k in STEMS:
+        long = np.flatnonzero(size > k)
+        of.append(long)
+        cells.append(_hashed(pc.utf8_slice_codeunits(plain.take(pa.array(long)), 0, k), f"stem {k}"))
+    told = {
+        "caps": pc.and_(pc.utf8_is_upper(words), pc.greater(pc.utf8_length(words), 1)),
+        "marks": pc.match_substring_regex(words, _MARKS),
+        "digits": pc.match_substring_regex(words, r"\p{Nd}"),
+    }
+    return np.concatenate(of), np.concatenate(cells), {k: v.to_numpy(zero_copy_only=False) for k, v in told.items()}
 
 
 class Features:
     """Hashed cells of texts, each once in a text; `wanted` leaves only those that carry weight.
 
-    What a word gives is kept for the next text, for a bounded number of words.
+    Texts are split and their words numbered in batches, so what a word gives is made
+    once in a batch; nothing of a batch is kept.
     """
 
-    def __init__(self, wanted: set[int] | None = None, room: int = 150_000):
-        self.wanted, self.room = wanted, room
-        self.words: dict[str, tuple[tuple[int, ...], bool, bool, bool]] = {}
-
-    def word(self, w: str) -> tuple[tuple[int, ...], bool, bool, bool]:
-        """Cells of the word and its stems, and whether it is in capitals, has marks, has digits."""
-        if len(self.words) > self.room:
-            self.words.clear()
-        plain = w.lower().strip(".,;:!?\"'()")
-        cells = (_cell("w " + plain), *(_cell(f"s{k} {plain[:k]}") for k in STEMS if len(plain) > k))
+    def __init__(self, wanted: set[int] | None = None):
+        self.wanted = None if wanted is None else np.zeros(DIMS, bool)
+        if wanted:
+            self.wanted[list(wanted)] = True
+        self.levels: dict[str, int] = {}
+
+    def level(self, name: str) -> int:
+        if name not in self.levels:
+            self.levels[name] = int(_hashed(pa.array([name]), "level")[0])
+        return self.levels[name]
+
+    def batch(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(row, cell), sorted, of the distinct cells of each text."""
+        parts = pc.utf8_split_whitespace(pc.utf8_trim_whitespace(pc.fill_null(texts, "")))
+        flat, sizes = parts.flatten(), parts.value_lengths().to_numpy()
+        full = pc.not_equal(flat, "").to_numpy(zero_copy_only=False)
+        row = np.repeat(np.arange(len(texts)), sizes)[full]
+        coded = flat.filter(pa.array(full)).dictionary_encode()
+        code, kinds = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), max(1, len(coded.dictionary))
+        of, cell, told = word_features(coded.dictionary)
+        n = np.bincount(row, minlength=len(texts))
+        share = {k: np.bincount(row, v[code], len(texts)) for k, v in told.items()}
+        same = (row[1:] == row[:-1]) & (code[1:] == code[:-1])
+        share["again"] = np.bincount(row[1:][same], minlength=len(texts))
+        pairs, times = np.unique(row * kinds + code, return_counts=True)
+        first, word = pairs // kinds, pairs % kinds
+        top, longest = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64)
+        np.maximum.at(top, first, times)
+        np.maximum.at(longest, first, pc.utf8_length(coded.dictionary).to_numpy(zero_copy_only=False).astype(np.int64)[word])
+        share["top"], share["kinds"] = top, np.bincount(first, minlength=len(texts))
+        total = np.maximum(n, 1)
+        level = {k: np.where(v > 0, np.maximum(1, 10 + np.floor(np.log2(np.where(v > 0, v / total, 1)))), 0).astype(int) for k, v in share.items()}
+        level |= {"words": np.log2(total).astype(int), "longest": np.log2(longest + 1).astype(int)}
+        rows, cells = [], []
+        for name, values in level.items():
+            seen, place = np.unique(values, return_inverse=True)
+            rows.append(np.arange(len(texts)))
+            cells.append(np.array([self.level(f"{name} {v}") for v in seen.tolist()], np.int64)[place])
+        if self.wanted is not None:
+            of, cell = of[self.wanted[cell]], cell[self.wanted[cell]]
+        order = np.argsort(of, kind="stable")
+        of, cell = of[order], cell[order]
+        count = np.bincount(of, minlength=kinds)
+        begin = np.cumsum(count) - count
+        some = count[word] > 0
+        first, word = first[some], word[some]
+        each = count[word]
+        end = np.cumsum(each)
+        rows.append(np.repeat(first, each))
+        cells.append(cell[np.arange(int(each.sum())) + np.repeat(begin[word] - (end - each), each)])
+        key = np.unique(np.concatenate(rows).astype(np.int64) * DIMS + np.concatenate(cells))
+        row, cell = key // DIMS, key % DIMS
         if self.wanted is not None:
-            cells = tuple(c for c in cells if c in self.wanted)
-        got = cells, len(w) > 1 and w.upper() == w and w.lower() != w, bool(_MARKS.search(w)), any(c.isdigit() for c in w)
-        self.words[w] = got
-        return got
+            row, cell = row[self.wanted[cell]], cell[self.wanted[cell]]
+        return row, cell
+
+    def batches(self, texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+        """(first, end, row, cell) of parts of the texts that hold some BATCH_BYTES each."""
+        size = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
+        part = np.cumsum(size) // BATCH_BYTES
+        for p in np.unique(part):
+            lo, hi = int(np.searchsorted(part, p)), int(np.searchsorted(part, p, "right"))
+            yield lo, hi, *self.batch(texts.slice(lo, hi - lo))
 
     def __call__(self, text: str | None) -> list[int]:
-        raw = (text or "").split()
-        counts = Counter(raw)
-        total = max(1, len(raw))
-        caps = marks = digits = 0
-        cells: set[int] = set()
-        get = self.words.get
-        for w, n in counts.items():
-            own, a, b, c = get(w) or self.word(w)
-            if own:
-                cells.update(own)
-            if a:
-                caps += n
-            if b:
-                marks += n
-            if c:
-                digits += n
-        again, top = sum(map(eq, raw, raw[1:])), max(counts.values(), default=0)
-        levels = [f"{k} {_level(n / total)}" for k, n in (("caps", caps), ("marks", marks), ("digits", digits), ("again", again), ("top", top), ("kinds", len(counts)))]
-        levels += [f"words {int(np.log2(total))}", f"longest {int(np.log2(max(map(len, counts), default=0) + 1))}"]
-        cells.update(c for c in (_cell("level " + x) for x in levels) if self.wanted is None or c in self.wanted)
-        return sorted(cells)
+        return self.batch(pa.array([text], pa.string()))[1].tolist()
 
 
 class Ordinal:
@@ -162,7 +207,10 @@ def fit(docs: DataFrame, ratings: DataFrame, doc_id: str = "doc_id", text: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features = Features()
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([features(t.as_py()) for t in batch.column(0)], pa.list_(pa.int32())), batch.column(1)], names=["cells", "grade"])
+            for lo, hi, row, cell in features.batches(batch.column(0)):
+                upto = np.searchsorted(row, np.arange(hi - lo + 1)).astype(np.int32)
+                cells = pa.ListArray.from_arrays(pa.array(upto), pa.array(cell.astype(np.int32)))
+                yield pa.RecordBatch.from_arrays([cells, batch.column(1).slice(lo, hi - lo)], names=["cells", "grade"])
 
     got = chosen.select("_text", "_grade").mapInArrow(run, "cells array<int>, grade int").toArrow()
     if not len(got):
@@ -191,9 +239,11 @@ def score(docs: DataFrame, model: Ordinal | None, text: str = "text", carry: lis
             _models[token] = sent.value, Features(set(np.flatnonzero(sent.value.weights).tolist()))
         m, features = _models[token]
         for batch in batches:
-            tails = np.array([m.tails(features(t.as_py())) for t in batch.column(text)]).reshape(batch.num_rows, -1)
+            score = np.zeros(batch.num_rows)
+            for lo, hi, row, cell in features.batches(batch.column(text)):
+                score[lo:hi] = np.bincount(row, m.weights[cell].astype(np.float64), hi - lo)
+            tails = 1 / (1 + np.exp(-(score[:, None] - m.thresholds)))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(tails.sum(1)), pa.array(tails[:, -1])], names=names)
-        features.words.clear()  # workers are used again by other stages
 
     return docs.mapInArrow(run, shaped.schema)
 

@@ -159,3 +159,35 @@ def test_language_shuffle_joins_give_the_same(spark, monkeypatch):
     monkeypatch.setattr(langid, "BROADCAST_LANGS", -1)
     got = langid.learn(rows, docs_per_lang=5)
     assert got.langs == want.langs and (got.bits == want.bits).all()
+
+
+def plain_cells(text):
+    """Cells of one text, word by word."""
+    raw = (text or "").split()
+    counts = {w: raw.count(w) for w in raw}
+    total = max(1, len(raw))
+    level = lambda share: 0 if share <= 0 else max(1, 10 + int(np.floor(np.log2(share))))
+    one = {w: quality.word_features(quality.pa.array([w])) for w in counts}
+    cells = {c for w in counts for c in one[w][1].tolist()}
+    flagged = [sum(n for w, n in counts.items() if one[w][2][k][0]) for k in ("caps", "marks", "digits")]
+    shares = dict(zip(("caps", "marks", "digits"), flagged, strict=True)) | {"again": sum(a == b for a, b in zip(raw, raw[1:], strict=False)), "top": max(counts.values(), default=0), "kinds": len(counts)}
+    names = [f"{k} {level(v / total)}" for k, v in shares.items()] + [f"words {int(np.log2(total))}", f"longest {int(np.log2(max(map(len, counts), default=0) + 1))}"]
+    return sorted(cells | {quality.Features().level(n) for n in names})
+
+
+def test_features_of_batches_against_plain_code(monkeypatch):
+    import pyarrow as pa
+
+    rng = random.Random(2)
+    words = ["Buy", "NOW", "!!!", "running", "runner", "x1", "a", "a", "the", "Ünder", "日本", "(so)", "..."]
+    texts = [t for _, t in TEXTS] + [rng.choice([" ", "\n", "  ", "\t "]).join(rng.choice(words) for _ in range(rng.randrange(60))) for _ in range(80)]
+    monkeypatch.setattr(quality, "BATCH_BYTES", 500)
+    features, got = quality.Features(), {}
+    for lo, hi, row, cell in features.batches(pa.array(texts, pa.string())):
+        for i in range(lo, hi):
+            got[i] = cell[row == i - lo].tolist()
+    assert [got[i] for i in range(len(texts))] == [plain_cells(t) for t in texts]
+    flags = quality.word_features(pa.array(["NOW", "I", "a1", "!!", "x.", "Ünder"]))[2]
+    assert [flags[k].tolist() for k in ("caps", "digits", "marks")] == [[True] + [False] * 5, [False, False, True, False, False, False], [False, False, False, True, False, False]]
+    some = set(plain_cells(texts[-1])[:3])
+    assert quality.Features(some)(texts[-1]) == sorted(some)
