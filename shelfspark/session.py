@@ -73,5 +73,19 @@ def remove(spark: SparkSession, path: str) -> None:
     place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
 
 
+#: Tables up to this size are dealt to all cores after the scan.
+SPREAD_BYTES = 64 << 20
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """A small table, dealt to all cores: it may be one row group, which is one task however much is computed from it.
+
+    Filters and column choices still reach the scan. Larger tables have splits enough and are left alone.
+    """
+    size = rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if size <= SPREAD_BYTES and cores > 1 else rows
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
