@@ -181,7 +181,7 @@ def twins(spark, sf_dir):
 
 def events(spark, sf_dir):
     at = folder(spark)
-    table(spark, sf_dir, "events").write.parquet(at)
+    spark.read.parquet(f"{sf_dir}/events.parquet").write.parquet(at)  # in the order of the files, as a stream comes
     return incremental.event_stream(spark, at, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string")
 
 
