@@ -146,12 +146,12 @@ def joined_candidates(based: DataFrame) -> DataFrame:
     text = F.col("_t")
     spans = F.concat(*(F.col(f"_{k}") for k in ("card", "phone")))
     blank = F.filter(spans, lambda s: F.contains(s["match"], F.lit(" ")))
-    own = based.select("_key", F.explode(blank).alias("s"))
+    own = based.filter(text.rlike(r"\+[0-9]|[0-9]\x20[0-9]")).select("_key", F.explode(blank).alias("s"))
     seeds = own.select("_key", "s.start", "s.end", F.col("s.match").alias("token"), F.lower("s.lead").alias("before"), F.col("s.kind").alias("seed"), F.lit(True).alias("known"))
 
-    runs = _positions(text, _RUN, text.rlike(r"[0-9][).-]?\x20++\+?\(?[0-9]"))
+    gate = text.rlike(r"[0-9][0-9().-]*+\x20++\+?\(?[0-9]")
     every = F.concat(*(F.col(f"_{k}") for k in KINDS))
-    rows = based.select("_key", every.alias("spans"), F.explode(runs).alias("x"))
+    rows = based.filter(gate).select("_key", every.alias("spans"), F.explode(_positions(text, _RUN, F.lit(True))).alias("x"))
     far = F.col("x")["start"] + F.length(F.col("x")["match"])
     near = F.filter("spans", lambda s: (s["start"] < far) & (s["end"] > F.col("x")["start"]))
     rows = rows.select("_key", F.col("x")["start"].alias("at"), F.col("x")["lead"].alias("lead"), near.alias("spans"), _positions(F.col("x")["match"], r"[^\x20]++", F.lit(True)).alias("words"))
