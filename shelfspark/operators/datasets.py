@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,6 +11,10 @@ from ..session import cut
 from .components import connected_components
 
 
+#: Tables of strata up to this many rows are broadcast.
+BROADCAST_STRATA = 100_000
+
+
 def shuffled(key: Column, seed: int) -> Column:
     """Order that is random by key and the same in every run."""
     return F.md5(F.concat(key.cast("string"), F.lit(f"#{seed}")))
@@ -44,9 +50,20 @@ def keep_first(rows: DataFrame, by: list[str], order: list[Column]) -> DataFrame
 
 
 def percent_split(rows: DataFrame, strata: list[str], key: str, seed: int, train: int = 80, valid: int = 10) -> DataFrame:
-    """Rows with `split`, by hundredths of each stratum in hash order."""
-    tile = F.ntile(100).over(Window.partitionBy(*strata).orderBy(shuffled(F.col(key), seed), key))
-    return rows.withColumn("split", F.when(tile <= train, "train").when(tile <= train + valid, "validation").otherwise("test"))
+    """Rows with `split`, by hundredths of each stratum in hash order.
+
+    Places come from one global order by stratum and hash, so no stratum is ranked in one task.
+    """
+    ranked = cut(row_ids(rows, [*(F.asc_nulls_first(c) for c in strata), shuffled(F.col(key), seed), F.col(key).asc()], "_place"))
+    sizes = ranked.groupBy(*(F.col(c).alias(f"_{c}") for c in strata)).agg(F.min("_place").alias("_first"), F.count("*").alias("_size"))
+    few = F.broadcast(sizes) if sizes.count() <= BROADCAST_STRATA else sizes
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in strata])
+    r, each, more = F.col("_place") - F.col("_first"), F.floor(F.col("_size") / 100), F.col("_size") % 100
+    # the first `more` hundredths have a row more than the others
+    wide = more * (each + 1)
+    tile = F.when(r < wide, F.floor(r / (each + 1))).otherwise(more + F.floor((r - wide) / F.greatest(each, F.lit(1)))) + 1
+    out = ranked.join(few, same).withColumn("split", F.when(tile <= train, "train").when(tile <= train + valid, "validation").otherwise("test"))
+    return out.select(*rows.columns, "split")
 
 
 def split_by_query(rows: DataFrame, key: str, fraction: float, seed: int) -> DataFrame:
