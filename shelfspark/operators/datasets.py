@@ -49,21 +49,24 @@ def keep_first(rows: DataFrame, by: list[str], order: list[Column]) -> DataFrame
     return per_group(rows, by, order, 1)
 
 
-def percent_split(rows: DataFrame, strata: list[str], key: str, seed: int, train: int = 80, valid: int = 10) -> DataFrame:
-    """Rows with `split`, by hundredths of each stratum in hash order.
-
-    Places come from one global order by stratum and hash, so no stratum is ranked in one task.
-    """
-    ranked = cut(row_ids(rows, [*(F.asc_nulls_first(c) for c in strata), shuffled(F.col(key), seed), F.col(key).asc()], "_place"))
-    sizes = ranked.groupBy(*(F.col(c).alias(f"_{c}") for c in strata)).agg(F.min("_place").alias("_first"), F.count("*").alias("_size"))
+def ranked_within(rows: DataFrame, groups: list[str], order: list[Column], out: str, size: str | None = None) -> DataFrame:
+    """rows with their 1-based place within their group (and its size), from one global order: no group is ranked in one task."""
+    placed = cut(row_ids(rows, [*(F.asc_nulls_first(c) for c in groups), *order], "_place"))
+    sizes = placed.groupBy(*(F.col(c).alias(f"_{c}") for c in groups)).agg(F.min("_place").alias("_first"), F.count("*").alias("_size"))
     few = F.broadcast(sizes) if sizes.count() <= BROADCAST_STRATA else sizes
-    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in strata])
-    r, each, more = F.col("_place") - F.col("_first"), F.floor(F.col("_size") / 100), F.col("_size") % 100
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in groups])
+    found = placed.join(few, same).withColumn(out, F.col("_place") - F.col("_first") + 1)
+    return found.select(*rows.columns, out, *([F.col("_size").alias(size)] if size else []))
+
+
+def percent_split(rows: DataFrame, strata: list[str], key: str, seed: int, train: int = 80, valid: int = 10) -> DataFrame:
+    """Rows with `split`, by hundredths of each stratum in hash order."""
+    ranked = ranked_within(rows, strata, [shuffled(F.col(key), seed), F.col(key).asc()], "_r", "_n")
+    r, each, more = F.col("_r") - 1, F.floor(F.col("_n") / 100), F.col("_n") % 100
     # the first `more` hundredths have a row more than the others
     wide = more * (each + 1)
     tile = F.when(r < wide, F.floor(r / (each + 1))).otherwise(more + F.floor((r - wide) / F.greatest(each, F.lit(1)))) + 1
-    out = ranked.join(few, same).withColumn("split", F.when(tile <= train, "train").when(tile <= train + valid, "validation").otherwise("test"))
-    return out.select(*rows.columns, "split")
+    return ranked.withColumn("split", F.when(tile <= train, "train").when(tile <= train + valid, "validation").otherwise("test")).drop("_r", "_n")
 
 
 def split_by_query(rows: DataFrame, key: str, fraction: float, seed: int) -> DataFrame:
@@ -185,18 +188,17 @@ def synthetic_negatives(queries: DataFrame, offers: DataFrame, known: DataFrame,
 def stratified_quota(rows: DataFrame, strata: str, band: str, targets: dict[str, int], quotas: dict[str, float], key: str, seed: int) -> DataFrame:
     """Rows by targets per stratum: quotas of bands first, the last band fills up, then any leftovers.
 
-    One ranking per stratum in the order of that preference.
+    Strata are ranked in the order of that preference.
     """
     names = list(quotas)
     target = F.create_map(*(F.lit(x) for kv in targets.items() for x in kv))
     quota = F.create_map(*(F.lit(x) for kv in quotas.items() for x in kv))
     rows = rows.filter(F.col(strata).isin(*targets) & F.col(band).isin(*names)).withColumn("_t", F.try_element_at(target, F.col(strata)))
     mixed = [shuffled(F.col(key), seed), F.col(key).asc()]
-    rows = rows.withColumn("_r", F.row_number().over(Window.partitionBy(strata, band).orderBy(*mixed)))
+    rows = ranked_within(rows, [strata, band], mixed, "_r")
     within = (F.col(band) == names[-1]) | (F.col("_r") <= F.floor(F.col("_t") * F.try_element_at(quota, F.col(band))))
     leftover = F.when(within & (F.col(band) != names[-1]), 0).when(within, 1).otherwise(2)
-    place = F.row_number().over(Window.partitionBy(strata).orderBy(leftover, *mixed))
-    return rows.withColumn("_p", place).filter(F.col("_p") <= F.col("_t")).drop("_t", "_r", "_p")
+    return ranked_within(rows.withColumn("_l", leftover), [strata], [F.asc("_l"), *mixed], "_p").filter(F.col("_p") <= F.col("_t")).drop("_t", "_r", "_p", "_l")
 
 
 def swap_for_floor(selected: DataFrame, universe: DataFrame, key: str, flag: str, floor: int, victim: Column, seed: int) -> DataFrame:
