@@ -43,6 +43,7 @@ from ..operators.skew import salted_join
 from ..plans.predicates import all_of
 from ..session import Work, cut
 from .decontam import normalise
+from .memory import give_back
 
 WORDS = 5
 THRESHOLD = 0.8
@@ -194,6 +195,7 @@ def sketch(docs: DataFrame, text: str, bands: int, rows: int) -> DataFrame:
                 if size >= CHUNK or i == batch.num_rows - 1:
                     yield chunk([batch.column(k).slice(at, len(part)) for k in ("k1", "k2")], part)
                     at, part, size = i + 1, [], 0
+        give_back()
 
     return _texts(docs, text).mapInArrow(run, "k1 long, k2 long, f1 long, f2 long, total long, bands array<long>")
 
@@ -234,6 +236,8 @@ def _verify(pairs: DataFrame, sets: DataFrame, docs: DataFrame, text: str, thres
         for p in parts:
             ok = [similarity(bag(a, ta), bag(b, tb)) >= threshold for a, b, ta, tb in zip(p["a"], p["b"], p["ta"], p["tb"], strict=True)]
             yield p.loc[ok, ["a", "b"]]
+        held.clear()
+        give_back()
 
     left = texts.select(F.col("c").alias("a"), F.col("t").alias("ta"))
     right = texts.select(F.col("c").alias("b"), F.col("t").alias("tb"))
@@ -354,12 +358,12 @@ def near_duplicates(
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """docs with one row of each class, of its least id, and all rows without words; same columns."""
     found = classes(docs, doc_id, text, threshold, BANDS, ROWS)
-    told = cut(found.filter("not first or rows > 1").select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2"), F.col("class_id").alias("_id"), F.col("first").alias("_first"), F.col("same").alias("_same")))
+    told = cut(found.filter("not first or rows > 1").select(F.col("k1").alias("__near_k1"), F.col("k2").alias("__near_k2"), F.col("class_id").alias("__near_id"), F.col("first").alias("__near_first"), F.col("same").alias("__near_same")))
     k1, k2 = _key(F.col(text))
-    here = docs.join(_small(told), (k1 == F.col("_k1")) & (k2 == F.col("_k2")), "left")
-    head = F.col("_first") & F.col(doc_id).eqNullSafe(F.col("_id"))
-    kept = here.filter(F.col("_first").isNull() | (head & (F.col("_same") == 1))).select(*docs.columns)
-    if told.filter("_first and _same > 1").isEmpty():
+    here = docs.join(_small(told), (k1 == F.col("__near_k1")) & (k2 == F.col("__near_k2")), "left")
+    head = F.col("__near_first") & F.col(doc_id).eqNullSafe(F.col("__near_id"))
+    kept = here.filter(F.col("__near_first").isNull() | (head & (F.col("__near_same") == 1))).select(*docs.columns)
+    if told.filter("__near_first and __near_same > 1").isEmpty():
         return kept
-    again = here.filter(head & (F.col("_same") > 1)).groupBy("_k1", "_k2").agg(F.first(F.struct(*docs.columns)).alias("_row"))
-    return kept.unionByName(again.select("_row.*"))
+    again = here.filter(head & (F.col("__near_same") > 1)).groupBy("__near_k1", "__near_k2").agg(F.first(F.struct(*docs.columns)).alias("__near_row"))
+    return kept.unionByName(again.select("__near_row.*"))

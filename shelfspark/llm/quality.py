@@ -28,6 +28,8 @@ from pandas.util import hash_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .memory import give_back
+
 DIMS = 1 << 18
 STEMS = (4, 5)
 SAMPLE_ROWS = 8000
@@ -244,6 +246,7 @@ def score(docs: DataFrame, model: Ordinal | None, text: str = "text", carry: lis
                 score[lo:hi] = np.bincount(row, m.weights[cell].astype(np.float64), hi - lo)
             tails = 1 / (1 + np.exp(-(score[:, None] - m.thresholds)))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(tails.sum(1)), pa.array(tails[:, -1])], names=names)
+        give_back()
 
     return docs.mapInArrow(run, shaped.schema)
 
