@@ -29,15 +29,18 @@ from collections.abc import Iterator
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import cut
+from .memory import give_back
 
 WINDOW = 10
 #: Words of one automaton. Its letters are code points, of which there are more.
 BLOCK_WORDS = 500_000
+BATCH_BYTES = 4_000_000
 
 _SPACE = 32
 _WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -64,13 +67,14 @@ def normalise(raw: bytes) -> bytes:
 
 
 class Patterns:
-    """The automaton of benchmark windows: code point of each word, and of each pattern its length and items."""
+    """The automaton of benchmark windows: code point of each word, of each pattern its length and items, and words that follow each other."""
 
     def __init__(self, rows: list[tuple[object, str]], window: int = WINDOW):
         self.letters: dict[bytes, str] = {}
         self.lengths: list[int] = []
         self.items: list[tuple[str, ...]] = []
         self.tree = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+        pairs: list[np.ndarray] = []
         for item, text in rows:
             coded = "".join([self._letter(w) for w in normalise(text.encode()).split()])
             own = () if item is None else (str(item),)
@@ -82,9 +86,38 @@ class Patterns:
                     self.items.append(own)
                 elif own and own[0] not in self.items[at]:
                     self.items[at] += own
+            codes = np.frombuffer(coded.encode("utf-32-le"), "<u4").astype(np.int64)
+            pairs.append((codes[:-1] << 21) | codes[1:])
+        self.shortest = min(self.lengths, default=0)
+        self.pairs = np.unique(np.concatenate(pairs)) if pairs else np.zeros(0, np.int64)
         if self.items:
             self.tree.make_automaton()
 
+    def stretches(self, line: np.ndarray, ends: np.ndarray) -> Iterator[tuple[int, int, int]]:
+        """(text, first, end) of the stretches of coded words that could hold a pattern.
+
+        Within a pattern each two words that follow each other do so in some item. All
+        other words are passed over before the automaton, whose steps cost far more.
+        """
+        if len(line) and self.items:
+            if self.shortest > 1:
+                near = (line[:-1] > 0) & (line[1:] > 0)
+                some = np.flatnonzero(near)
+                pair = (line[some].astype(np.int64) << 21) | line[some + 1]
+                spot = np.minimum(np.searchsorted(self.pairs, pair), len(self.pairs) - 1)
+                near[some[self.pairs[spot] != pair]] = False
+                near[ends[(ends > 0) & (ends < len(line))] - 1] = False
+            else:
+                near = line > 0
+                cut = ends[(ends > 0) & (ends < len(line))]
+            edge = np.flatnonzero(np.diff(np.concatenate([[0], near.view(np.int8), [0]])))
+            begin, stop = edge[::2], edge[1::2] + (self.shortest > 1)
+            if self.shortest <= 1:  # stretches of single words end with their text
+                begin, stop = np.union1d(begin, cut[near[cut] & near[cut - 1]]), np.union1d(stop, cut[near[cut] & near[cut - 1]])
+            long = stop - begin >= self.shortest
+            docs = np.searchsorted(ends, begin[long], "right")
+            yield from zip(docs.tolist(), begin[long].tolist(), stop[long].tolist(), strict=True)
+
     def _letter(self, word: bytes) -> str:
         n = len(self.letters) + 1
         return self.letters.setdefault(word, chr(n if n < 0xD800 else n + 0x800))  # no surrogates
@@ -103,29 +136,53 @@ def _merge(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def scan_text(text: str | None, known: Patterns, before: dict | None = None) -> dict:
-    """Word count, merged hit word ranges, their code point ranges and item ids."""
-    raw = (text or "").encode()
-    flat = normalise(raw)
-    words = flat.split()
-    out = before or {"n_words": len(words), "words": [], "chars": [], "items": []}
-    if not words or not known.items:
-        return out
+def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words of all texts one after another, and where each text's words end."""
+    texts = pc.fill_null(texts, "")
+    if texts.offset or texts.buffers()[2] is None:
+        texts = pa.concat_arrays([texts, pa.array([""])]).slice(0, len(texts)) if len(texts) else texts
+    buffers = texts.buffers()
+    flat = pa.Array.from_buffers(pa.string(), len(texts), [None, buffers[1], pa.py_buffer(normalise(buffers[2].to_pybytes() if buffers[2] else b""))], offset=texts.offset)
+    parts = pc.split_pattern(flat, " ")
+    words = parts.flatten()
+    full = pc.greater(pc.binary_length(words), 0)
+    upto = np.concatenate([[0], np.cumsum(full.to_numpy(zero_copy_only=False))])
+    return words.filter(full), upto[np.cumsum(parts.value_lengths().to_numpy(), dtype=np.int64)]
+
+
+def scan_texts(texts: pa.Array, known: Patterns, before: list[dict | None]) -> list[dict]:
+    """Of each text: word count, merged hit word ranges, their code point ranges and item ids."""
+    words, ends = words_of(texts)
+    coded = words.dictionary_encode()
     get = known.letters.get
-    ranges, items = [], set()
-    for last, at in known.tree.iter("".join([get(w, "\0") for w in words])):
-        ranges.append((last + 1 - known.lengths[at], last + 1))
-        items.update(known.items[at])
-    if not ranges:
-        return out
-    merged = _merge([*ranges, *((r["first"], r["end"]) for r in out["words"])])
-    ends = [(m.start(), m.end()) for m in re.finditer(rb"[^ ]+", flat)]
+    letter = np.array([ord(get(w, "\0")) for w in coded.dictionary.cast(pa.binary()).to_pylist()] or [0], "<u4")
+    line = letter[coded.indices.to_numpy(zero_copy_only=False)] if len(words) else letter[:0]
+    found: dict[int, tuple[list, set]] = {}
+    for doc, lo, hi in known.stretches(line, ends):
+        first = int(ends[doc - 1]) if doc else 0
+        for last, at in known.tree.iter(line[lo:hi].tobytes().decode("utf-32-le")):
+            ranges, items = found.setdefault(doc, ([], set()))
+            end = lo - first + last + 1
+            ranges.append((end - known.lengths[at], end))
+            items.update(known.items[at])
+    count = np.diff(ends, prepend=0).tolist()
+    out = [h or {"n_words": n, "words": [], "chars": [], "items": []} for h, n in zip(before, count, strict=True)]
+    for doc, (ranges, items) in found.items():
+        out[doc] = _mapped(texts[doc].as_py(), ranges, items, out[doc])
+    return out
+
+
+def _mapped(text: str, ranges: list[tuple[int, int]], items: set[str], before: dict) -> dict:
+    """Findings with hit word ranges, mapped to code points of the text."""
+    raw = text.encode()
+    merged = _merge([*ranges, *((r["first"], r["end"]) for r in before["words"])])
+    ends = [(m.start(), m.end()) for m in re.finditer(rb"[^ ]+", normalise(raw))]
     point = np.concatenate([[0], np.cumsum((np.frombuffer(raw, np.uint8) & 0xC0) != 0x80)])
     return {
-        "n_words": len(words),
+        "n_words": before["n_words"],
         "words": [{"first": a, "end": b} for a, b in merged],
         "chars": [{"start": int(point[ends[a][0]]), "end": int(point[ends[b - 1][1]])} for a, b in merged],
-        "items": sorted({*items, *out["items"]}),
+        "items": sorted({*items, *before["items"]}),
     }
 
 
@@ -161,9 +218,14 @@ def find_contamination(
                 _built[key] = Patterns(sent.value, window)
             known = _built[key]
             for batch in batches:
-                had = batch.column(out).to_pylist()
-                got = [scan_text(t.as_py(), known, h) for t, h in zip(batch.column(text), had, strict=True)]
+                had, column = batch.column(out).to_pylist(), batch.column(text)
+                size = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+                part, got = np.cumsum(size) // BATCH_BYTES, []
+                for p in np.unique(part):
+                    lo, hi = int(np.searchsorted(part, p)), int(np.searchsorted(part, p, "right"))
+                    got += scan_texts(column.slice(lo, hi - lo), known, had[lo:hi])
                 yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in told), pa.array(got, _ARROW)], names=[*told, out])
+            give_back()
 
         found = found.mapInArrow(run, found.select(*told, out).schema)
         if b < blocks - 1:

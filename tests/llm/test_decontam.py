@@ -52,6 +52,22 @@ def test_against_brute_force(spark):
     assert run(spark, rows, items) == brute(rows, items)
 
 
+def test_items_without_short_ones_against_brute_force(spark):
+    """Stretches of known pairs: across texts, at their ends, and of words that only follow each other elsewhere."""
+    rng = random.Random(12)
+    vocab = [f"v{i}" for i in range(14)]
+    items = [(i, " ".join(rng.choice(vocab) for _ in range(rng.choice([2, 5, 12, 20])))) for i in range(12)]
+    rows = []
+    for d in range(60):
+        parts = [rng.choice(vocab + ["zz"]) for _ in range(rng.randrange(12))]
+        for _ in range(rng.randrange(3)):
+            w = rng.choice(items)[1].split()
+            k = rng.randrange(len(w))
+            parts += w[k:] + [rng.choice(vocab)] * rng.randrange(2) + w[: k + 1]
+        rows.append((d, " ".join(parts)))
+    assert run(spark, rows, items) == brute(rows, items)
+
+
 def test_many_blocks_give_the_same(spark):
     rows, items = cases()
     assert run(spark, rows, items, block_words=40) == brute(rows, items)
