@@ -330,9 +330,9 @@ def classes(docs: DataFrame, doc_id: str, text: str, threshold: float, bands: in
         ids = counted.groupBy("k1", "k2").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "same")).alias("y"), F.sum("same").alias("rows"))
         known = member.join(groups, member["c"] == groups["node"], "left").select("k1", "k2", F.coalesce("component", "c").alias("g"))
         known = work.mark(known.join(ids, ["k1", "k2"]).select("k1", "k2", "g", "y.*", "rows"))
-        heads = known.groupBy("g").agg(F.min(F.struct("none", "id", "k1", "k2")).alias("x"))
+        heads = work.mark(known.groupBy("g").agg(F.min(F.struct("none", "id", "k1", "k2")).alias("x")))
         first = (F.col("k1") == F.col("x.k1")) & (F.col("k2") == F.col("x.k2"))
-        return cut(known.join(heads, "g").select("k1", "k2", F.col("x.id").alias("class_id"), F.col("x.k1").alias("class_key"), first.alias("first"), "same", "rows"))
+        return cut(salted_join(known, heads, ["g"], "k1").select("k1", "k2", F.col("x.id").alias("class_id"), F.col("x.k1").alias("class_key"), first.alias("first"), "same", "rows"))
 
 
 def near_duplicates(
