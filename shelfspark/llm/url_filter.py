@@ -30,7 +30,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut
+from ..session import Work, cut
 
 RULES = (("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block"))
 SAMPLE_ROWS = 20_000
@@ -153,12 +153,13 @@ def fit(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS, trees: int = TREES,
     edges = {f: sorted(set(cuts[f])) for f in FEATURES}
     binned = [sum(((F.col(f) > e).cast("int") for e in edges[f]), start=F.lit(0)).alias(f"b_{f}") for f in FEATURES]
     rows = cut(rows.select("_blocked", "_times", *FEATURES, *binned))
+    work, rows = Work(labelled.sparkSession), rows.withColumn("_margin", F.lit(prior))
     for _ in range(trees):
-        p = 1 / (1 + F.exp(-model.margin()))
+        p = 1 / (1 + F.exp(-F.col("_margin")))
         rows_now = rows.withColumns({"_g": F.col("_times") * (F.col("_blocked") - p), "_w": F.col("_times") * p * (1 - p)})
         paths: list[list[tuple[str, float, bool]]] = [[]]
         totals: list[tuple[float, float]] = []
-        for level in range(depth + 1):
+        for _ in range(depth):
             stacked = F.explode(F.array(*(F.struct(F.lit(f).alias("f"), F.col(f"b_{f}").alias("b")) for f in FEATURES)))
             sums = (
                 rows_now.withColumn("leaf", _leaf(paths, list(range(len(paths)))))
@@ -175,25 +176,27 @@ def fit(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS, trees: int = TREES,
                 stats = by.get(k, {})
                 first = stats.get(FEATURES[0], {})
                 g0, h0 = sum(v[0] for v in first.values()), sum(v[1] for v in first.values())
-                best = (1e-6, None, 0.0)
-                for f in FEATURES if level < depth else ():
+                best = (1e-6, None, 0.0, 0.0, 0.0)
+                for f in FEATURES:
                     g = h = 0.0
                     for b, e in enumerate(edges[f]):
                         a = stats.get(f, {}).get(b, (0.0, 0.0))
                         g, h = g + a[0], h + a[1]
                         gain = round(g * g / (h + 1) + (g0 - g) ** 2 / (h0 - h + 1) - g0 * g0 / (h0 + 1), 9)
                         if h > 1e-3 and h0 - h > 1e-3 and gain > best[0]:
-                            best = (gain, f, e)
+                            best = (gain, f, e, g, h)
                 if best[1] is None:
                     grown.append(path)
                     totals.append((g0, h0))
                 else:
                     grown += [[*path, (best[1], best[2], True)], [*path, (best[1], best[2], False)]]
-                    totals += [(g0, h0), (g0, h0)]
+                    totals += [(best[3], best[4]), (g0 - best[3], h0 - best[4])]
             if grown == paths:
                 break
             paths = grown
         model.trees.append(_leaf(paths, [F.lit(rate * g / (h + 1)) for g, h in totals]))
+        rows = work.mark(rows.withColumn("_margin", F.col("_margin") + model.trees[-1]))  # later trees need not work the earlier ones out again
+    work.drop()
     return model
 
 
