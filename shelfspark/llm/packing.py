@@ -38,8 +38,8 @@ from .memory import give_back
 CAPACITY = 4096
 END_ID = 2
 BLOCK_WINDOWS = 256
-BATCH_BYTES = 3_000_000
-CACHE_WORDS = 300_000
+BATCH_BYTES = 6_000_000
+CACHE_WORDS = 600_000
 _PLAIN = "\u0250"  # letters below it stay one letter in lower case, but for U+0130
 _LETTER = r"[a-zß-öø-ÿĀ-įı-ɏ]"
 
@@ -274,10 +274,10 @@ def pack_documents(
                     if total >= block_windows * capacity:
                         yield flush()
                         held, total = [], 0
-                        give_back()
                     at = to
         if held:
             yield flush()
+        cache._reset()  # another task learns its words anew in little time, and other stages need the memory
         give_back()
 
     return rows.mapInArrow(run, schema)
