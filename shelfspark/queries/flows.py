@@ -199,7 +199,7 @@ def sliding(spark, sf_dir):
 
 @query("ST_sessions", "with g as (select user_id, ts, case when ts >= lag(ts) over w + interval '2 hours' or lag(ts) over w is null then 1 else 0 end as new from events window w as (partition by user_id order by ts)), s as (select *, sum(new) over (partition by user_id order by ts rows unbounded preceding) as k from g) select user_id, min(ts) as start, count(*) as n from s group by user_id, k")
 def sessions(spark, sf_dir):
-    out = incremental.drain(incremental.sessions(events(spark, sf_dir), "2 hours"), f"t{uuid.uuid4().hex}", "complete")
+    out = incremental.drain(incremental.sessions(events(spark, sf_dir), "2 hours", late=None), f"t{uuid.uuid4().hex}", "complete")
     return out.withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 

@@ -443,3 +443,12 @@ def test_drained_streams_leave_their_rows_in_files(spark, tmp_path):
     each = incremental.drain(stream.select("user_id"), f"d{uuid.uuid4().hex}", "append")
     assert each.inputFiles() and each.count() == 6
     assert spark.conf.get("spark.sql.streaming.stateStore.providerClass") == kept
+
+
+def test_sessions_end_at_the_gap_and_late_events_stay(spark, tmp_path):
+    kind, at = "user_id long, ts timestamp_ntz", str(tmp_path)
+    files = [["(1, '2024-01-20 05:00:00'), (1, '2024-01-20 07:00:00'), (2, '2024-01-20 05:00:00'), (2, '2024-01-20 06:59:59.999999')"], ["(1, '2024-01-01 05:00:00')"], ["(3, '2024-01-02 01:00:00')"]]
+    for (v,) in files:
+        spark.sql(f"select cast(col1 as long) as user_id, cast(col2 as timestamp_ntz) as ts from values {v}").coalesce(1).write.mode("append").parquet(at)
+    out = incremental.drain(incremental.sessions(incremental.event_stream(spark, at, kind), "2 hours", late=None), f"d{uuid.uuid4().hex}")
+    assert sorted((r.user_id, r.start.day, r.start.hour, r.n) for r in out.collect()) == [(1, 1, 5, 1), (1, 20, 5, 1), (1, 20, 7, 1), (2, 20, 5, 2), (3, 2, 1, 1)]
