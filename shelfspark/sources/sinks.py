@@ -61,13 +61,16 @@ def orphans(articles: DataFrame, offers: DataFrame) -> DataFrame:
     return articles.join(offers.select("article_hash").distinct(), "article_hash", "left_anti")
 
 
-def put_version(spark: SparkSession, folder: str, text: str) -> int:
-    """Writes a numbered file after the last one; its name appears only when it is whole, and never stands for another text."""
+def put_version(spark: SparkSession, folder: str, text: str, after: int | None = None) -> int:
+    """Writes a numbered file after the last one; its name appears only when it is whole, and never stands for another text.
+
+    A writer that knows the last number gives it as `after`, and the folder is not listed again.
+    """
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     path = jvm.org.apache.hadoop.fs.Path
     fs = path(folder).getFileSystem(conf)
     fs.mkdirs(path(folder))
-    number = latest_version(spark, folder)[0] + 1
+    number = (_last_number(spark, folder) if after is None else after) + 1
     hidden, shown = path(f"{folder}/.{uuid.uuid4().hex}"), path(f"{folder}/{number:012d}.json")
     out = fs.create(hidden)
     out.write(bytearray(text.encode()))
@@ -77,19 +80,23 @@ def put_version(spark: SparkSession, folder: str, text: str) -> int:
     return number
 
 
-def latest_version(spark: SparkSession, folder: str) -> tuple[int, str | None]:
-    """Number and text of the last numbered file; (-1, None) without one."""
+def _last_number(spark: SparkSession, folder: str) -> int:
+    """Number of the last numbered file, -1 without one."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     place = jvm.org.apache.hadoop.fs.Path(folder)
     fs = place.getFileSystem(conf)
     if not fs.exists(place):
-        return -1, None
+        return -1
     names = [f.getPath().getName() for f in fs.listStatus(place)]
-    numbers = [int(n[:-5]) for n in names if n.endswith(".json") and n[:-5].isdigit()]
-    if not numbers:
+    return max((int(n[:-5]) for n in names if n.endswith(".json") and n[:-5].isdigit()), default=-1)
+
+
+def latest_version(spark: SparkSession, folder: str) -> tuple[int, str | None]:
+    """Number and text of the last numbered file; (-1, None) without one."""
+    number = _last_number(spark, folder)
+    if number < 0:
         return -1, None
-    text = spark.read.text(f"{folder}/{max(numbers):012d}.json", wholetext=True).first()[0]
-    return max(numbers), text
+    return number, spark.read.text(f"{folder}/{number:012d}.json", wholetext=True).first()[0]
 
 
 def publish(spark: SparkSession, articles: str, offers: str, pointer: str) -> None:
@@ -140,7 +147,7 @@ def upload(spark: SparkSession, files: list[str], state: str, submit: Callable[[
     raises). The number of leading files that are all done is written down after each
     change, so a restart begins behind them; what was done beyond is handed over again.
     """
-    text = latest_version(spark, state)[1]
+    number, text = latest_version(spark, state)
     prefix = json.loads(text)["done"] if text else 0
     done = set(range(prefix))
     running: dict[int, str] = {}
@@ -162,7 +169,7 @@ def upload(spark: SparkSession, files: list[str], state: str, submit: Callable[[
         while prefix in done:
             prefix += 1
         if prefix != first:
-            put_version(spark, state, json.dumps({"done": prefix}))
+            number = put_version(spark, state, json.dumps({"done": prefix}), number)
         time.sleep(wait)
 
 

@@ -303,6 +303,17 @@ def test_upload_goes_on_behind_the_prefix(spark, tmp_path):
     assert sinks.upload(spark, list("abcd"), f"{tmp_path}/s", lambda f: f, poll) == []
 
 
+def test_upload_looks_for_its_last_state_once(spark, tmp_path, monkeypatch):
+    looks, latest = [], sinks.latest_version
+    monkeypatch.setattr(sinks, "latest_version", lambda *a: looks.append(a) or latest(*a))
+    files = [str(i) for i in range(20)]
+    assert sinks.upload(spark, files, f"{tmp_path}/s", lambda f: f, lambda job: "done", 1) == files
+    assert len(looks) == 1 and latest(spark, f"{tmp_path}/s") == (19, '{"done": 20}')
+    with pytest.raises(RuntimeError, match="another process"):
+        sinks.put_version(spark, f"{tmp_path}/s", "x", 4)
+    assert sinks.put_version(spark, f"{tmp_path}/s", "x") == 20
+
+
 def test_store_settings_and_values(spark):
     class Builder(dict):
         def config(self, k, v):
