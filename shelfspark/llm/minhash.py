@@ -55,6 +55,8 @@ BITMAP = 64
 CHUNK = 2_000_000
 #: Lists of texts up to this many rows (some 20 MB) are broadcast; longer ones are joined by a shuffle.
 BROADCAST_IDS = 500_000
+#: Links up to this many (8 MB) are made classes in one task; more by rounds of joins.
+EDGES_AT_ONCE = 500_000
 #: Rows of one bucket, each with its bitmap, that are compared in one task.
 BUCKET_ROOM = 1000
 
@@ -309,7 +311,7 @@ def classes(docs: DataFrame, doc_id: str, text: str, threshold: float, bands: in
     text, and same those of its least id.
     """
     alike = lambda a, b: F.least(a, b) >= threshold * F.greatest(a, b)
-    with Work(docs.sparkSession) as work:
+    with Work(docs.sparkSession, free=True) as work:
         sketched = work.mark(sketch(docs, text, bands, rows))
         least = F.min(F.struct("k1", "k2", "total", "bands")).alias("x")
         # numbers given to checkpointed rows stay what they are
@@ -321,11 +323,11 @@ def classes(docs: DataFrame, doc_id: str, text: str, threshold: float, bands: in
         shared = work.mark(shared.select("band", "h", "pivots"))
         spots = work.mark(spots.join(shared, ["band", "h"]))
         links = cut(_verify(work.mark(_pairs_of_stars(spots, alike)), sets, docs, text, threshold))
-        groups = connected_components(links, "a", "b")
+        groups = connected_components(links, "a", "b", at_once=EDGES_AT_ONCE)
         rest = work.mark(_pairs_apart(work, spots, groups, sets, docs, text, threshold, bands, alike))
         more = cut(_verify(rest, sets, docs, text, threshold))
         if not more.isEmpty():
-            groups = connected_components(links.unionByName(more), "a", "b")
+            groups = connected_components(links.unionByName(more), "a", "b", at_once=EDGES_AT_ONCE)
         counted = docs.select(*_key(F.col(text)), F.col(doc_id).alias("id")).filter("k1 is not null").groupBy("k1", "k2", "id").agg(F.count("*").alias("same"))
         ids = counted.groupBy("k1", "k2").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "same")).alias("y"), F.sum("same").alias("rows"))
         known = member.join(groups, member["c"] == groups["node"], "left").select("k1", "k2", F.coalesce("component", "c").alias("g"))
